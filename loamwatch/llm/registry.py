@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamwatch.llm import line_dedup
+from loamwatch.llm import line_dedup, quality
 
-QUERIES = {"op2_line_dedup": line_dedup.op2_line_dedup}
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE}
+QUERIES = {"op2_line_dedup": line_dedup.op2_line_dedup, "op5_quality_rules": quality.op5_quality_rules}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op5_quality_rules": quality.ORACLE}
