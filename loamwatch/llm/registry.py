@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from loamwatch.llm import line_dedup, quality
+from loamwatch.llm import line_dedup, quality, token_counts
 
-QUERIES = {"op2_line_dedup": line_dedup.op2_line_dedup, "op5_quality_rules": quality.op5_quality_rules}
+QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op9_token_counts": token_counts.op9_token_counts,
+}
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op5_quality_rules": quality.ORACLE}
