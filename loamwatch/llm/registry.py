@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loamwatch.llm import line_dedup, quality, token_counts
+from loamwatch.llm import line_dedup, quality, secrets, sentencepieces, token_counts
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op5_quality_rules": quality.ORACLE}
