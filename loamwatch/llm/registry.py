@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamwatch.llm import line_dedup, quality, secrets, sentencepieces, token_counts
+from loamwatch.llm import line_dedup, quality, secrets, sentencepieces, token_counts, token_store
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
@@ -10,5 +10,6 @@ QUERIES = {
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_token_ids": token_store.op10_token_ids,
 }
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op5_quality_rules": quality.ORACLE}
