@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loamwatch.llm import line_dedup, quality, secrets, sentencepieces, token_counts, token_store
+from loamwatch.llm import line_dedup, quality, secrets, sentencepieces, simhash, token_counts, token_store
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_simhash_dedup": simhash.op3_simhash_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
