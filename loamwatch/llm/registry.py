@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loamwatch.llm import decontaminate, line_dedup, quality, secrets, sentencepieces, simhash, token_counts, token_store
+from loamwatch.llm import decontaminate, line_dedup, pii, quality, secrets, sentencepieces, simhash, token_counts, token_store
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_simhash_dedup": simhash.op3_simhash_dedup,
+    "op4_personal_data": pii.op4_personal_data,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
