@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamwatch.llm import decontaminate, line_dedup, pii, quality, secrets, sentencepieces, simhash, token_counts, token_store
+from loamwatch.llm import decontaminate, line_dedup, passages, pii, quality, secrets, sentencepieces, simhash, token_counts, token_store
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash_dedup": simhash.op3_simhash_dedup,
     "op4_personal_data": pii.op4_personal_data,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_substring_dedup": passages.op6_substring_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_token_counts": token_counts.op9_token_counts,
