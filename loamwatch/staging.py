@@ -32,11 +32,11 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/loamwatch-{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Writes ``df`` once and returns the table that reads it back."""
+def staged(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
+    """Writes ``df`` once, with the writer's ``options``, and returns the table that reads it back."""
     spark = df.sparkSession
     path = stage_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
