@@ -21,13 +21,13 @@ def body(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, text): row_key is a hash of the text, so that rows that share an id or lack one stay apart.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, row_key, text) and the columns ``keep``: row_key is a hash of the text, so that rows that share an id or lack one stay apart.
 
-    Rows equal in both id and text are the same document; extra columns are not carried.
+    Rows equal in both id and text are the same document; other columns are not carried.
     """
     text = body(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"), *keep)
 
 
 def same_row(left: str, right: str) -> Column:

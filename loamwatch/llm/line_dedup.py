@@ -196,6 +196,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns to keep, then text and keep_bitmap -> the same columns, n_lines, n_dropped, kept_text."""
     for block in blocks(batches):
         texts, counts, gone = [], [], []
         for text, bits in zip(raw(block), raw(block, "keep_bitmap"), strict=True):
@@ -206,21 +207,22 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone.append(len(lines) - len(kept))
             texts.append(text if not len(flags) else b"\n".join(kept))
         yield pa.RecordBatch.from_arrays(
-            [block.column(0), block.column(1), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
-            names=["doc_id", "row_key", "n_lines", "n_dropped", "kept_text"],
+            [*block.columns[:-2], pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
+            names=[*block.schema.names[:-2], "n_lines", "n_dropped", "kept_text"],
         )
 
 
-def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, n_lines, n_dropped, kept_text) of every document."""
-    d, b = keyed(docs, id_col, text_col).alias("d"), bitmaps.alias("b")
-    joined = d.join(b, same_row("d", "b"), "left").select("d.doc_id", "d.row_key", "d.text", "b.keep_bitmap")
-    return joined.mapInArrow(_apply, "doc_id long, row_key long, n_lines long, n_dropped long, kept_text string")
+def drop_lines(docs: DataFrame, bitmaps: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row_key, keep..., n_lines, n_dropped, kept_text) of every row."""
+    d, b = keyed(docs, id_col, text_col, keep).alias("d"), bitmaps.alias("b")
+    joined = d.join(b, same_row("d", "b"), "left").select("d.doc_id", "d.row_key", *[f"d.{c}" for c in keep], "d.text", "b.keep_bitmap")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
+    return joined.mapInArrow(_apply, f"{kept}, n_lines long, n_dropped long, kept_text string")
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents without their repeated lines."""
-    return drop_lines(docs, line_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col), id_col, text_col)
+    return drop_lines(docs, line_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col), (), id_col, text_col)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from loamwatch.llm import decontaminate, line_dedup, passages, pii, quality, secrets, sentencepieces, simhash, token_counts, token_store
 
 QUERIES = {
@@ -15,5 +16,6 @@ QUERIES = {
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_token_ids": token_store.op10_token_ids,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op5_quality_rules": quality.ORACLE}

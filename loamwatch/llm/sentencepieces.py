@@ -186,7 +186,9 @@ def _encode(path: str):
                 part = ids[i : i + step]
                 offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(part)))
-                yield pa.RecordBatch.from_arrays([*block.slice(i, len(part)).columns[:-1], lists], names=[*block.schema.names[:-1], "token_ids"])
+                texts = strings(block.slice(i, len(part)))
+                same = pa.array([decode(x, path) == t.replace(MARK, " ") for x, t in zip(part, texts, strict=True)])
+                yield pa.RecordBatch.from_arrays([*block.slice(i, len(part)).columns[:-1], lists, same], names=[*block.schema.names[:-1], "token_ids", "round_trip"])
 
     return run
 
@@ -207,11 +209,11 @@ def _digest(path: str):
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and token_ids array<int>."""
+    """The columns ``keep``, token_ids array<int>, and round_trip: whether they decode to the text."""
     path = path or vocab.default_path("piece_bpe_32k.model")
     source = docs.select(*keep, body(text_col).alias("text"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(_encode(path), f"{kept}, token_ids array<int>")
+    return source.mapInArrow(_encode(path), f"{kept}, token_ids array<int>, round_trip boolean")
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "token_ids") -> DataFrame:

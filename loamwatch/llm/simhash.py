@@ -38,28 +38,38 @@ LEAF, LEAVES = 128, 32
 ROOT = 4096
 
 
-def fingerprint(text: bytes, size: int) -> int:
-    """A-Z lower-cased words, shingles of ``size`` words; a bit is set if it is in over half of the XXH64 values."""
+def fingerprint(text: bytes, size: int, codes: int = 1) -> list[int]:
+    """A-Z lower-cased words, shingles of ``size`` words; a bit is set if it is in over half of the XXH64 values.
+
+    Further codes are made in the same way from a mix of the same values.
+    """
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * codes
     shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
-
-
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, code): the fingerprint of every row as a signed 64-bit number."""
+    out = []
+    for k in range(codes):
+        if k:
+            hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes ^= hashes >> np.uint64(27)
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 16):
+            ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, size: int = 3, codes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row_key, code, ...): the fingerprint of every row as a signed 64-bit number; further codes are code1, code2 and so on."""
+    names = ["code", *[f"code{k}" for k in range(1, codes)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            codes = [fingerprint(t, size) for t in raw(block)]
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(codes, pa.int64())], names=["doc_id", "row_key", "code"])
+            found = np.asarray([fingerprint(t, size, codes) for t in raw(block)], np.int64).reshape(-1, codes)
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *[pa.array(found[:, k].copy()) for k in range(codes)]], names=["doc_id", "row_key", *names])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, row_key long, code long")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, row_key long, " + ", ".join(f"{n} long" for n in names))
 
 
 def rotated(code: str, by: int) -> str:
@@ -321,21 +331,29 @@ def similar_texts(pairs: DataFrame, docs: DataFrame, size: int, least: float, id
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 11, rotations: int = 4, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 11, rotations: int = 4, least: float = 0.8, codes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_key, group_id, group_key, first): groups of near-duplicate texts; first marks the one to keep.
 
-    Candidates are fingerprints within the radius; a link counts if the texts' shingle sets have a Jaccard
-    similarity of at least ``least``. Texts of one fingerprint are compared with the first of them.
+    Candidates are fingerprints within the radius in one of ``codes`` independent codes (texts of similarity 0.8
+    differ in 10 of 64 bits on average); a link counts if the texts' shingle sets have a Jaccard similarity of at
+    least ``least``. Texts of one fingerprint are compared with the first of them.
     """
-    codes = staged(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    heads = codes.groupBy("code").agg(F.min("row_key").alias("head"))
-    across = close_codes(codes, radius, rotations).groupBy("u", "v").agg(F.min("distance").alias("distance"))
-    across = across.join(heads.select(F.col("code").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("code").alias("v"), F.col("head").alias("b")), "v").select("a", "b")
-    within = codes.join(heads, "code").where(F.col("row_key") != F.col("head")).select(F.col("head").alias("a"), F.col("row_key").alias("b")).distinct()
-    links = staged(similar_texts(across.unionByName(within), docs, size, least, id_col, text_col), "near-links")
+    coded = staged(fingerprints(docs, size, codes, id_col, text_col), "fingerprints")
+    links = None
+    for name in ["code", *[f"code{k}" for k in range(1, codes)]]:
+        own = coded.select("doc_id", "row_key", F.col(name).alias("code"))
+        heads = own.groupBy("code").agg(F.min("row_key").alias("head"))
+        across = close_codes(own, radius, rotations).select("u", "v").distinct()
+        across = across.join(heads.select(F.col("code").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("code").alias("v"), F.col("head").alias("b")), "v").select("a", "b")
+        within = own.join(heads, "code").where(F.col("row_key") != F.col("head")).select(F.col("head").alias("a"), F.col("row_key").alias("b"))
+        both = across.unionByName(within)
+        links = both if links is None else links.unionByName(both)
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = staged(similar_texts(links, docs, size, least, id_col, text_col), "near-links")
     labels = connected_components(links, "a", "b")
-    rows = codes.select("doc_id", "row_key").distinct().join(labels.withColumnRenamed("node", "row_key"), "row_key", "left")
+    rows = coded.select("doc_id", "row_key").distinct().join(labels.withColumnRenamed("node", "row_key"), "row_key", "left")
     rows = staged(rows.select("doc_id", "row_key", F.coalesce("component", "row_key").alias("component")), "near-rows")
     owner = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("o"))
     joined = rows.join(owner, "component")
-    return joined.select("doc_id", "row_key", F.col("o.doc_id").alias("group_id"), F.col("o.row_key").alias("group_key"), (F.col("doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("row_key") == F.col("o.row_key"))).alias("first"))
+    first = F.col("doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("row_key") == F.col("o.row_key"))
+    return joined.select("doc_id", "row_key", F.col("o.doc_id").alias("group_id"), F.col("o.row_key").alias("group_key"), first.alias("first"))
