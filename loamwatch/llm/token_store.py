@@ -35,13 +35,17 @@ from loamwatch.llm.common import blocks, keyed
 from loamwatch.staging import stage_path, staged
 
 WINDOW, LEAST, MOST, CUT_BITS = 8, 64, 8192, 10
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Letters before this one are Latin.
+LATIN = "ɐ"
+#: Words whose ids a worker remembers, and text bytes that it takes at a time.
+REMEMBERED, BLOCK = 250_000, 4 << 20
 _ENCODED = "doc_id long, row_key long, n_tokens long, addresses array<binary>, lengths array<int>, root binary, chunks array<struct<address: binary, n_ids: int, payload: binary>>"
+#: Payloads are compressed and all different, and a task's row group is held in memory.
+_FILES = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
 _CHUNK = pa.struct([("address", pa.binary()), ("n_ids", pa.int32()), ("payload", pa.binary())])
 
 
-def digest(data: bytes) -> bytes:
+def digest(data: bytes | memoryview) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
@@ -61,33 +65,52 @@ class WordIds:
     def __init__(self, path: str):
         self.library, self.added = vocab.tokenizer(path), vocab.added_strings(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of distinct words. Plain Latin letters are lower-cased here, and a full stop or comma behind one is a token of its own."""
-        tails = {c: self.encode(c) for c in ".,"}
-        stems, ends = [], []
-        for w in words:
-            tail = None
-            if len(w) > 1 and w[-1] in tails and w[-2] < "Ā" and w[-2].isalpha():
-                tail, w = tails[w[-1]], w[:-1]
-            if w.isalpha() and (w.isascii() or max(w) < "Ā"):
-                w = w.lower()
-            stems.append(w)
-            ends.append(tail)
-        fresh = [w for w in dict.fromkeys(stems) if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = list(dict.fromkeys(stems))
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, self.dtype)
-        known = self.known
-        return [known[w] if t is None else np.concatenate([known[w], t]) for w, t in zip(stems, ends, strict=True)]
+        #: Words met lately, and those met before; a full first table takes the place of the second.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.tails = {c: self.encode(c) for c in ".,"}
+
+    def encode(self, text: str) -> bytes:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def encode_latin(self, words: list[str]) -> dict[str, bytes]:
+        """Latin words are one pre-token each, so thousands go through the library as one text."""
+        found = {}
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            done = self.library.encode(" ".join(part), add_special_tokens=False)
+            ends = np.searchsorted(np.asarray(done.word_ids), np.arange(len(part)), side="right") * self.dtype.itemsize
+            data, at = np.asarray(done.ids, self.dtype).tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                found[w] = data[at:end]
+                at = end
+        return found
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        known, before, tails = self.known, self.before, self.tails
+        found = list(map(known.get, words))
+        new: dict[str, str] = {}
+        for i, v in enumerate(found):
+            if v is None:
+                w = words[i]
+                if (v := before.get(w)) is not None:
+                    known[w] = found[i] = v
+                else:
+                    # a full stop or comma behind a plain letter is a token of its own
+                    new[w] = w[:-1] if w[-1:] in tails and w[-2:-1].isalpha() and w[-2] < LATIN else w
+        stems = dict.fromkeys(new.values())
+        ids = self.encode_latin([s for s in stems if s.isalpha() and (s.isascii() or max(s) < LATIN)])
+        others = [s for s in stems if s not in ids]
+        for i in range(0, len(others), 10_000):
+            part = others[i : i + 10_000]
+            for s, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids[s] = np.asarray(e.ids, self.dtype).tobytes()
+        for w, s in new.items():
+            known[w] = ids[s] if len(s) == len(w) else ids[s] + tails[w[-1]]
+        return [known[w] if v is None else v for w, v in zip(words, found, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -96,40 +119,31 @@ def word_ids(path: str) -> WordIds:
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, one behind the other, each with the end id; and where each text ends."""
+    """The ids of all texts of a block, one behind the other, each with the end id; and where each text ends."""
     words = word_ids(path)
-    special = [i for i, t in enumerate(texts.to_pylist()) if any(a in t for a in words.added)] if words.added else []
-    split = pc.ascii_split_whitespace(texts)
-    if special:
-        alone = pa.array(["\0special"] * len(special))
-        whole = {i: words.encode(texts[i].as_py()) for i in special}
-        lists = split.to_pylist()
-        for i in special:
-            lists[i] = alone.to_pylist()[:1]
-        split = pa.array(lists, pa.list_(pa.string()))
+    end = np.asarray([end_id], words.dtype).tobytes()
+    lower = pc.ascii_lower(texts)  # the vocabulary is lower case
+    # texts with an added token's string go to the library whole, each as one word
+    odd = np.zeros(len(texts), bool)
+    for token in words.added:
+        odd |= pc.match_substring(lower, token.lower()).to_numpy(zero_copy_only=False)
+    whole = {f"\0{i}": words.encode(texts[int(i)].as_py()) for i in np.flatnonzero(odd)}
+    if whole:
+        lower = pc.replace_with_mask(lower, pa.array(odd), pa.array(list(whole), pa.string()))
+    split = pc.ascii_split_whitespace(lower)
     offsets = split.offsets.to_numpy()
     offsets = offsets - offsets[0]
     coded = split.flatten().dictionary_encode()
     vocabulary = coded.dictionary.to_pylist()
-    known = [*words.of(vocabulary), np.asarray([end_id], words.dtype)]
-    codes = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets[1:], len(vocabulary))
+    known = [*words.of(vocabulary), end]
+    if whole:
+        known = [whole.get(w, k) for w, k in zip([*vocabulary, None], known, strict=True)]
+    codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), offsets[1:], len(vocabulary))
     doc_ends = offsets[1:] + np.arange(1, len(offsets))  # in codes, behind the end id
-    lengths = np.fromiter(map(len, known), np.int64, len(known))
-    flat = np.concatenate(known)
-    starts = np.cumsum(lengths) - lengths
-    n = lengths[codes]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    ids = flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(total)]
-    text_ends = ends[doc_ends - 1] if len(ends) else np.zeros(0, np.int64)
-    if special:
-        parts, at, moved = [], 0, []
-        for i, e in enumerate(text_ends):
-            parts.append(np.r_[whole[i], np.asarray([end_id], words.dtype)] if i in whole else ids[at:e])
-            at = e
-            moved.append(len(parts[-1]))
-        ids, text_ends = np.concatenate(parts), np.cumsum(moved)
-    return ids, text_ends
+    taken = pa.array(known, pa.binary()).take(pa.array(codes))
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[1 : len(taken) + 1]
+    ids = np.frombuffer(taken.buffers()[2] or b"", np.uint8)[: int(ends[-1]) if len(ends) else 0].view(words.dtype)
+    return ids, ends[doc_ends - 1].astype(np.int64) // words.dtype.itemsize
 
 
 def cuts(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
@@ -158,34 +172,37 @@ def _encode(path: str, end_id: int):
 
         seen: set[bytes] = set()
         pack = zstandard.ZstdCompressor(level=1)
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK):
             ids, ends = encode_texts(block.column(2).cast(pa.string()), path, end_id)
             stops = cuts(ids, ends)
             width = ids.dtype.itemsize
-            raw = ids.tobytes()
-            addresses, sizes, news, roots, new_at = [], [], [], [], []
-            at, k = 0, 0
-            for end in ends.tolist():
-                mine, lens, fresh = [], [], []
-                while at < end:
-                    stop = int(stops[k])
-                    data = raw[at * width : stop * width]
-                    key = digest(data)
-                    mine.append(key)
-                    lens.append(stop - at)
-                    if key not in seen:
-                        seen.add(key)
-                        fresh.append({"address": key, "n_ids": stop - at, "payload": bytes([width]) + pack.compress(data)})
-                    at, k = stop, k + 1
-                addresses.append(mine)
-                sizes.append(lens)
-                roots.append(merkle(mine))
-                news.append(fresh)
-            n = np.diff(np.r_[0, ends])
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), block.column(1), pa.array(n, pa.int64()), pa.array(addresses, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(roots, pa.binary()), pa.array(news, pa.list_(_CHUNK))],
-                names=["doc_id", "row_key", "n_tokens", "addresses", "lengths", "root", "chunks"],
-            )
+            raw, tag = memoryview(ids.tobytes()), bytes([ids.dtype.itemsize])
+            keys = [digest(raw[a:b]) for a, b in zip([0, *(stops[:-1] * width).tolist()], (stops * width).tolist(), strict=True)]
+            sizes = np.diff(np.r_[0, stops])
+            # chunks of document i: counts[i] of them
+            last = np.searchsorted(stops, ends, side="right")
+            new, new_ends = [], []
+            at = 0
+            for end in last.tolist():
+                for k in range(at, end):
+                    if keys[k] not in seen:
+                        seen.add(keys[k])
+                        new.append(k)
+                new_ends.append(len(new))
+                at = end
+            bounds = [0, *last.tolist()]
+            roots = [merkle(keys[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            payloads = [tag + pack.compress(raw[(stops[k] - sizes[k]) * width : stops[k] * width]) for k in new]
+            fresh = pa.StructArray.from_arrays([pa.array([keys[k] for k in new], pa.binary()), pa.array(sizes[new], pa.int32()), pa.array(payloads, pa.binary())], fields=list(_CHUNK))
+            offsets = lambda x: pa.array(np.r_[0, x].astype(np.int32))
+            columns = [
+                block.column(0), block.column(1), pa.array(np.diff(np.r_[0, ends]), pa.int64()),
+                pa.ListArray.from_arrays(offsets(last), pa.array(keys, pa.binary())),
+                pa.ListArray.from_arrays(offsets(last), pa.array(sizes, pa.int32())),
+                pa.array(roots, pa.binary()),
+                pa.ListArray.from_arrays(offsets(np.asarray(new_ends)), fresh),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "n_tokens", "addresses", "lengths", "root", "chunks"])
 
     return run
 
@@ -214,9 +231,9 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_store(docs: DataFrame, store: str, path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text and writes chunks, recipes and manifest under ``store``."""
     path = path or vocab.default_path("word_bpe_49k.json")
-    encoded = staged(keyed(docs, id_col, text_col).mapInArrow(_encode(path, end_id), _ENCODED), "token-ids")
+    encoded = staged(keyed(docs, id_col, text_col).mapInArrow(_encode(path, end_id), _ENCODED), "token-ids", **_FILES)
     chunks = encoded.select(F.explode("chunks").alias("c")).select("c.address", "c.n_ids", "c.payload")
-    chunks.repartition("address").mapInArrow(_once, "address binary, n_ids int, payload binary").write.option("compression", "uncompressed").parquet(f"{store}/chunks")
+    chunks.repartition("address").mapInArrow(_once, "address binary, n_ids int, payload binary").write.options(**_FILES).parquet(f"{store}/chunks")
     recipes = encoded.select("doc_id", "row_key", "n_tokens", "addresses", "lengths", "root")
     ordered = recipes.repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
     numbered = ordered.mapInArrow(_number, "doc_id long, row_key long, n_tokens long, addresses array<binary>, lengths array<int>, root binary, local_start long")
