@@ -72,8 +72,8 @@ def neighbour_pairs(nodes: DataFrame, distance: float, theta_days: int, x: str =
     cell = lambda c: F.floor(F.col(c) / distance)
     a = nodes.select(F.col("id").alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi"), F.col("day").alias("di"), F.col("is_break").alias("bi"), cell(x).alias("cx"), cell(y).alias("cy"))
     b = nodes.select(F.col("id").alias("j"), F.col(x).alias("xj"), F.col(y).alias("yj"), F.col("day").alias("dj"), F.col("is_break").alias("bj"), cell(x).alias("bx"), cell(y).alias("by"))
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    b = b.withColumn("cx", F.col("bx") + F.explode(step)).withColumn("cy", F.col("by") + F.explode(step)).drop("bx", "by")
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    b = b.withColumn("cx", around("bx")).withColumn("cy", around("by")).drop("bx", "by")
     gap = F.sqrt(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2))
     pairs = a.join(b, ["cx", "cy"]).where((F.col("i") < F.col("j")) & (gap <= distance))
     linked = (F.col("bi") != F.col("bj")) | (F.col("bi") & F.col("bj") & (F.abs(F.col("di") - F.col("dj")) < theta_days))

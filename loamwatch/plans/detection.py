@@ -1 +1,108 @@
-"""Queries."""
+"""Detection queries (H) and the break map."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from loamwatch.functions import harmonics as HM
+from loamwatch.functions import scalars as S
+from loamwatch.operators import detection as D
+from loamwatch.operators import windows as O
+from loamwatch.plans import fixtures as X
+from loamwatch.plans.registry import query
+
+ORDER = ["l_orderkey", "l_linenumber", "nir", "red", "swir2"]
+PX = ["tile", "x", "y"]
+
+
+def segments(spark, d):
+    return D.detect_segments(X.observations(spark, d), order=ORDER)
+
+
+@query("h01_detect_segments")
+def detect(spark, d):
+    return segments(spark, d).select("tile", "x_coord", "y_coord", "tStart", "tEnd", "tBreak", "changeProb", "greenStart", "greenEnd", F.round("intercept_values", 3).alias("intercept"))
+
+
+@query("break_map")
+def break_map(spark, d):
+    """Pixels with their picked break as YYYYMMDD."""
+    s = segments(spark, d).where("tBreak IS NOT NULL").select("tile", "x_coord", "y_coord", "tStart", "tBreak")
+    picked = O.pick_break(s, ["tile", "x_coord", "y_coord"], ties=["tStart"])
+    return picked.select("tile", "x_coord", "y_coord", S.date_to_int(S.ms_to_date(F.col("tBreak"))).alias("yyyymmdd"))
+
+
+@query("h08_harmonic_fit")
+def fit(spark, d):
+    t = D.harmonic_fit(X.observations(spark, d), order=ORDER)
+    return t.select("tile", "x", "y", "band", F.round("rmse", 3).alias("rmse"), F.round(F.get("coefficients", 1), 3).alias("cos1"), F.round(F.get("coefficients", 0), 6).alias("slope"))
+
+
+@query("h09_outlier_mask")
+def outliers(spark, d):
+    return D.outlier_flags(X.observations(spark, d), order=ORDER).groupBy(*PX).agg(F.count_if("outlier").alias("outliers"), F.count("*").alias("n"))
+
+
+_ORD = "(date_diff('day', DATE '1970-01-01', obs_date) + 719163)"
+
+
+@query("h07_design_columns", X.with_sql("obs", f"SELECT l_orderkey, l_linenumber, x, round(cos(w), 6) AS c1, round(sin(w), 6) AS s1, round(cos(3 * w), 6) AS c3 FROM (SELECT *, 2 * pi() * {_ORD} / 365.2425 AS w FROM obs)"))
+def design(spark, d):
+    c = HM.design(S.date_to_ordinal(F.col("obs_date")))
+    return X.observations(spark, d).select("l_orderkey", "l_linenumber", "x", F.round(c[1], 6).alias("c1"), F.round(c[2], 6).alias("s1"), F.round(c[5], 6).alias("c3"))
+
+
+@query("h10_h11_h12_change_scores", X.with_sql("obs", """
+SELECT x, y, count(*) FILTER (WHERE m > 16.26624) AS over, count(*) FILTER (WHERE m > 30.66485) AS extreme, round(min(m), 6) AS least, round(max(m), 6) AS most FROM (
+SELECT x, y, power(abs(nir - mn) / greatest(vn, sn), 2) + power(abs(red - mr) / greatest(vr, sr), 2) AS m FROM obs JOIN (
+ SELECT x, y, avg(nir) AS mn, stddev_samp(nir) AS sn, avg(red) AS mr, stddev_samp(red) AS sr FROM obs GROUP BY x, y) USING (x, y) JOIN (
+ SELECT x, y, median(dn) AS vn, median(dr) AS vr FROM (SELECT x, y, abs(nir - lag(nir) OVER w) AS dn, abs(red - lag(red) OVER w) AS dr FROM obs WINDOW w AS (PARTITION BY x, y ORDER BY obs_date, l_orderkey, l_linenumber, nir, red)) GROUP BY x, y) USING (x, y)) GROUP BY x, y"""))
+def change_scores(spark, d):
+    """Squared deviations from a flat fit over max(variogram, rmse), against the two limits."""
+    from loamwatch.operators.aggregates import first_variogram
+
+    o = X.observations(spark, d)
+    fit = o.groupBy("x", "y").agg(*[f(b).alias(f"{n}_{b}") for b in ("nir", "red") for n, f in (("mean", F.avg), ("rmse", F.stddev_samp))])
+    v = first_variogram(o, ["x", "y"], "obs_date", ["nir", "red"], ORDER[:4]).select("x", "y", F.col("nir").alias("v_nir"), F.col("red").alias("v_red"))
+    part = lambda b: F.pow(F.abs(F.col(b) - F.col(f"mean_{b}")) / F.greatest(f"v_{b}", f"rmse_{b}"), 2)
+    m = o.join(fit.join(v, ["x", "y"]), ["x", "y"]).select("x", "y", (part("nir") + part("red")).alias("m"))
+    return m.groupBy("x", "y").agg(F.count_if(F.col("m") > 16.26624).alias("over"), F.count_if(F.col("m") > 30.66485).alias("extreme"), F.round(F.min("m"), 6).alias("least"), F.round(F.max("m"), 6).alias("most"))
+
+
+@query("h13_thresholds", X.with_sql("obs", "SELECT DISTINCT tile, 16.26624 AS change, 30.66485 AS outlier FROM obs"))
+def thresholds(spark, d):
+    return X.observations(spark, d).select("tile").distinct().select("tile", F.lit(round(D.chi2_quantile(0.999), 5)).alias("change"), F.lit(round(D.chi2_quantile(0.999999), 5)).alias("outlier"))
+
+
+@query("h14_seasonal_neighbours", X.with_sql("obs", f"""
+SELECT x, y, round(sqrt(sum(nir * nir)) / 4, 6) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY abs(round_even((t - t_at) / 365.25, 0) * 365.25 - (t - t_at)), obs_date, l_orderkey, l_linenumber, nir) AS r
+FROM (SELECT *, {_ORD} AS t, max({_ORD}) OVER (PARTITION BY x, y) AS t_at FROM obs)) WHERE r <= 24 GROUP BY x, y"""))
+def seasonal(spark, d):
+    t = X.observations(spark, d).withColumn("t", S.date_to_ordinal(F.col("obs_date"))).withColumn("at", F.max("t").over(W.partitionBy("x", "y")))
+    gap = F.col("t") - F.col("at")
+    far = F.abs(F.bround(gap / 365.25) * 365.25 - gap)
+    n = F.row_number().over(W.partitionBy("x", "y").orderBy(far, "obs_date", "l_orderkey", "l_linenumber", "nir"))
+    return t.withColumn("r", n).where("r <= 24").groupBy("x", "y").agg(F.round(F.sqrt(F.sum(F.col("nir").cast("double") * F.col("nir"))) / 4, 6).alias("rmse"))
+
+
+@query("h15_h16_sufficiency", X.with_sql("obs", """
+SELECT x, y, count(*) >= 12 AS enough, date_diff('day', min(obs_date), max(obs_date)) >= 365 AS long_enough, CASE WHEN count(*) / 3 < 6 THEN 4 WHEN count(*) / 3 < 8 THEN 6 ELSE 8 END AS terms, min(obs_date) FILTER (WHERE date_diff('day', f, obs_date) >= 365) AS year_on
+FROM (SELECT *, min(obs_date) OVER (PARTITION BY x, y) AS f FROM obs WHERE green % 40 = 0) GROUP BY x, y"""), dates="year_on")
+def sufficiency(spark, d):
+    o = X.observations(spark, d).where("green % 40 = 0").withColumn("f", F.min("obs_date").over(W.partitionBy("x", "y")))
+    n = F.count("*")
+    return o.groupBy("x", "y").agg((n >= 12).alias("enough"), (F.datediff(F.max("obs_date"), F.min("obs_date")) >= 365).alias("long_enough"), F.when(n / 3 < 6, 4).when(n / 3 < 8, 6).otherwise(8).alias("terms"), F.min(F.when(F.datediff("obs_date", "f") >= 365, F.col("obs_date"))).alias("year_on"))
+
+
+@query("j01_j02_own_fitter", X.with_sql("obs", """
+SELECT tile, x, y, round(avg(10000.0 * (nir - red) / (nir + red)), 4) AS intercept, round(stddev_pop(10000.0 * (nir - red) / (nir + red)), 4) AS rmse FROM obs WHERE green <> 65535 GROUP BY ALL HAVING count(*) > 4"""))
+def own_fitter(spark, d):
+    """The fitter is an argument: here a flat one."""
+    import numpy as np
+
+    def flat(t, y, terms, alpha, year):
+        return [D.Fit(np.zeros(7), float(v.mean()), float(v.std()), v - v.mean()) for v in y]
+
+    t = D.harmonic_fit(X.observations(spark, d), 4, D.replace(D.Parameters(), fitter=flat), ORDER)
+    return t.where("band = 'ndvi'").select("tile", "x", "y", F.round("intercept", 4).alias("intercept"), F.round("rmse", 4).alias("rmse"))

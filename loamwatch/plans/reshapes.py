@@ -1 +1,98 @@
-"""Queries."""
+"""Sorts, limits, set operations (F); arrays and reshapes (G)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loamwatch.functions import geometry as G
+from loamwatch.functions import scalars as S
+from loamwatch.plans import fixtures as X
+from loamwatch.plans.registry import query
+from loamwatch.session import table
+
+
+@query("f01_sorted_series", X.with_sql("obs", "SELECT x, y, list(nir ORDER BY obs_date, l_orderkey, l_linenumber, nir) AS series FROM obs GROUP BY x, y"))
+def series(spark, d):
+    g = X.observations(spark, d).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("obs_date", "l_orderkey", "l_linenumber", "nir"))).alias("s"))
+    return g.select("x", "y", F.transform("s", lambda v: v["nir"]).alias("series"))
+
+
+@query("f02_top_two", X.with_sql("obs seg", "SELECT x_coord, y_coord, flag, tBreak FROM seg QUALIFY row_number() OVER (PARTITION BY x_coord, y_coord ORDER BY tBreak DESC, flag) <= 2"))
+def top_two(spark, d):
+    from pyspark.sql import Window as W
+
+    n = F.row_number().over(W.partitionBy("x_coord", "y_coord").orderBy(F.desc("tBreak"), "flag"))
+    return X.segments(spark, d).withColumn("n", n).where("n <= 2").select("x_coord", "y_coord", "flag", "tBreak")
+
+
+@query("f03_f06_union_layers", X.with_sql("acts", "SELECT id_gleba, day, activity FROM acts WHERE activity = 'PLANT' UNION ALL SELECT id_gleba, day, activity FROM acts WHERE activity LIKE 'CORTE1%'"), dates="day")
+def union(spark, d):
+    a = X.activities(spark, d)
+    return a.where("activity = 'PLANT'").select("id_gleba", "day", "activity").unionByName(a.where("activity LIKE 'CORTE1%'").select("day", "activity", "id_gleba"))
+
+
+_LAYERS = X.with_sql("polys", """
+SELECT row_number() OVER (ORDER BY label, id)::INT AS n, label, id, day FROM (
+ SELECT 'mix' AS label, buffer_id::VARCHAR AS id, CASE WHEN buffer_id % 2 = 0 THEN DATE '2018-05-06' END AS day FROM polys
+ UNION ALL SELECT 'cut', lpad(o_orderkey::VARCHAR, 7, '0'), NULL FROM orders WHERE list_sum(list_transform(string_split(lpad(o_orderkey::VARCHAR, 7, '0')[1:5], ''), lambda c: c::INT)) % 2 = 0)""")
+
+
+@query("f04_harmonised_layers", _LAYERS, dates="day")
+def layers(spark, d):
+    from loamwatch.operators.relations import surrogate_keys
+
+    area = G.area(F.col("ring"))
+    mix = X.polygons(spark, d).where(area.between(500, 1_000_000)).select(F.lit("mix").alias("label"), F.col("buffer_id").cast("string").alias("id"), S.clean_date(F.when(F.col("buffer_id") % 2 == 0, "20180506").otherwise("20300101")).alias("day"))
+    o = table(spark, d, "orders").select(F.lit("cut").alias("label"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0").alias("id"), F.lit(None).cast("date").alias("day"))
+    both = mix.unionByName(o.where(S.even_digit_sum(F.col("id"))))
+    return surrogate_keys(both, ["label", "id"], "n").select(F.col("n").cast("int").alias("n"), "label", "id", "day")
+
+
+@query("f05_distinct", X.with_sql("acts", "SELECT DISTINCT id_gleba, activity FROM acts"))
+def distinct(spark, d):
+    return X.activities(spark, d).select("id_gleba", "activity").dropDuplicates()
+
+
+@query("f07_seeded_sample")
+def sample(spark, d):
+    """A fixed sample of 1,000 pixels' observations: the feature is the size of the sample."""
+    return X.observations(spark, d).orderBy(F.xxhash64("l_orderkey", "l_linenumber", F.lit(123)), "l_orderkey", "l_linenumber").limit(1000).select("x", "y", "l_orderkey", "l_linenumber")
+
+
+@query("g01_parallel_explode", X.with_sql("obs seg", "SELECT x_coord, y_coord, CASE WHEN keep THEN tBreak END AS tBreak, CASE WHEN keep THEN changeProb END AS changeProb FROM (SELECT DISTINCT x_coord, y_coord, keep, CASE WHEN keep THEN tBreak END AS tBreak, CASE WHEN keep THEN changeProb END AS changeProb, CASE WHEN keep THEN flag END AS flag FROM (SELECT *, x_coord % 20 = 0 AS keep FROM seg))"))
+def parallel(spark, d):
+    g = X.segments(spark, d).groupBy("x_coord", "y_coord").agg(F.array_sort(F.collect_list(F.struct("tBreak", "changeProb", "flag"))).alias("l"))
+    l = F.when(F.col("x_coord") % 20 == 0, F.col("l")).otherwise(F.array().cast("array<struct<tBreak:bigint,changeProb:int,flag:string>>"))
+    t = g.select("x_coord", "y_coord", F.transform(l, lambda v: v["tBreak"]).alias("tBreak"), F.transform(l, lambda v: v["changeProb"]).alias("changeProb"))
+    return t.select("x_coord", "y_coord", F.explode_outer(F.arrays_zip("tBreak", "changeProb")).alias("z")).select("x_coord", "y_coord", "z.tBreak", "z.changeProb")
+
+
+@query("g03_analyst_rows", X.with_sql("obs seg", """
+SELECT x_coord, y_coord, flag, 1 AS part, start_date AS day, 'a' || changeProb AS kind FROM seg UNION ALL SELECT x_coord, y_coord, flag, 2, end_date, 'b' || changeProb FROM seg WHERE changeProb > 0"""), dates="day")
+def analyst(spark, d):
+    s = X.segments(spark, d).select("x_coord", "y_coord", "flag", F.col("start_date").alias("data_1"), F.concat(F.lit("a"), "changeProb").alias("tipo_1"), F.when(F.col("changeProb") > 0, F.col("end_date")).alias("data_3"), F.concat(F.lit("b"), "changeProb").alias("tipo_2"))
+    from loamwatch.operators.validation import analyst_rows
+
+    return analyst_rows(s, ["x_coord", "y_coord", "flag"], [("data_1", "tipo_1"), ("data_3", "tipo_2")], ["data_1", "data_3"]).select("x_coord", "y_coord", "flag", "part", F.col("data").alias("day"), F.col("tipo").alias("kind"))
+
+
+@query("g04_single_parts", X.with_sql("parcels", "SELECT id_gleba, p::INT AS part, 2 AS parts, CASE p WHEN 0 THEN 35.0 ELSE 6.0 END AS area FROM parcels, (SELECT unnest([0, 1]) AS p)"))
+def parts(spark, d):
+    x, y = F.col("minx"), F.col("miny")
+    rings = F.array(F.col("ring"), G.rectangle(x + 100, y, x + 103, y + 2))
+    t = X.parcels(spark, d).select("id_gleba", F.size(rings).alias("parts"), F.posexplode(rings).alias("part", "r"))
+    return t.select("id_gleba", "part", "parts", F.round(G.area(F.col("r")), 6).alias("area"))
+
+
+_DESIGN = "cos(w) AS c1, sin(w) AS s1, cos(2 * w) AS c2, sin(2 * w) AS s2, cos(3 * w) AS c3, sin(3 * w) AS s3"
+
+
+@query("g06_h07_fitted_curve", X.with_sql("obs seg", """
+SELECT x_coord, y_coord, flag, day, round(100 + 0.01 * (t - 728000) + 5 * cos(w) + 4 * sin(w) + 3 * cos(2 * w) + 2 * sin(2 * w) + cos(3 * w) + 0.5 * sin(3 * w), 6) AS value FROM (
+SELECT *, date_diff('day', DATE '1970-01-01', day) + 719163 AS t, 2 * pi() * (date_diff('day', DATE '1970-01-01', day) + 719163) / 365.2425 AS w FROM (SELECT x_coord, y_coord, flag, unnest(generate_series(start_date, least(end_date, start_date + 30), INTERVAL 1 DAY))::DATE AS day FROM seg))"""), dates="day")
+def curve(spark, d):
+    from loamwatch.functions.harmonics import predicted
+
+    s = X.segments(spark, d).select("x_coord", "y_coord", "flag", F.explode(F.sequence("start_date", F.least("end_date", F.date_add("start_date", 30)))).alias("day"))
+    coefficients = F.array(*[F.lit(v) for v in (0.01, 5.0, 4.0, 3.0, 2.0, 1.0, 0.5)])
+    return s.select("x_coord", "y_coord", "flag", "day", F.round(predicted(S.date_to_ordinal(F.col("day")), F.lit(100 - 7280.0), coefficients), 6).alias("value"))

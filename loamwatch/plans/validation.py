@@ -1 +1,62 @@
-"""Queries."""
+"""Validation (I1 to I4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loamwatch.operators import aggregates as A
+from loamwatch.operators import spatial as P
+from loamwatch.operators import validation as V
+from loamwatch.operators import windows as O
+from loamwatch.plans import fixtures as X
+from loamwatch.plans.registry import query
+
+START, END = 800000000000, 1003000000000
+_FIXED = """,
+fixed AS (SELECT * REPLACE (CASE WHEN count(*) OVER w > 1 AND tBreak <> max(tBreak) OVER w THEN 1.0 ELSE changeProb / 100 END AS changeProb) FROM seg WINDOW w AS (PARTITION BY x_coord, y_coord)),
+flagged AS (SELECT *, min(tStart) OVER w AS startMin, ceil(sum(changeProb) OVER w)::INT AS numBreak, changeProb > 0 AND changeProb < 1 AS part, tBreak > 800000000000 AND tBreak < 1003000000000 AND NOT (changeProb > 0 AND changeProb < 1) AS inside FROM fixed WINDOW w AS (PARTITION BY x_coord, y_coord)),
+nulled AS (SELECT * REPLACE (CASE WHEN inside THEN tBreak END AS tBreak) FROM flagged),
+marked AS (SELECT *, max(tBreak) OVER (PARTITION BY x_coord, y_coord) IS NOT NULL AS has FROM nulled),
+kept AS (SELECT *, count(*) OVER (PARTITION BY x_coord, y_coord) AS n FROM marked WHERE NOT (tBreak IS NULL AND (numBreak > 1 OR (numBreak = 1 AND NOT inside AND tStart = startMin)))),
+period AS (SELECT x_coord, y_coord, flag, tStart, tBreak, changeProb FROM kept WHERE NOT (n = 2 AND changeProb = 0 AND numBreak = 1)
+ UNION ALL SELECT x_coord, y_coord, flag, tStart, tBreak, changeProb FROM marked WHERE tBreak IS NULL AND NOT has AND (part OR (changeProb = 0 AND numBreak > 1)))
+"""
+
+
+def _period(spark, d):
+    s = O.fix_probability(X.segments(spark, d), V.COORD)
+    return V.period_filter(s, START, END).select(*V.COORD, "flag", "tStart", "tBreak", "changeProb")
+
+
+@query("i01_period_filter", X.with_sql("obs seg", _FIXED + "SELECT * FROM period").replace("\n,\n", ",\n"))
+def period(spark, d):
+    return _period(spark, d)
+
+
+def reference_rows(spark, d):
+    """Segments of the period at the polygons, one row an analyst date: coordinate, nome, id, analysts, tBreak, delta_min, tipo, altera, border."""
+    points = _period(spark, d).withColumn("id", F.concat_ws("_", *V.COORD, "flag", "tStart"))
+    hit = P.point_pairs(points, X.polygons(spark, d).where("buffer_id % 4 = 0"), 40.0, *V.COORD)
+    border = P.near_border(F.col("ring"), F.col("x_coord").cast("double"), F.col("y_coord").cast("double"))
+    k = F.col("buffer_id")
+    first = F.when(k % 8 == 0, F.lit("2000-03-01").cast("date"))
+    second = F.when(k % 12 == 0, F.lit("2001-08-01").cast("date"))
+    t = hit.select(*V.COORD, "id", "buffer_id", "tBreak", border.alias("border"), first.alias("data_1"), second.alias("data_3"), F.lit("Corte").alias("tipo_1"), F.lit("Corte").alias("tipo_2"))
+    an = F.col("data_1").isNotNull().cast("int") + (F.col("data_1").isNotNull() & F.col("data_3").isNotNull()).cast("int")
+    keep = [*V.COORD, "id", "buffer_id", "tBreak", "border", "analysts"]
+    rows = V.analyst_rows(t.withColumn("analysts", an), keep, [("data_1", "tipo_1"), ("data_3", "tipo_2")], ["data_1", "data_3"])
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("tBreak") / 86400000).cast("int"))
+    return rows.withColumn("delta_min", F.datediff(day, "data")).withColumn("nome", F.concat_ws("_", "buffer_id", "part"))
+
+
+@query("i02_i03_classification")
+def classification(spark, d):
+    return V.classify(reference_rows(spark, d), 60).select(*V.COORD, "id", "nome", "analysts", "delta_min", "VP", "FP", "FN", "VN")
+
+
+@query("i04_validation")
+def validation(spark, d):
+    """From segments to commission, omission and F1, border rows left out."""
+    rows = V.classify(reference_rows(spark, d), 60).withColumns({"altera": F.when(F.col("analysts") > 0, "Com Alteracao").otherwise("Sem Alteracao"), "classe_anterior": F.lit("Eucalipto"), "classe_atual": F.lit("Solo")})
+    t = A.scores(V.comparable(rows, ("Solo",)))
+    return t.select("VP", "FP", "FN", *[F.round(c, 6).alias(c) for c in ("cm", "om", "f1")])
