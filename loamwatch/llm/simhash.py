@@ -11,8 +11,8 @@ For a radius above 3 the leading bits alone prune little. Then the index is made
 code; two codes within the radius agree, in at least one of them, on the leading block up to radius // rotations
 bits, so that bound is used too and every pair is still found.
 
-A pair of branches returns not all close pairs but a spanning forest of them, nearest first, which keeps the
-components at every distance up to the radius.
+A pair of branches returns a spanning forest of its links, nearest first, which keeps all components. A branch
+knows the dense regions inside it, so that two branches of one region return a link, not all their pairs.
 
 Null texts have no words; texts without words have fingerprint zero and link like any other. Repeated rows link.
 Component ids ignore null document ids; a component of null ids alone has a null id. An empty table gives an
@@ -33,7 +33,7 @@ from loamwatch.llm.common import blocks, keyed, raw, words_of
 from loamwatch.operators.components import connected_components
 from loamwatch.staging import staged
 
-LEAF, LEAVES = 128, 32
+LEAF, LEAVES, DENSE = 128, 32, 32
 #: Up to so many nodes are searched from one root entry; more get another level.
 ROOT = 4096
 
@@ -83,10 +83,11 @@ def gray_rank(code: Column) -> Column:
     return code.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-_BRANCH = "node long, pattern long, mask long, sizes binary, patterns binary, masks binary, codes binary"
+_BRANCH = "node long, pattern long, mask long, sizes binary, patterns binary, masks binary, codes binary, labels binary"
+_PARTS = ("sizes", "patterns", "masks", "codes", "labels")
 
 
-def _build(prefix_bits: int):
+def _build(prefix_bits: int, radius: int, top: int, top_radius: int):
     """Sorted codes of a partition -> branches. Leaves also end where the leading bits change, so none spans a coarse boundary."""
 
     def branch(node: int, codes: np.ndarray, starts: np.ndarray) -> dict:
@@ -96,13 +97,16 @@ def _build(prefix_bits: int):
         masks = ~free
         all_free = np.bitwise_or.reduce(free | (first ^ first[0]))
         i64 = lambda x: int(np.uint64(x).astype(np.int64))
-        return {"node": node, "pattern": i64(first[0] & ~all_free), "mask": i64(~all_free), "sizes": sizes.astype("<i4").tobytes(), "patterns": (first & masks).tobytes(), "masks": masks.tobytes(), "codes": codes.tobytes()}
+        own = Branch(sizes, first & masks, masks, codes)
+        labels = connect(own, own, radius, np.uint64(top), top_radius)[3]
+        parts = (sizes.astype("<i4"), first & masks, masks, codes, labels.astype("<i4"))
+        return {"node": node, "pattern": i64(first[0] & ~all_free), "mask": i64(~all_free)} | {n: x.tobytes() for n, x in zip(_PARTS, parts, strict=True)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, made, held = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.uint64)
-        schema = pa.schema([("node", pa.int64()), ("pattern", pa.int64()), ("mask", pa.int64()), *[(n, pa.binary()) for n in ("sizes", "patterns", "masks", "codes")]])
+        schema = pa.schema([("node", pa.int64()), ("pattern", pa.int64()), ("mask", pa.int64()), *[(n, pa.binary()) for n in _PARTS]])
         shift = np.uint64(64 - prefix_bits) if prefix_bits else None
 
         def cut(codes: np.ndarray, last: bool):
@@ -200,32 +204,101 @@ def _node_pairs(nodes: DataFrame, radius: int, top: int, top_radius: int) -> Dat
     return pairs.mapInArrow(descend, "a long, b long")
 
 
-def forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the edges of a spanning forest of least distances over nodes 0..n-1."""
-    label = np.arange(n)
-    chosen = []
-    for distance in np.unique(d):
-        left = np.flatnonzero(d == distance)
-        while len(left := left[label[u[left]] != label[v[left]]]):
-            # for each component one edge out of it
-            _, first = np.unique(label[u[left]], return_index=True)
-            merged = label.copy()
-
-            def top(x: int, merged=merged) -> int:
-                while merged[x] != x:
-                    merged[x] = merged[merged[x]]
-                    x = merged[x]
-                return x
-
-            for e in left[first]:
-                a, b = top(label[u[e]]), top(label[v[e]])
-                if a != b:
-                    merged[max(a, b)] = min(a, b)
-                    chosen.append(e)
-            while (again := merged[merged]).tolist() != merged.tolist():
-                merged = again
-            label = merged[label]
-    return np.asarray(chosen, np.int64)
+class Branch:
+    """A branch as arrays: leaf bounds, patterns and masks, codes, and labels of the dense regions inside it."""
+
+    def __init__(self, sizes: np.ndarray, patterns: np.ndarray, masks: np.ndarray, codes: np.ndarray, labels: np.ndarray | None = None):
+        self.bounds = np.r_[0, np.cumsum(sizes)]
+        self.patterns, self.masks, self.codes = patterns, masks, codes
+        self.labels = np.arange(len(codes)) if labels is None else labels.astype(np.int64)
+
+
+class Labels:
+    """Which codes are connected: a union-find over labels, and the label of each code."""
+
+    def __init__(self, label: np.ndarray):
+        self.label, self.parent = label.copy(), np.arange(len(label))
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Positions of the links, in order, that connect what wasn't connected."""
+        taken = []
+        for k, (x, y) in enumerate(zip(self.label[u].tolist(), self.label[v].tolist(), strict=True)):
+            p, q = self.root(x), self.root(y)
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
+                taken.append(k)
+        roots = self.parent[self.parent]
+        while (again := roots[roots]).tolist() != roots.tolist():
+            roots = again
+        self.label = roots[self.label]
+        return np.asarray(taken, np.int64)
+
+
+def connect(a: Branch, b: Branch, radius: int, top: np.uint64, top_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (u, v, distance) of two branches (a may be b), nearest first, that join codes not connected yet; and the labels of dense regions.
+
+    Where a leaf's codes have more than DENSE partners each on average, links are made at once, by nearest partner,
+    and what they connect isn't compared again: a dense region costs about as much as its codes, not its pairs. All
+    other close pairs are gathered, and a spanning forest of least distances is kept.
+    """
+    same = a is b
+    shift = 0 if same else len(a.codes)
+    dense = Labels(a.labels if same else np.r_[a.labels, b.labels + shift])
+    us, vs, ds = [], [], []
+    loose: list[tuple] = []
+    near = _near(a.patterns, a.masks, b.patterns, b.masks, radius, top, top_radius)
+    if same:
+        near = np.triu(near)
+    for i in np.flatnonzero(near.any(axis=1)):
+        lo, hi = a.bounds[i], a.bounds[i + 1]
+        at = np.concatenate([np.arange(b.bounds[j], b.bounds[j + 1]) for j in np.flatnonzero(near[i])])
+        mine = dense.label[lo:hi]
+        if (mine == mine[0]).all():
+            at = at[dense.label[shift + at] != mine[0]]
+        if not len(at):
+            continue
+        gap = np.bitwise_count(a.codes[lo:hi, None] ^ b.codes[at][None, :])
+        close = gap <= radius
+        count = int(close.sum())
+        if count <= DENSE * (hi - lo):
+            x, y = np.nonzero(close)
+            u, v = lo + x, shift + at[y]
+            ok = dense.label[u] != dense.label[v]
+            if same:
+                ok &= u < v
+            loose.append((u[ok], v[ok], gap[x, y][ok]))
+            continue
+        for r in range(radius + 1):
+            while True:
+                open_ = (gap <= r) & (dense.label[lo:hi][:, None] != dense.label[shift + at][None, :])
+                columns = np.flatnonzero(open_.any(axis=0))
+                if not len(columns):
+                    break
+                rows = np.where(open_[:, columns], gap[:, columns], 255).argmin(axis=0)
+                u, v = lo + rows, shift + at[columns]
+                taken = dense.join(u, v)
+                us.append(u[taken])
+                vs.append(v[taken])
+                ds.append(gap[rows, columns][taken])
+    labels = dense.label
+    if loose:
+        u, v, d = (np.concatenate(x) for x in zip(*loose, strict=True))
+        order = np.argsort(d, kind="stable")
+        rest = Labels(labels)
+        taken = order[rest.join(u[order], v[order])]
+        us.append(u[taken])
+        vs.append(v[taken])
+        ds.append(d[taken])
+    codes = a.codes if same else np.r_[a.codes, b.codes]
+    every = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+    return codes[every(us, np.int64)], codes[every(vs, np.int64)], every(ds, np.int32), labels
 
 
 def _compare(radius: int, top: int, top_radius: int):
@@ -234,46 +307,21 @@ def _compare(radius: int, top: int, top_radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
                 get = lambda i, t: np.frombuffer(batch.column(i)[k].as_py(), t)  # noqa: B023, E731
-                sides = []
-                for i in (2, 6):
-                    sizes = get(i, "<i4")
-                    sides.append((sizes, np.r_[0, np.cumsum(sizes)], get(i + 1, np.uint64), get(i + 2, np.uint64), get(i + 3, np.uint64)))
-                (_, sa, pa_, ma, ca), (_, sb, pb, mb, cb) = sides
-                near = _near(pa_, ma, pb, mb, radius, top, top_radius)
-                if same:
-                    near = np.triu(near)
-                shift = 0 if same else len(ca)
-                us, vs, ds, held = [], [], [], 0
-                for i in np.flatnonzero(near.any(axis=1)):
-                    # one leaf against all leaves that it may meet
-                    js = np.flatnonzero(near[i])
-                    at = np.concatenate([np.arange(sb[j], sb[j + 1]) for j in js])
-                    gap = np.bitwise_count(ca[sa[i] : sa[i + 1], None] ^ cb[at][None, :])
-                    x, y = np.nonzero(gap <= radius)
-                    u, v = x + sa[i], at[y]
-                    ok = u < v if same else np.ones(len(u), bool)
-                    us.append(u[ok])
-                    vs.append(v[ok] + shift)
-                    ds.append(gap[x, y][ok])
-                    held += len(us[-1])
-                    if held > 1_000_000:
-                        u, v, d = np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
-                        keep = forest(u, v, d, shift + len(cb))
-                        us, vs, ds, held = [u[keep]], [v[keep]], [d[keep]], 0
-                if not us or not sum(map(len, us)):
-                    continue
-                u, v, d = np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
-                keep = forest(u, v, d, shift + len(cb))
-                codes = ca if same else np.r_[ca, cb]
-                yield pa.RecordBatch.from_arrays([pa.array(codes[u[keep]].view(np.int64)), pa.array(codes[v[keep]].view(np.int64)), pa.array(d[keep].astype(np.int32))], names=["u", "v", "distance"])
+                load = lambda i, inner: Branch(get(i, "<i4"), get(i + 1, np.uint64), get(i + 2, np.uint64), get(i + 3, np.uint64), get(i + 4, "<i4") if inner else None)  # noqa: B023, E731
+                if batch.column(0)[k].as_py() == batch.column(1)[k].as_py():
+                    own = load(2, False)
+                    u, v, d, _ = connect(own, own, radius, top, top_radius)
+                else:
+                    u, v, d, _ = connect(load(2, True), load(7, True), radius, top, top_radius)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(d)], names=["u", "v", "distance"])
 
     return run
 
 
 def close_codes(codes: DataFrame, radius: int, rotations: int = 1) -> DataFrame:
-    """(u, v, distance): links between distinct codes within the radius, a spanning forest for each pair of branches."""
+    """(u, v, distance): links between distinct codes within the radius that keep all components."""
     distinct = staged(codes.select("code").distinct(), "codes")
     n = distinct.count()
     prefix = min(16, max(0, (n // LEAF).bit_length() - 1))
@@ -284,11 +332,11 @@ def close_codes(codes: DataFrame, radius: int, rotations: int = 1) -> DataFrame:
     for r in range(rotations):
         turned = distinct.select(F.expr(rotated("code", r * width)).alias("code")).select("code", gray_rank(F.col("code")).alias("rank"))
         ordered = turned.repartitionByRange("rank").sortWithinPartitions("rank").select("code")
-        branches = staged(ordered.mapInArrow(_build(prefix), _BRANCH), "gray-branches")
+        branches = staged(ordered.mapInArrow(_build(prefix, radius, top, top_radius), _BRANCH), "gray-branches")
         pairs = _node_pairs(branches.select("node", "pattern", "mask"), radius, top, top_radius)
-        side = lambda n: branches.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("sizes", "patterns", "masks", "codes")])  # noqa: B023, E731
+        side = lambda n: branches.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in _PARTS])  # noqa: B023, E731
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        columns = ["a", "b", *[f"{c}_{n}" for n in "ab" for c in ("sizes", "patterns", "masks", "codes")]]
+        columns = ["a", "b", *[f"{c}_{n}" for n in "ab" for c in _PARTS]]
         links = joined.select(*columns).mapInArrow(_compare(radius, top, top_radius), "u long, v long, distance int")
         back = (64 - r * width) % 64
         links = links.select(F.expr(rotated("u", back)).alias("u"), F.expr(rotated("v", back)).alias("v"), "distance")
