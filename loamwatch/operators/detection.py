@@ -371,7 +371,8 @@ def _pixel_rows(key: tuple, pdf: pd.DataFrame, p: Parameters) -> pd.DataFrame:
             v = clean[b].to_numpy(float)
             row |= {f"{b}Start": v[i], f"{b}Start2": v[i2], f"{b}End": v[j], f"{b}End2": v[j2]}
         rows.append(row)
-    out = pd.DataFrame(rows or [{}], columns=names)
+    out = pd.DataFrame(rows or [{"coeficientes": None}], columns=names)
+    out["coeficientes"] = out["coeficientes"].astype(object).where(out["coeficientes"].notna(), None)
     out["tile"], out["x_coord"], out["y_coord"] = key
     for c in ("tBreak", "tEnd", "tStart", "changeProb"):
         out[c] = out[c].astype("Int64")
