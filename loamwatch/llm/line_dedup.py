@@ -124,11 +124,6 @@ def _stream(min_docs: int, keep_first: bool):
                     if run is not None:
                         yield from close(run, last=False)
                     run = _Run(run is None, tuple(None if pd.isna(v) else int(v) for v in part.iloc[0][["h1", "h2", "doc_id", "row_key", "pos"]]))
-                    part = part if run.first else part
-                    run.held = []
-                    fresh = True
-                else:
-                    fresh = False
                 run.docs += int(docs[i])
                 if run.first:
                     yield marks(OPEN, part)
@@ -143,14 +138,13 @@ def _stream(min_docs: int, keep_first: bool):
                     run.held = []
                     if len(held):
                         yield marks(DROP, held)
-                del fresh
         if run is not None:
             yield from close(run, last=True)
 
     return run_partition
 
 
-def _pack(n: int, dropped: np.ndarray) -> bytes:
+def _pack(dropped: np.ndarray) -> bytes:
     """Bits of kept lines up to the last dropped one (all later lines stay), compressed."""
     keep = np.ones(int(dropped.max()) + 1, np.uint8)
     keep[dropped] = 0
@@ -189,7 +183,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
 
     @F.pandas_udf("binary")
     def bitmap(places: pd.Series) -> pd.Series:
-        return places.map(lambda p: _pack(0, np.asarray(p)))
+        return places.map(lambda p: _pack(np.asarray(p)))
 
     per_doc = dropped.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("places"))
     return per_doc.select("doc_id", "row_key", F.size("places").cast("long").alias("n_dropped"), bitmap("places").alias("keep_bitmap"))

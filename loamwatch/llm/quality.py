@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loamwatch.llm.common import BLANK_RUN, body, words_of
+from loamwatch.llm.common import body, words_of
 from loamwatch.staging import staged
 
 #: Measures that are bad when high, per mille (word length: tenths of a code point), and the floor of each.

@@ -58,7 +58,7 @@ def test_lines_of_odd_rows(odd, none):
 def test_bitmap_round_trip():
     import numpy as np
 
-    assert L.unpack(L._pack(0, np.array([0, 5]))).tolist() == [0, 1, 1, 1, 1, 0]
+    assert L.unpack(L._pack(np.array([0, 5]))).tolist() == [0, 1, 1, 1, 1, 0]
     assert len(L.unpack(None)) == 0
 
 

@@ -41,9 +41,9 @@ def test_personal_data_against_python(spark, odd, none, small):
 
 def test_contexts_reveal_identifiers(spark):
     """Addresses without a dotted domain miss the pattern; their context gives them away, and plain numbers stay clean."""
-    rows = [(i, f"please write to user{i}@host{i}.example.org for help, room {i} is open") for i in range(40)] + [(100 + i, f"please write to admin{i}@intranet for help") for i in range(5)] + [(200 + i, f"room {i}77 is open") for i in range(40)]
+    rows = [(i, f"please write to user{i}@host{i}.example.org for help, room {i} is open") for i in range(40)] + [(100 + i, f"please write to admin{i}@intranet for help") for i in range(3)] + [(200 + i, f"room {i}77 is open") for i in range(40)]
     got = {r.doc_id: r for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all([(s.k, rows_text(rows, 100 + i)[s.start : s.stop]) for s in got[100 + i].added] == [(0, f"admin{i}@intranet")] for i in range(5))
+    assert all([(s.k, rows_text(rows, 100 + i)[s.start : s.stop]) for s in got[100 + i].added] == [(0, f"admin{i}@intranet")] for i in range(3))
     assert all(not got[200 + i].added and not got[200 + i].base for i in range(40))
 
 
