@@ -67,7 +67,7 @@ def segment_table(spark, d):
 
 @query("a11_end_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate::DATE END AS end_date FROM orders", dates="end_date")
 def ends(spark, d):
-    t = X.images(spark, d).select(F.col("seq").alias("o_orderkey"), F.when(F.col("seq") % 4 != 0, F.concat(F.lit("ccd_END"), F.date_format("acq_date", "yyyyMMdd"), F.lit(".parquet"))).otherwise("ccd.parquet").alias("p"))
+    t = X.images(spark, d).select(F.col("seq").alias("o_orderkey"), F.when(F.col("seq") % 4 != 0, F.concat(F.lit("segments_END"), F.date_format("acq_date", "yyyyMMdd"), F.lit(".parquet"))).otherwise("segments.parquet").alias("p"))
     return t.select("o_orderkey", C.end_date(F.col("p")).alias("end_date"))
 
 
