@@ -74,11 +74,13 @@ class WordIds:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode_latin(self, words: list[str]) -> dict[str, bytes]:
-        """Latin words are one pre-token each, so thousands go through the library as one text."""
+        """Latin words are one pre-token each, so thousands go through the library as one text; words left out were not."""
         found = {}
         for i in range(0, len(words), 5000):
             part = words[i : i + 5000]
             done = self.library.encode(" ".join(part), add_special_tokens=False)
+            if len(part) != done.word_ids[-1] + 1:  # a word is several pre-tokens after all
+                continue
             ends = np.searchsorted(np.asarray(done.word_ids), np.arange(len(part)), side="right") * self.dtype.itemsize
             data, at = np.asarray(done.ids, self.dtype).tobytes(), 0
             for w, end in zip(part, ends.tolist(), strict=True):
