@@ -37,6 +37,8 @@ from loamwatch.staging import stage_path, staged
 WINDOW, LEAST, MOST, CUT_BITS = 8, 64, 8192, 10
 #: Letters before this one are Latin.
 LATIN = "ɐ"
+#: The one of them that lower-cases to a letter and a mark.
+DOTTED = "İ"
 #: Words whose ids a worker remembers, and text bytes that it takes at a time.
 REMEMBERED, BLOCK = 500_000, 6 << 20
 _ENCODED = "doc_id long, row_key long, n_tokens long, addresses array<binary>, lengths array<int>, root binary, chunks array<struct<address: binary, n_ids: int, payload: binary>>"
@@ -102,7 +104,7 @@ class WordIds:
                     known[w] = found[i] = v
                 else:
                     # a full stop or comma behind a plain letter is a token of its own
-                    new[w] = w[:-1] if w[-1:] in tails and w[-2:-1].isalpha() and w[-2] < LATIN else w
+                    new[w] = w[:-1] if w[-1:] in tails and w[-2:-1].isalpha() and w[-2] < LATIN and w[-2] != DOTTED else w
         stems = dict.fromkeys(new.values())
         ids = self.encode_latin([s for s in stems if s.isalpha() and (s.isascii() or max(s) < LATIN)])
         others = [s for s in stems if s not in ids]
