@@ -131,7 +131,8 @@ def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, n
     odd = np.zeros(len(texts), bool)
     for token in words.added:
         odd |= pc.match_substring(lower, token.lower()).to_numpy(zero_copy_only=False)
-    whole = {f"\0{i}": words.encode(texts[int(i)].as_py()) for i in np.flatnonzero(odd)}
+    # capitals tell these words from all others, which are lower case
+    whole = {f"TEXT{i}": words.encode(texts[int(i)].as_py()) for i in np.flatnonzero(odd)}
     if whole:
         lower = pc.replace_with_mask(lower, pa.array(odd), pa.array(list(whole), pa.string()))
     split = pc.ascii_split_whitespace(lower)
@@ -155,7 +156,7 @@ def cuts(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     rolled = np.zeros(len(ids), np.uint64)
-    for k in range(WINDOW):
+    for k in range(min(WINDOW, len(ids))):
         rolled[k:] = rolled[k:] + mixed[: len(ids) - k] * np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64))
     wanted = np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + 1
     out, at, w = [], 0, 0
