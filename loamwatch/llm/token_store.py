@@ -40,7 +40,7 @@ LATIN = "ɐ"
 #: The one of them that lower-cases to a letter and a mark.
 DOTTED = "İ"
 #: Words whose ids a worker remembers, and text bytes that it takes at a time.
-REMEMBERED, BLOCK = 500_000, 6 << 20
+REMEMBERED, BLOCK = 250_000, 4 << 20
 _ENCODED = "doc_id long, row_key long, n_tokens long, addresses array<binary>, lengths array<int>, root binary, chunks array<struct<address: binary, n_ids: int, payload: binary>>"
 #: Payloads are compressed and all different, and a task's row group is held in memory.
 _FILES = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
@@ -97,14 +97,13 @@ class WordIds:
         known, before, tails = self.known, self.before, self.tails
         found = list(map(known.get, words))
         new: dict[str, str] = {}
-        for i, v in enumerate(found):
-            if v is None:
-                w = words[i]
-                if (v := before.get(w)) is not None:
-                    known[w] = found[i] = v
-                else:
-                    # a full stop or comma behind a plain letter is a token of its own
-                    new[w] = w[:-1] if w[-1:] in tails and w[-2:-1].isalpha() and w[-2] < LATIN and w[-2] != DOTTED else w
+        for i in [i for i, v in enumerate(found) if v is None]:
+            w = words[i]
+            if (v := before.get(w)) is not None:
+                known[w] = found[i] = v
+            else:
+                # a full stop or comma behind a plain letter is a token of its own
+                new[w] = w[:-1] if w[-1:] in tails and w[-2:-1].isalpha() and w[-2] < LATIN and w[-2] != DOTTED else w
         stems = dict.fromkeys(new.values())
         ids = self.encode_latin([s for s in stems if s.isalpha() and (s.isascii() or max(s) < LATIN)])
         others = [s for s in stems if s not in ids]
