@@ -11,8 +11,9 @@ For a radius above 3 the leading bits alone prune little. Then the index is made
 code; two codes within the radius agree, in at least one of them, on the leading block up to radius // rotations
 bits, so that bound is used too and every pair is still found.
 
-A pair of branches returns a spanning forest of its links, nearest first, which keeps all components. A branch
-knows the dense regions inside it, so that two branches of one region return a link, not all their pairs.
+A pair of branches returns a spanning forest of its links, nearest first, which keeps all components of codes. A
+branch knows the dense regions inside it, so that two branches of one region return a link, not all their pairs.
+Components of verified texts need more than a forest: ``near_duplicates`` tests the other pairs too.
 
 Null texts have no words; texts without words have fingerprint zero and link like any other. Repeated rows link.
 Component ids ignore null document ids; a component of null ids alone has a null id. An empty table gives an
@@ -21,12 +22,13 @@ empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwatch.llm.common import blocks, keyed, raw, words_of
@@ -87,10 +89,13 @@ _BRANCH = "node long, pattern long, mask long, sizes binary, patterns binary, ma
 _PARTS = ("sizes", "patterns", "masks", "codes", "labels")
 
 
-def _build(prefix_bits: int, radius: int, top: int, top_radius: int):
-    """Sorted codes of a partition -> branches. Leaves also end where the leading bits change, so none spans a coarse boundary."""
+def _build(prefix_bits: int, radius: int, top: int, top_radius: int, with_keys: bool = False):
+    """Sorted codes of a partition -> branches. Leaves also end where the leading bits change, so none spans a coarse boundary.
 
-    def branch(node: int, codes: np.ndarray, starts: np.ndarray) -> dict:
+    ``with_keys``: a second column has the key of each code's text; codes may repeat then.
+    """
+
+    def branch(node: int, codes: np.ndarray, starts: np.ndarray, keys: np.ndarray | None) -> dict:
         first = codes[starts]
         sizes = np.diff(np.r_[starts, len(codes)])
         free = np.bitwise_or.reduceat(codes ^ np.repeat(first, sizes), starts)
@@ -100,17 +105,17 @@ def _build(prefix_bits: int, radius: int, top: int, top_radius: int):
         own = Branch(sizes, first & masks, masks, codes)
         labels = connect(own, own, radius, np.uint64(top), top_radius)[3]
         parts = (sizes.astype("<i4"), first & masks, masks, codes, labels.astype("<i4"))
-        return {"node": node, "pattern": i64(first[0] & ~all_free), "mask": i64(~all_free)} | {n: x.tobytes() for n, x in zip(_PARTS, parts, strict=True)}
+        return {"node": node, "pattern": i64(first[0] & ~all_free), "mask": i64(~all_free)} | {n: x.tobytes() for n, x in zip(_PARTS, parts, strict=True)} | ({"keys": keys} if with_keys else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, made, held = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.uint64)
-        schema = pa.schema([("node", pa.int64()), ("pattern", pa.int64()), ("mask", pa.int64()), *[(n, pa.binary()) for n in _PARTS]])
+        base, made, held, kept = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        schema = pa.schema([("node", pa.int64()), ("pattern", pa.int64()), ("mask", pa.int64()), *[(n, pa.binary()) for n in _PARTS], *([("keys", pa.list_(pa.int64()))] if with_keys else [])])
         shift = np.uint64(64 - prefix_bits) if prefix_bits else None
 
-        def cut(codes: np.ndarray, last: bool):
-            """Branches of the codes; the rest is held back unless these are the last."""
+        def cut(codes: np.ndarray, keys: np.ndarray | None, last: bool):
+            """Branches of the codes, and where the rest begins that is held back unless these are the last."""
             nonlocal made
             rows, starts, at = [], [0], 0
             lead = codes >> shift if shift is not None else np.zeros(len(codes), np.uint64)
@@ -124,20 +129,22 @@ def _build(prefix_bits: int, radius: int, top: int, top_radius: int):
                 if len(starts) == LEAVES or at == len(codes):
                     if at == len(codes) and not last:
                         break
-                    rows.append(branch(base + made, codes[begin:at], np.asarray(starts) - begin))
+                    rows.append(branch(base + made, codes[begin:at], np.asarray(starts) - begin, keys[begin:at] if with_keys else None))
                     made += 1
                     begin, starts = at, [at]
                 else:
                     starts.append(at)
-            return rows, codes[begin:] if not last else codes[:0]
+            return rows, begin
 
         for batch in batches:
             codes = np.r_[held, batch.column(0).to_numpy().view(np.uint64)]
-            rows, held = cut(codes, False)
+            keys = np.r_[kept, batch.column(1).to_numpy()] if with_keys else None
+            rows, begin = cut(codes, keys, False)
+            held, kept = codes[begin:], keys[begin:] if with_keys else kept
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
         if len(held):
-            rows, _ = cut(held, True)
+            rows, _ = cut(held, kept, True)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
@@ -241,18 +248,14 @@ class Labels:
         return np.asarray(taken, np.int64)
 
 
-def connect(a: Branch, b: Branch, radius: int, top: np.uint64, top_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links (u, v, distance) of two branches (a may be b), nearest first, that join codes not connected yet; and the labels of dense regions.
-
-    Where a leaf's codes have more than DENSE partners each on average, links are made at once, by nearest partner,
-    and what they connect isn't compared again: a dense region costs about as much as its codes, not its pairs. All
-    other close pairs are gathered, and a spanning forest of least distances is kept.
-    """
+def _links(a: Branch, b: Branch, radius: int, top: np.uint64, top_radius: int) -> tuple[list, list, Labels, bool]:
+    """Close places (u, v, distance) of two branches: links of dense regions; all other close pairs; dense labels; and whether labels left close pairs out."""
     same = a is b
     shift = 0 if same else len(a.codes)
     dense = Labels(a.labels if same else np.r_[a.labels, b.labels + shift])
-    us, vs, ds = [], [], []
+    links: list[tuple] = []
     loose: list[tuple] = []
+    left_out = False
     near = _near(a.patterns, a.masks, b.patterns, b.masks, radius, top, top_radius)
     if same:
         near = np.triu(near)
@@ -260,7 +263,8 @@ def connect(a: Branch, b: Branch, radius: int, top: np.uint64, top_radius: int)
         lo, hi = a.bounds[i], a.bounds[i + 1]
         at = np.concatenate([np.arange(b.bounds[j], b.bounds[j + 1]) for j in np.flatnonzero(near[i])])
         mine = dense.label[lo:hi]
-        if (mine == mine[0]).all():
+        if hi - lo > 1 and (mine == mine[0]).all():
+            left_out = True
             at = at[dense.label[shift + at] != mine[0]]
         if not len(at):
             continue
@@ -270,11 +274,12 @@ def connect(a: Branch, b: Branch, radius: int, top: np.uint64, top_radius: int)
         if count <= DENSE * (hi - lo):
             x, y = np.nonzero(close)
             u, v = lo + x, shift + at[y]
-            ok = dense.label[u] != dense.label[v]
-            if same:
-                ok &= u < v
+            once = u < v if same else np.ones(len(u), bool)
+            ok = once & (dense.label[u] != dense.label[v])
+            left_out |= bool(ok.sum() < once.sum())
             loose.append((u[ok], v[ok], gap[x, y][ok]))
             continue
+        left_out = True
         for r in range(radius + 1):
             while True:
                 open_ = (gap <= r) & (dense.label[lo:hi][:, None] != dense.label[shift + at][None, :])
@@ -284,21 +289,36 @@ def connect(a: Branch, b: Branch, radius: int, top: np.uint64, top_radius: int)
                 rows = np.where(open_[:, columns], gap[:, columns], 255).argmin(axis=0)
                 u, v = lo + rows, shift + at[columns]
                 taken = dense.join(u, v)
-                us.append(u[taken])
-                vs.append(v[taken])
-                ds.append(gap[rows, columns][taken])
-    labels = dense.label
+                links.append((u[taken], v[taken], gap[rows, columns][taken]))
+    return links, loose, dense, left_out
+
+
+def _every(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, distance) of all parts."""
+    return tuple(np.concatenate([p[k] for p in parts]).astype(t) if parts else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.int32)))
+
+
+def _forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Places of a spanning forest of least distances."""
+    order = np.argsort(d, kind="stable")
+    return order[Labels(labels).join(u[order], v[order])]
+
+
+def connect(a: Branch, b: Branch, radius: int, top: np.uint64, top_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (u, v, distance) of two branches (a may be b), nearest first, that join codes not connected yet; and the labels of dense regions.
+
+    Where a leaf's codes have more than DENSE partners each on average, links are made at once, by nearest partner,
+    and what they connect isn't compared again: a dense region costs about as much as its codes, not its pairs. All
+    other close pairs are gathered, and a spanning forest of least distances is kept.
+    """
+    links, loose, dense, _ = _links(a, b, radius, top, top_radius)
     if loose:
-        u, v, d = (np.concatenate(x) for x in zip(*loose, strict=True))
-        order = np.argsort(d, kind="stable")
-        rest = Labels(labels)
-        taken = order[rest.join(u[order], v[order])]
-        us.append(u[taken])
-        vs.append(v[taken])
-        ds.append(d[taken])
-    codes = a.codes if same else np.r_[a.codes, b.codes]
-    every = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return codes[every(us, np.int64)], codes[every(vs, np.int64)], every(ds, np.int32), labels
+        u, v, d = _every(loose)
+        taken = _forest(u, v, d, dense.label)
+        links.append((u[taken], v[taken], d[taken]))
+    codes = a.codes if a is b else np.r_[a.codes, b.codes]
+    u, v, d = _every(links)
+    return codes[u], codes[v], d, dense.label
 
 
 def _compare(radius: int, top: int, top_radius: int):
@@ -372,33 +392,158 @@ def shingle_hashes(text: Column, size: int) -> Column:
 def similar_texts(pairs: DataFrame, docs: DataFrame, size: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of pairs (a, b) of row keys, those whose texts share at least ``least`` of their distinct shingles (Jaccard)."""
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("row_key"))
-    texts = keyed(docs, id_col, text_col).select("row_key", "text")
-    sets = sides.join(texts, "row_key").select("a", "b", "row_key", shingle_hashes(F.col("text"), size).alias("s"))
+    texts = keyed(docs, id_col, text_col).join(sides.select("row_key").distinct(), "row_key", "left_semi")
+    texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))  # exact copies are one text
+    sets = sides.join(texts.select("row_key", shingle_hashes(F.col("text"), size).alias("s")), "row_key")
     both = sets.groupBy("a", "b").agg(F.max(F.when(F.col("row_key") == F.col("a"), F.col("s"))).alias("x"), F.max(F.when(F.col("row_key") == F.col("b"), F.col("s"))).alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+#: What _gather says of a pair of texts, or of a pair of branches whose dense regions hid pairs.
+LOOSE, TREE, HIDDEN = 0, 1, 2
+_GATHERED = "a long, b long, distance int, kind int"
+#: Pairs tested for each text and component in the first round; eight times as many in each further one.
+TESTS = 4
+
+
+def _sides(batch: pa.RecordBatch, k: int) -> tuple[Branch, Branch, np.ndarray]:
+    """The branches of a row of (a, b, parts and keys of a, parts and keys of b), and the keys of both."""
+    get = lambda i, t: np.frombuffer(batch.column(i)[k].as_py(), t)
+    load = lambda i, inner: Branch(get(i, "<i4"), get(i + 1, np.uint64), get(i + 2, np.uint64), get(i + 3, np.uint64), get(i + 4, "<i4") if inner else None)
+    keys = lambda i: batch.column(i)[k].values.to_numpy()
+    if batch.column(0)[k].as_py() == batch.column(1)[k].as_py():
+        own = load(2, False)
+        return own, own, keys(7)
+    return load(2, True), load(8, True), np.r_[keys(7), keys(13)]
+
+
+def _gather(radius: int, top: int, top_radius: int):
+    """All close pairs of texts outside dense regions, links of the dense regions, and the pairs of branches with more."""
+    top = np.uint64(top)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b, keys = _sides(batch, k)
+                links, loose, dense, hidden = _links(a, b, radius, top, top_radius)
+                u, v, d = _every(links + loose)
+                kind = np.full(len(u), LOOSE, np.int32)
+                n = sum(len(x[0]) for x in links)
+                kind[:n] = TREE
+                kind[n + _forest(u[n:], v[n:], d[n:], dense.label)] = TREE
+                u, v = keys[u], keys[v]
+                if hidden:
+                    u, v = np.r_[u, batch.column(0)[k].as_py()], np.r_[v, batch.column(1)[k].as_py()]
+                    d, kind = np.r_[d, np.int32(0)], np.r_[kind, np.int32(HIDDEN)]
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.int32)), pa.array(kind.astype(np.int32))], names=["a", "b", "distance", "kind"])
+
+    return run
+
+
+def _uncover(radius: int, top: int, top_radius: int):
+    """All close pairs of texts that are in different components; the components follow the keys of each side."""
+    top = np.uint64(top)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b, keys = _sides(batch, k)
+                groups = batch.column(14)[k].values.to_numpy()
+                if a is not b:
+                    groups = np.r_[groups, batch.column(15)[k].values.to_numpy()]
+                shift = 0 if a is b else len(a.codes)
+                near = _near(a.patterns, a.masks, b.patterns, b.masks, radius, top, top_radius)
+                for i in np.flatnonzero(near.any(axis=1)):
+                    lo, hi = a.bounds[i], a.bounds[i + 1]
+                    at = np.concatenate([np.arange(b.bounds[j], b.bounds[j + 1]) for j in np.flatnonzero(near[i])])
+                    gap = np.bitwise_count(a.codes[lo:hi, None] ^ b.codes[at][None, :])
+                    x, y = np.nonzero((gap <= radius) & (groups[lo:hi, None] != groups[shift + at][None, :]))
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[lo + x]), pa.array(keys[shift + at[y]]), pa.array(gap[x, y].astype(np.int32)), pa.array(np.zeros(len(x), np.int32))], names=["a", "b", "distance", "kind"])
+
+    return run
+
+
+class TextIndex:
+    """The Gray-order index of one rotation of one code, with the keys of the texts; ``found`` has what _gather says."""
+
+    def __init__(self, texts: DataFrame, n: int, radius: int, rotations: int, turn: int):
+        """``texts`` (code, row_key); ``n`` is their number."""
+        width = 64 // rotations
+        self.how = radius, ((1 << width) - 1) << (64 - width), radius // rotations
+        prefix = min(16, max(0, (n // LEAF).bit_length() - 1))
+        turned = texts.select(F.expr(rotated("code", turn * width)).alias("code"), "row_key").withColumn("rank", gray_rank(F.col("code")))
+        # equal codes are dealt out by their keys
+        ordered = turned.repartitionByRange("rank", "row_key").sortWithinPartitions("rank", "row_key").select("code", "row_key")
+        self.branches = staged(ordered.mapInArrow(_build(prefix, *self.how, with_keys=True), f"{_BRANCH}, keys array<long>"), "near-branches")
+        pairs = _node_pairs(self.branches.select("node", "pattern", "mask"), *self.how)
+        self.found = staged(self._joined(pairs, self.branches, ()).mapInArrow(_gather(*self.how), _GATHERED), "near-found")
+
+    @staticmethod
+    def _joined(pairs: DataFrame, branches: DataFrame, more: tuple[str, ...]) -> DataFrame:
+        side = lambda n: branches.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in (*_PARTS, "keys", *more)])
+        columns = ["a", "b", *[f"{c}_{n}" for n in "ab" for c in (*_PARTS, "keys")], *[f"{c}_{n}" for c in more for n in "ab"]]
+        return pairs.join(side("a"), "a").join(side("b"), "b").select(*columns)
+
+    def hidden(self, labels: DataFrame) -> DataFrame | None:
+        """Close pairs between different components in the branches whose dense regions hid pairs, if there are any."""
+        pairs = self.found.where(F.col("kind") == HIDDEN).select("a", "b")
+        if pairs.isEmpty():
+            return None
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        branches = self.branches.join(nodes, "node", "left_semi")
+        member = branches.select("node", F.posexplode("keys").alias("place", "row_key")).join(labels.withColumnRenamed("node", "row_key").select("row_key", "component"), "row_key", "left")
+        groups = member.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("component", "row_key").alias("group")))).alias("g"))
+        branches = branches.join(groups.select("node", F.col("g.group").alias("groups")), "node")
+        return self._joined(pairs, branches, ("groups",)).mapInArrow(_uncover(*self.how), _GATHERED)
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, distance) of different components, with the components ca and cb."""
+    side = lambda n: labels.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    both = both.select("a", "b", "distance", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    return both.where(F.col("ca") != F.col("cb"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 11, rotations: int = 4, least: float = 0.8, codes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_key, group_id, group_key, first): groups of near-duplicate texts; first marks the one to keep.
 
-    Candidates are fingerprints within the radius in one of ``codes`` independent codes (texts of similarity 0.8
-    differ in 10 of 64 bits on average); a link counts if the texts' shingle sets have a Jaccard similarity of at
-    least ``least``. Texts of one fingerprint are compared with the first of them.
+    Candidates are all pairs of texts whose fingerprints are within the radius in one of ``codes`` independent codes
+    (texts of similarity 0.8 differ in 10 of 64 bits on average); a pair is a link if the texts' shingle sets have a
+    Jaccard similarity of at least ``least``. A spanning forest of the first code's candidates is tested first. Then
+    the pairs between different components are, in rounds, nearest first and more in each round, until every
+    candidate has been tested or lies within a component.
     """
     coded = staged(fingerprints(docs, size, codes, id_col, text_col), "fingerprints")
-    links = None
-    for name in ["code", *[f"code{k}" for k in range(1, codes)]]:
-        own = coded.select("doc_id", "row_key", F.col(name).alias("code"))
-        heads = own.groupBy("code").agg(F.min("row_key").alias("head"))
-        across = close_codes(own, radius, rotations).select("u", "v").distinct()
-        across = across.join(heads.select(F.col("code").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("code").alias("v"), F.col("head").alias("b")), "v").select("a", "b")
-        within = own.join(heads, "code").where(F.col("row_key") != F.col("head")).select(F.col("head").alias("a"), F.col("row_key").alias("b"))
-        both = across.unionByName(within)
-        links = both if links is None else links.unionByName(both)
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = staged(similar_texts(links, docs, size, least, id_col, text_col), "near-links")
-    labels = connected_components(links, "a", "b")
+    names = ["code", *[f"code{k}" for k in range(1, codes)]]
+    texts = staged(coded.select("row_key", *names).distinct(), "near-texts")
+    n = texts.count()
+    indexes = [TextIndex(texts.select(F.col(name).alias("code"), "row_key"), n, radius, rotations, r) for name in names for r in range(rotations)]
+    everything = lambda tables: _unordered(functools.reduce(DataFrame.unionByName, tables)).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    tested = staged(everything([x.found.where(F.col("kind") == TREE) for x in indexes[:rotations]]).select("a", "b"), "near-tested")
+    links = staged(similar_texts(tested, docs, size, least, id_col, text_col), "near-links")
+    labels = staged(connected_components(links, "a", "b"), "near-labels")
+    hidden = [h for x in indexes if (h := x.hidden(labels)) is not None]
+    candidates = everything([x.found.where(F.col("kind") != HIDDEN) for x in indexes] + hidden)
+    left, most = staged(_between(candidates.join(tested, ["a", "b"], "left_anti"), labels), "near-open"), TESTS
+    while count := left.count():
+        if count <= n:  # no more pairs than texts: all at once
+            now = left.select("a", "b")
+        else:
+            nearest = Window.partitionBy("a", "cb").orderBy("distance", F.xxhash64("b"), "b")
+            now = staged(left.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= most).select("a", "b"), "near-tested")
+        links = links.unionByName(staged(similar_texts(now, docs, size, least, id_col, text_col), "near-links"))
+        labels = staged(connected_components(links, "a", "b"), "near-labels")
+        if count <= n:
+            break
+        left, most = staged(_between(left.select("a", "b", "distance").join(now, ["a", "b"], "left_anti"), labels), "near-open"), 8 * most
     rows = coded.select("doc_id", "row_key").distinct().join(labels.withColumnRenamed("node", "row_key"), "row_key", "left")
     rows = staged(rows.select("doc_id", "row_key", F.coalesce("component", "row_key").alias("component")), "near-rows")
     owner = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("o"))

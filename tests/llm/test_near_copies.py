@@ -105,3 +105,49 @@ def test_near_duplicates_keep_one(spark):
     # copies of similarity 0.84 differ in 9 of 64 bits on average, so one or two of thirty groups may lack a link
     assert sum(all(got[i] == (ids[0], i == ids[0]) for i in ids) for ids in groups) >= 27
     assert all(got[i] == (i, True) for i in range(90, 130))
+
+
+def shingle_set(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def likeness(s, t):
+    return len(s & t) / len(s | t)
+
+
+def edited(rng, words, n):
+    """The words with ``n`` of them, 5 or more apart, replaced: about 5 n shingles change."""
+    copy = list(words)
+    for at in rng.sample(range(5, len(words) - 5, 6), n):
+        copy[at] = f"edit{rng.random()}"
+    return copy
+
+
+@pytest.mark.parametrize("dense", [32, 2])
+def test_groups_are_those_of_all_candidates(spark, monkeypatch, dense):
+    """Copies of templates around the threshold: every pair within the radius in a code counts, not a forest of them."""
+    monkeypatch.setattr(S, "DENSE", dense)
+    monkeypatch.setattr(S, "TESTS", 1)
+    rng = random.Random(5)
+    texts = []
+    for size in (150, 40, 40, 10):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(244)]
+        texts += [" ".join(edited(rng, words, rng.choice((2, 5, 6, 7)))) for _ in range(size)]
+    sets = [shingle_set(t) for t in texts]
+    codes = np.asarray([S.fingerprint(t.encode(), 5, 2) for t in texts], np.int64).view(np.uint64)
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in np.flatnonzero((np.bitwise_count(codes ^ codes[i]) <= 11).any(axis=1)):
+            if j > i and likeness(sets[i], sets[j]) >= 0.8:
+                a, b = top(i), top(int(j))
+                parent[max(a, b)] = min(a, b)
+    got = S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), codes=2).collect()
+    assert {r.doc_id: r.group_id for r in got} == {i: top(i) for i in range(len(texts))}
