@@ -512,7 +512,7 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.col("ca") != F.col("cb"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 11, rotations: int = 4, least: float = 0.8, codes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 11, rotations: int = 4, least: float = 0.8, codes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_key, group_id, group_key, first): groups of near-duplicate texts; first marks the one to keep.
 
     Candidates are all pairs of texts whose fingerprints are within the radius in one of ``codes`` independent codes

@@ -151,3 +151,16 @@ def test_groups_are_those_of_all_candidates(spark, monkeypatch, dense):
                 parent[max(a, b)] = min(a, b)
     got = S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), codes=2).collect()
     assert {r.doc_id: r.group_id for r in got} == {i: top(i) for i in range(len(texts))}
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    rng = random.Random(6)
+    rows, pairs = [], 0
+    while pairs < 300:
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(229)]
+        two = [" ".join(edited(rng, words, 5)), " ".join(words)]
+        assert 0.8 <= likeness(*map(shingle_set, two)) < 0.81
+        rows += [(2 * pairs, two[0]), (2 * pairs + 1, two[1])]
+        pairs += 1
+    got = {r.doc_id: r.group_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= 295
