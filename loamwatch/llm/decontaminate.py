@@ -1,9 +1,10 @@
 """Benchmark decontamination with SimHash windows.
 
 Words are runs of letters and digits, lower-cased; shingles are five words (an item with fewer words is one
-shingle). A document is compared with a benchmark item through windows as long as the item, placed wherever the
-document and the item share a shingle: a window that is similar shares one, so nothing similar is passed by.
-Each window gets a 64-bit SimHash of its shingles. Eight blocks of eight bits index the items' SimHashes: two
+shingle). A document is compared with a benchmark item through windows as long as the item, placed so that the item
+lies on the diagonal of a shared shingle, or that the window starts or ends with a shared shingle. In whatever order
+the shingles are, a best window is among these: one that starts with an unshared shingle loses nothing by a step to
+the right. Windows with too few shared shingles for the similarity, of whatever item, are left out. Each window gets a 64-bit SimHash of its shingles. Eight blocks of eight bits index the items' SimHashes: two
 codes that differ in up to ``radius`` (23) bits differ in at most two bits of some block, and every block value
 within two bits of an item's is in the index, so all codes within the radius are found. Then the exact weighted
 similarity decides: the shared shingles, by their counts in window and item, over all (at least 0.8).
@@ -15,7 +16,7 @@ Built-in functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwatch.llm.common import keyed
@@ -67,6 +68,27 @@ def near_values() -> list[int]:
     return [v for v in range(1 << BITS) if v.bit_count() <= RADIUS // BLOCKS]
 
 
+def _starts(hits: DataFrame, least: float) -> DataFrame:
+    """(row_key, k, m, start): windows to compare, from (row_key, k, m, total, p, q): shingle p of a text of ``total`` is shingle q of an item of m.
+
+    A window starts or ends with a shared shingle, or the item lies on the diagonal of one. Only those stay whose
+    number of shared shingles, of any items of m, allows the similarity.
+    """
+    keys = ["row_key", "k", "m"]
+    clamped = lambda at: F.greatest(F.lit(0), F.least(at, F.col("total") - F.col("m")))
+    at = F.array(clamped(F.col("p") - F.col("q")), clamped(F.col("p")), clamped(F.col("p") - F.col("m") + 1))
+    starts = hits.select(*keys, "total", F.explode(at).alias("start")).distinct()
+    shared = hits.select(*keys, "p").distinct().select(*keys, F.col("p").alias("at"), F.lit(1).alias("one"), F.lit(None).cast("int").alias("total"), F.lit(None).cast("int").alias("start"), F.lit(0).alias("sign"))
+    # shared shingles inside = those before the end of the window, less those before its start
+    end = lambda place, sign: F.struct(place.alias("at"), F.lit(sign).alias("sign"))
+    ends = starts.select(*keys, "total", "start", F.explode(F.array(end(F.col("start"), -1), end(F.col("start") + F.col("m"), 1))).alias("e"))
+    ends = ends.select(*keys, "e.at", F.lit(0).alias("one"), "total", "start", "e.sign")
+    before = F.sum("one").over(Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+    counted = shared.unionByName(ends).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("sign") != 0)
+    inside = counted.groupBy(*keys, "total", "start").agg(F.sum(F.col("sign") * F.col("before")).alias("n"))
+    return inside.where(F.col("n") / (F.least("total", "m") + F.col("m") - F.col("n")) >= least).select(*keys, "start")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_key, item_id, similarity, distance, first_word, n_windows): the best window of each document and item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("t")).distinct()
@@ -82,18 +104,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id
     seeds = staged(kinds.select("k", "m", F.posexplode("shingles").alias("q", "h")).distinct(), "bench-seeds")
     n_seeds, n_kinds = seeds.count(), kinds.count()
 
-    source = keyed(docs, id_col, text_col).select("doc_id", "row_key", _words(F.col("text")).alias("w"))
-    places = None
+    source = keyed(docs, id_col, text_col).select("doc_id", "row_key", "text")
+    hits = None
     for size in sizes:
-        hashed = source.select("doc_id", "row_key", _shingles("w", size).alias("all"))
+        hashed = source.select("row_key", _words(F.col("text")).alias("w")).select("row_key", _shingles("w", size).alias("all"))
         # posexplode_outer: Spark would add a filter that computes the hashes twice to the inner form
-        rows = hashed.select("doc_id", "row_key", "all", F.posexplode_outer("all").alias("p", "h"))
-        hit = rows.join(_bounded(seeds.where(F.col("k") == size), n_seeds), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("all") - F.col("m")))
-        cut = hit.select("doc_id", "row_key", F.lit(size).alias("k"), "m", start.alias("start"), F.slice("all", start + 1, F.col("m")).alias("shingles"))
-        places = cut if places is None else places.unionByName(cut)
-    if places is None:
+        rows = hashed.select("row_key", F.size("all").alias("total"), F.posexplode_outer("all").alias("p", "h"))
+        hit = rows.join(_bounded(seeds.where(F.col("k") == size), n_seeds), "h").select("row_key", F.lit(size).alias("k"), "m", "total", "p", "q")
+        hits = hit if hits is None else hits.unionByName(hit)
+    if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, row_key long, item_id long, similarity double, distance int, first_word int, n_windows long")
+    found = staged(_starts(staged(hits, "bench-hits"), least), "bench-starts")
+    by_text = staged(found.groupBy("row_key", "k").agg(F.collect_list(F.struct("m", "start")).alias("at")), "bench-texts")
+    n_texts = found.count()
+    places = None
+    for size in sizes:
+        texts = source.join(_bounded(by_text.where(F.col("k") == size), n_texts), "row_key")
+        hashed = texts.select("doc_id", "row_key", "at", _words(F.col("text")).alias("w")).select("doc_id", "row_key", "at", _shingles("w", size).alias("all"))
+        placed = hashed.select("doc_id", "row_key", "all", F.explode("at").alias("a"))
+        cut = placed.select("doc_id", "row_key", F.lit(size).alias("k"), "a.m", "a.start", F.slice("all", F.col("a.start") + 1, F.col("a.m")).alias("shingles"))
+        places = cut if places is None else places.unionByName(cut)
     windows = staged(places.groupBy("doc_id", "row_key", "k", "m", "start").agg(F.first("shingles").alias("shingles")), "bench-windows")
     seen = staged(_profiles(windows, ["doc_id", "row_key", "k", "m", "start"]), "bench-profiles")
 
