@@ -39,19 +39,29 @@ def _let(value: Column, use) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their places in code points: what lies between the matches gives the places."""
+    """Leftmost non-overlapping matches with their places in code points: what lies between the matches gives the places.
 
-    def place(m: Column, g: Column) -> Column:
+    ``before`` and ``behind`` are the NEAR code points of the text on each side, other matches included.
+    """
+
+    def place(m: Column, g: Column, ahead: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(F.get(g, i))
             stop = start + F.length(F.get(m, i))
-            one = F.struct(start.alias("start"), stop.alias("stop"), F.get(m, i).alias("token"), F.right(F.get(g, i), F.lit(NEAR)).alias("before"), F.left(F.get(g, i + 1), F.lit(NEAR)).alias("behind"))
-            return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+            before = F.right(F.concat(acc["tail"], F.right(F.get(g, i), F.lit(NEAR))), F.lit(NEAR))
+            # a gap and a match have two code points at least
+            behind = F.left(F.array_join(F.slice(ahead, i + 2, NEAR // 2 + 1), ""), F.lit(NEAR))
+            one = F.struct(start.alias("start"), stop.alias("stop"), F.get(m, i).alias("token"), before.alias("before"), behind.alias("behind"))
+            tail = F.right(F.concat(before, F.right(F.get(m, i), F.lit(NEAR))), F.lit(NEAR))
+            return F.struct(stop.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("out"))
         return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda acc: acc["out"])
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, _let(F.split(text, pattern, -1), lambda g: place(m, g))).otherwise(F.array().cast(_SPAN)))
+    # the first code points of each gap and the match behind it
+    head = lambda m, g: F.zip_with(g, m, lambda x, y: F.concat(F.left(x, F.lit(NEAR)), F.left(F.coalesce(y, F.lit("")), F.lit(NEAR))))
+    spans = lambda m, g: _let(head(m, g), lambda ahead: place(m, g, ahead))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, _let(F.split(text, pattern, -1), lambda g: spans(m, g))).otherwise(F.array().cast(_SPAN)))
 
 
 def _digits(token: Column) -> Column:

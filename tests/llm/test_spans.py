@@ -60,3 +60,21 @@ def test_secrets(spark, odd, none):
     assert set(base) <= set(found)
     assert C.secret_spans(odd).count() == 11 and C.secret_spans(none).count() == 0
     assert C.spans_of("token=ſecret12 ſecret=abcdefg", encoding)[0] == [("assign", 0, 5 + 1)] or C.spans_of("ſecret=abcdefg", encoding)[0] == []
+
+
+def test_contexts_hold_neighbouring_candidates(spark):
+    """A label with a digit is a candidate too; it and the other items of a list are still the word before or behind."""
+    rows = [(i, f"mail2: user{i}@host{i}.example.org room9 is open") for i in range(40)] + [(100 + i, f"mail2: admin{i}@intranet room9 is open") for i in range(3)]
+    got = {r.doc_id: r for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all([rows_text(rows, 100 + i)[s.start : s.stop] for s in got[100 + i].added] == [f"admin{i}@intranet"] for i in range(3))
+    items = spark.createDataFrame([(1, "a@intranet, b@intranet, c@intranet")], "doc_id long, text string")
+    found = {(r.token, r.pattern) for r in P._occurrences(P.scan(items)).collect()}
+    assert {("b@intranet,", "L a@intranet,"), ("b@intranet,", "R c@intranet"), ("b@intranet,", "B a@intranet, c@intranet")} <= found
+
+
+def test_contexts_are_the_text_around(spark):
+    texts = [t for t in TEXTS if t] + ["1 " * 100 + "é" * 70 + " x1 😀2 " + "y" * 100 + "3 4"]
+    for r in P.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        t = texts[r.doc_id]
+        for s in [*r.base, *r.words]:
+            assert (s.before, s.behind) == (t[max(0, s.start - P.NEAR) : s.start], t[s.stop : s.stop + P.NEAR])
