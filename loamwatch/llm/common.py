@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +63,20 @@ def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 def strings(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word, A-Z lower-cased."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, text.lower().split()), np.uint64)
+
+
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words."""
+    n = len(words) - k + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(k):
+        out = (out ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out

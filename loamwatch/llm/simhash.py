@@ -1,55 +1,54 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
 Fingerprints are sorted by Gray rank over range partitions, so neighbours share most leading bits. Runs of up to
-128 become leaves, runs of up to 32 leaves branches; every node keeps the bits that all its codes share (a mask
+128 become leaves, runs of up to 128 leaves branches; every node keeps the bits that all its codes share (a mask
 and a pattern). The index joins with itself from the top: pairs of nodes whose shared bits already differ in more
 than ``radius`` places are dropped as a whole, and only codes of the surviving leaf pairs are compared. Leaves and
-branches are cut by count, so a dense region makes more nodes, not larger ones, and the pairs of branches are the
-unit that Spark deals out.
+branches are cut by count, so a dense region makes more nodes, not larger ones. A branch meets its partners one by
+one in a task; one with many partners is dealt to several tasks.
 
 For a radius above 3 the leading bits alone prune little. Then the index is made for several rotations of the
 code; two codes within the radius agree, in at least one of them, on the leading block up to radius // rotations
-bits, so that bound is used too and every pair is still found.
+bits, so that bound is used too and every pair is still found. All rotations and codes are one table, told apart by
+the column ``turn``, so their number adds rows, not jobs.
 
 A pair of branches returns a spanning forest of its links, nearest first, which keeps all components of codes. A
 branch knows the dense regions inside it, so that two branches of one region return a link, not all their pairs.
 Components of verified texts need more than a forest: ``near_duplicates`` tests the other pairs too.
 
 Null texts have no words; texts without words have fingerprint zero and link like any other. Repeated rows link.
-Component ids ignore null document ids; a component of null ids alone has a null id. An empty table gives an
-empty result.
+Very long texts are hashed whole, in blocks of their own. Component ids ignore null document ids; a component of
+null ids alone has a null id. Ties of distance are settled by code. Other columns aren't read, so they can't clash.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwatch.llm.common import blocks, keyed, raw, words_of
+from loamwatch.llm.common import blocks, keyed, raw, run_hashes, word_hashes
 from loamwatch.operators.components import connected_components
 from loamwatch.staging import staged
 
-LEAF, LEAVES, DENSE = 128, 32, 32
-#: Up to so many nodes are searched from one root entry; more get another level.
-ROOT = 4096
+LEAF, LEAVES, DENSE = 128, 128, 32
+#: Up to so many nodes are searched from the root; more get another level. Bits that number the branches of a partition.
+ROOT, NUMBERS = 4096, 20
+#: Bits that the four codes of two texts may differ in: 0.8 similar texts differ in 39 on average (deviation 6), unlike ones in 128.
+MOST_BITS = 72
+#: Nearest pairs of a text and another component that a round tests; eight times as many in the next if there were more.
+TESTS = 8
+#: Shingles of the texts that a task compares at a time.
+AT_ONCE = 1 << 20
 
 
-def fingerprint(text: bytes, size: int, codes: int = 1) -> list[int]:
-    """A-Z lower-cased words, shingles of ``size`` words; a bit is set if it is in over half of the XXH64 values.
-
-    Further codes are made in the same way from a mix of the same values.
-    """
-    words = text.lower().split()
-    if not words:
-        return [0] * codes
-    shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+def _codes(hashes: np.ndarray, codes: int) -> list[int]:
+    """A bit is set if it is in over half of the hashes; further codes are made in the same way from a mix of the same hashes."""
     out = []
     for k in range(codes):
         if k:
@@ -62,20 +61,47 @@ def fingerprint(text: bytes, size: int, codes: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3, codes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, code, ...): the fingerprint of every row as a signed 64-bit number; further codes are code1, code2 and so on."""
-    names = ["code", *[f"code{k}" for k in range(1, codes)]]
+def fingerprint(text: bytes, size: int) -> int:
+    """A-Z lower-cased words, shingles of ``size`` words, repeats included; from their XXH64 values."""
+    words = text.lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
+    return _codes(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64), 1)[0]
+
+
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row_key, code): the fingerprint of every row as a signed 64-bit number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array([fingerprint(t, size) for t in raw(block)], pa.int64())], names=["doc_id", "row_key", "code"])
+
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, row_key long, code long")
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of A-Z lower-cased words; of the whole sequence if there are fewer words."""
+    words = word_hashes(text)
+    return np.unique(run_hashes(words, min(size, len(words)))) if len(words) else np.zeros(1, np.uint64)
+
+
+def text_codes(docs: DataFrame, size: int, codes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row_key, n, code0, ...): the number of distinct shingles of every row, and independent codes of them."""
+    names = [f"code{k}" for k in range(codes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            found = np.asarray([fingerprint(t, size, codes) for t in raw(block)], np.int64).reshape(-1, codes)
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *[pa.array(found[:, k].copy()) for k in range(codes)]], names=["doc_id", "row_key", *names])
+            sets = [shingle_set(t, size) for t in raw(block)]
+            found = np.asarray([_codes(s, codes) for s in sets], np.int64).reshape(-1, codes)
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(found[:, k].copy()) for k in range(codes)]], names=["doc_id", "row_key", "n", *names])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, row_key long, " + ", ".join(f"{n} long" for n in names))
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, row_key long, n long, " + ", ".join(f"{n} long" for n in names))
 
 
-def rotated(code: str, by: int) -> str:
-    return code if by == 0 else f"(shiftleft({code}, {by}) | shiftrightunsigned({code}, {64 - by}))"
+def rotated(code: str, by: str) -> Column:
+    """SQL: the code turned left by so many bits of 0 to 64."""
+    return F.expr(f"shiftleft({code}, {by}) | shiftrightunsigned({code}, 64 - ({by}))")
 
 
 def gray_rank(code: Column) -> Column:
@@ -85,43 +111,46 @@ def gray_rank(code: Column) -> Column:
     return code.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-_BRANCH = "node long, pattern long, mask long, sizes binary, patterns binary, masks binary, codes binary, labels binary"
+#: Nodes of the index. ``turn`` numbers the indexes of a table; ``own`` has the links inside a branch, ``hidden`` says that labels left close pairs out.
 _PARTS = ("sizes", "patterns", "masks", "codes", "labels")
+_BRANCH = "turn int, node long, pattern long, mask long, sizes binary, patterns binary, masks binary, codes binary, labels binary, keys array<long>, own binary"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def arrow(schema: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[t]) for n, t in (c.split() for c in schema.split(", "))])
 
 
-def _build(prefix_bits: int, radius: int, top: int, top_radius: int, with_keys: bool = False):
-    """Sorted codes of a partition -> branches. Leaves also end where the leading bits change, so none spans a coarse boundary.
+def _build(prefix_bits: int, how: tuple[int, int, int], mark: Callable):
+    """Sorted (turn, code, key, group) of a partition -> branches. Leaves also end where the leading bits change, so none spans a coarse boundary.
 
-    ``with_keys``: a second column has the key of each code's text; codes may repeat then.
+    ``mark`` makes the labels and own links of a branch from its arrays.
     """
+    schema = arrow(_BRANCH)
 
-    def branch(node: int, codes: np.ndarray, starts: np.ndarray, keys: np.ndarray | None) -> dict:
+    def branch(turn: int, node: int, codes: np.ndarray, starts: np.ndarray, keys: np.ndarray, groups: np.ndarray) -> dict:
         first = codes[starts]
         sizes = np.diff(np.r_[starts, len(codes)])
         free = np.bitwise_or.reduceat(codes ^ np.repeat(first, sizes), starts)
         masks = ~free
         all_free = np.bitwise_or.reduce(free | (first ^ first[0]))
         i64 = lambda x: int(np.uint64(x).astype(np.int64))
-        own = Branch(sizes, first & masks, masks, codes)
-        labels = connect(own, own, radius, np.uint64(top), top_radius)[3]
-        parts = (sizes.astype("<i4"), first & masks, masks, codes, labels.astype("<i4"))
-        return {"node": node, "pattern": i64(first[0] & ~all_free), "mask": i64(~all_free)} | {n: x.tobytes() for n, x in zip(_PARTS, parts, strict=True)} | ({"keys": keys} if with_keys else {})
+        labels, own = mark(Branch(sizes, first & masks, masks, codes), groups, how)
+        parts = (sizes.astype("<i4"), first & masks, masks, codes, labels)
+        return {"turn": turn, "node": node, "pattern": i64(first[0] & ~all_free), "mask": i64(~all_free), "keys": keys, "own": own.astype("<i4").tobytes()} | {n: x.tobytes() for n, x in zip(_PARTS, parts, strict=True)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, made, held, kept = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        schema = pa.schema([("node", pa.int64()), ("pattern", pa.int64()), ("mask", pa.int64()), *[(n, pa.binary()) for n in _PARTS], *([("keys", pa.list_(pa.int64()))] if with_keys else [])])
+        base, made = TaskContext.get().partitionId() << NUMBERS, 0
         shift = np.uint64(64 - prefix_bits) if prefix_bits else None
 
-        def cut(codes: np.ndarray, keys: np.ndarray | None, last: bool):
-            """Branches of the codes, and where the rest begins that is held back unless these are the last."""
+        def cut(turn: int, codes: np.ndarray, keys: np.ndarray, groups: np.ndarray, last: bool) -> tuple[list[dict], int]:
+            """Branches of the codes, and where the rest begins that is held back unless these are the last of their turn."""
             nonlocal made
-            rows, starts, at = [], [0], 0
+            rows, starts, at, begin, c = [], [0], 0, 0, 0
             lead = codes >> shift if shift is not None else np.zeros(len(codes), np.uint64)
             changes = np.flatnonzero(np.r_[False, lead[1:] != lead[:-1]]).tolist() + [len(codes)]
-            c = 0
-            begin = 0
             while at < len(codes):
                 while changes[c] <= at:
                     c += 1
@@ -129,84 +158,89 @@ def _build(prefix_bits: int, radius: int, top: int, top_radius: int, with_keys:
                 if len(starts) == LEAVES or at == len(codes):
                     if at == len(codes) and not last:
                         break
-                    rows.append(branch(base + made, codes[begin:at], np.asarray(starts) - begin, keys[begin:at] if with_keys else None))
+                    rows.append(branch(turn, base + made, codes[begin:at], np.asarray(starts) - begin, keys[begin:at], groups[begin:at]))
                     made += 1
                     begin, starts = at, [at]
                 else:
                     starts.append(at)
             return rows, begin
 
+        held: tuple | None = None
         for batch in batches:
-            codes = np.r_[held, batch.column(0).to_numpy().view(np.uint64)]
-            keys = np.r_[kept, batch.column(1).to_numpy()] if with_keys else None
-            rows, begin = cut(codes, keys, False)
-            held, kept = codes[begin:], keys[begin:] if with_keys else kept
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-        if len(held):
-            rows, _ = cut(held, kept, True)
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            turns, codes, keys, groups = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            ends = np.r_[np.flatnonzero(turns[1:] != turns[:-1]) + 1, len(turns)] if len(turns) else []
+            lo = 0
+            for hi in ends:
+                turn = int(turns[lo])
+                if held is not None and held[0] != turn:
+                    yield pa.RecordBatch.from_pylist(cut(*held, True)[0], schema=schema)
+                    held = None
+                now = [x[lo:hi] for x in (codes, keys, groups)]
+                if held is not None:
+                    now = [np.r_[x, y] for x, y in zip(held[1:], now, strict=True)]
+                rows, begin = cut(turn, *now, False)
+                held = (turn, *[x[begin:] for x in now])
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                lo = hi
+        if held is not None and len(held[1]):
+            yield pa.RecordBatch.from_pylist(cut(*held, True)[0], schema=schema)
 
     return run
 
 
-def _near(pattern_a, mask_a, pattern_b, mask_b, radius: int, top: np.uint64, top_radius: int) -> np.ndarray:
+def _near(pattern_a, mask_a, pattern_b, mask_b, radius: int, top: int, top_radius: int) -> np.ndarray:
     """Which node pairs can hold codes within the radius: differences in the bits that both share."""
     diff = (pattern_a[:, None] ^ pattern_b[None, :]) & (mask_a[:, None] & mask_b[None, :])
     near = np.bitwise_count(diff) <= radius
     if top_radius < radius:
-        near &= np.bitwise_count(diff & top) <= top_radius
+        near &= np.bitwise_count(diff & np.uint64(top)) <= top_radius
     return near
 
 
-def _node_pairs(nodes: DataFrame, radius: int, top: int, top_radius: int) -> DataFrame:
-    """(a, b), a <= b: nodes that can hold codes within the radius of each other, found from the top of the tree."""
-    count = nodes.count()
-    top = np.uint64(top)
-    u64 = lambda c: c.to_numpy().view(np.uint64)
+def _node_pairs(nodes: DataFrame, how: tuple[int, int, int], shift: int = 0) -> DataFrame:
+    """(a, b), a <= b: nodes (turn, node, pattern, mask) that can hold codes within the radius of each other, found from the top of the tree.
 
+    ``shift``: so many low bits of the numbers tell nodes of one parent apart; 64 neighbours get a parent, first
+    within a partition, then across partitions.
+    """
+    u64 = lambda c: c.to_numpy().view(np.uint64)
+    count, most = nodes.agg(F.count("*"), F.max(F.col("node").bitwiseAND(F.lit((1 << NUMBERS) - 1)))).first()
     if count <= ROOT:
-        root = nodes.groupBy().agg(F.array_sort(F.collect_list(F.struct("node", "pattern", "mask"))).alias("entries"))
+        # the root has at most ROOT entries; every task gets it by value
+        root = nodes.orderBy("turn", "node").toArrow().combine_chunks()
+        turns, keys, patterns, masks = root.column(0).to_numpy(), root.column(1).to_numpy(), u64(root.column(2)), u64(root.column(3))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                entries = batch.column(3)[0].values  # the same bounded root in every row
-                keys = entries.field("node").to_numpy()
-                mine = batch.column(0).to_numpy()
-                near = _near(u64(batch.column(1)), u64(batch.column(2)), u64(entries.field("pattern")), u64(entries.field("mask")), radius, top, top_radius)
-                i, j = np.nonzero(near & (mine[:, None] <= keys[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(mine[i]), pa.array(keys[j])], names=["a", "b"])
-
-        # the root is one row of at most ROOT entries
-        batches_of = nodes.select("node", "pattern", "mask").crossJoin(F.broadcast(root))
-        return batches_of.mapInArrow(search, "a long, b long")
-
-    # children of a parent are consecutive, and so share much; 64 to a parent within a partition
-    group = F.shiftright(F.col("node"), 32).alias("p"), F.shiftright(F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)), 6).alias("q")
-    children = nodes.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct("node", "pattern", "mask"))).alias("entries"),
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    turn, mine = part.column(0).to_numpy(), part.column(1).to_numpy()
+                    at = slice(np.searchsorted(turns, turn.min(), "left"), np.searchsorted(turns, turn.max(), "right"))
+                    near = _near(u64(part.column(2)), u64(part.column(3)), patterns[at], masks[at], *how)
+                    i, j = np.nonzero(near & (mine[:, None] <= keys[None, at]) & (turn[:, None] == turns[None, at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[i]), pa.array(keys[at][j])], names=["a", "b"])
+
+        return nodes.mapInArrow(search, "a long, b long")
+
+    up = shift + 6 if most >> shift and shift + 6 < NUMBERS else max(shift, NUMBERS) + 6
+    children = nodes.groupBy("turn", F.shiftright("node", up).alias("q")).agg(
+        F.array_sort(F.collect_list(F.struct("node", "pattern", "mask"))).alias("entries"), F.min("node").alias("node"),
         F.bit_and("pattern").alias("low"), F.bit_or("pattern").alias("high"), F.bit_and("mask").alias("shared"),
     )
-    free = F.col("low").bitwiseXOR(F.col("high"))
-    mask = F.col("shared").bitwiseAND(F.bitwise_not(free))
-    parents = staged(children.select(F.shiftleft("p", 32).bitwiseOR(F.col("q")).alias("node"), F.col("low").bitwiseAND(mask).alias("pattern"), mask.alias("mask"), "entries"), "gray-parents")
-    above = _node_pairs(parents.select("node", "pattern", "mask"), radius, int(top), top_radius)
+    mask = F.col("shared").bitwiseAND(F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))))
+    parents = staged(children.select("turn", "node", F.col("low").bitwiseAND(mask).alias("pattern"), mask.alias("mask"), "entries"), "gray-parents")
+    above = _node_pairs(parents.select("turn", "node", "pattern", "mask"), how, up)
     kids = parents.select("node", "entries")
     pairs = above.join(kids.select(F.col("node").alias("a"), F.col("entries").alias("ea")), "a").join(kids.select(F.col("node").alias("b"), F.col("entries").alias("eb")), "b").select("ea", "eb")
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
             for k in range(batch.num_rows):
                 ea, eb = batch.column(0)[k].values, batch.column(1)[k].values
                 na, nb = ea.field("node").to_numpy(), eb.field("node").to_numpy()
-                near = _near(u64(ea.field("pattern")), u64(ea.field("mask")), u64(eb.field("pattern")), u64(eb.field("mask")), radius, top, top_radius)
-                i, j = np.nonzero(near & (na[:, None] <= nb[None, :]))
-                out_a.append(na[i])
-                out_b.append(nb[j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                i, j = np.nonzero(_near(u64(ea.field("pattern")), u64(ea.field("mask")), u64(eb.field("pattern")), u64(eb.field("mask")), *how) & (na[:, None] <= nb[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(na[i]), pa.array(nb[j])], names=["a", "b"])
 
     return pairs.mapInArrow(descend, "a long, b long")
 
@@ -248,7 +282,7 @@ class Labels:
         return np.asarray(taken, np.int64)
 
 
-def _links(a: Branch, b: Branch, radius: int, top: np.uint64, top_radius: int) -> tuple[list, list, Labels, bool]:
+def _links(a: Branch, b: Branch, radius: int, top: int, top_radius: int) -> tuple[list, list, Labels, bool]:
     """Close places (u, v, distance) of two branches: links of dense regions; all other close pairs; dense labels; and whether labels left close pairs out."""
     same = a is b
     shift = 0 if same else len(a.codes)
@@ -304,8 +338,8 @@ def _forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, labels: np.ndarray) ->
     return order[Labels(labels).join(u[order], v[order])]
 
 
-def connect(a: Branch, b: Branch, radius: int, top: np.uint64, top_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links (u, v, distance) of two branches (a may be b), nearest first, that join codes not connected yet; and the labels of dense regions.
+def connect(a: Branch, b: Branch, radius: int, top: int, top_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (u, v, distance) of places in two branches (a may be b; places of b follow those of a), nearest first, that join codes not connected yet; and the labels of dense regions.
 
     Where a leaf's codes have more than DENSE partners each on average, links are made at once, by nearest partner,
     and what they connect isn't compared again: a dense region costs about as much as its codes, not its pairs. All
@@ -316,52 +350,122 @@ def connect(a: Branch, b: Branch, radius: int, top: np.uint64, top_radius: int)
         u, v, d = _every(loose)
         taken = _forest(u, v, d, dense.label)
         links.append((u[taken], v[taken], d[taken]))
-    codes = a.codes if a is b else np.r_[a.codes, b.codes]
-    u, v, d = _every(links)
-    return codes[u], codes[v], d, dense.label
+    return *_every(links), dense.label
 
 
-def _compare(radius: int, top: int, top_radius: int):
-    top = np.uint64(top)
+def _mark_forest(own: Branch, groups: np.ndarray, how: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of the dense regions of a branch, and its own forest."""
+    u, v, d, labels = connect(own, own, *how)
+    plain = (labels == np.arange(len(labels))).all()
+    return np.zeros(0, "<i4") if plain else labels.astype("<i4"), np.column_stack([u, v, d])
+
+
+def _across(a: Branch, b: Branch, most: int, radius: int, top: int, top_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Close places (u of a, v of b, distance) in different groups (0 is a group of one's own), the nearest ``most`` of each u and group; and whether there were more."""
+    same, cut = a is b, False
+    found: list[tuple] = []
+    near = _near(a.patterns, a.masks, b.patterns, b.masks, radius, top, top_radius)
+    for i in np.flatnonzero(near.any(axis=1)):
+        lo, hi = a.bounds[i], a.bounds[i + 1]
+        at = np.concatenate([np.arange(b.bounds[j], b.bounds[j + 1]) for j in np.flatnonzero(near[i])])
+        gap = np.bitwise_count(a.codes[lo:hi, None] ^ b.codes[at][None, :])
+        x, y = np.nonzero(gap <= radius)
+        u, v, d = lo + x, at[y], gap[x, y].astype(np.int32)
+        g = b.labels[v]
+        ok = ((a.labels[u] != g) | (g == 0)) & ((u < v) if same else True)
+        u, v, d, g = u[ok], v[ok], d[ok], g[ok]
+        if len(u) > most:
+            order = np.lexsort((d, g, u))
+            new = np.r_[True, (u[order][1:] != u[order][:-1]) | (g[order][1:] != g[order][:-1])]
+            place = np.arange(len(u)) - np.maximum.accumulate(np.where(new, np.arange(len(u)), 0))
+            keep = np.sort(order[(place < most) | (g[order] == 0)])
+            cut |= len(keep) < len(u)
+            u, v, d = u[keep], v[keep], d[keep]
+        found.append((u, v, d))
+    return *_every(found), cut
+
+
+#: Links of codes or texts: a, and b or its place in the index. A distance of -1: there were more pairs than wanted.
+_FOUND = "turn int, a long, b long, node long, pos int, distance int"
+
+
+def _compare(find: Callable, label: str, by_code: bool):
+    """Rows sorted by (a, b): a branch, which comes first, against its partners; only the branch itself is held."""
+    schema = arrow(_FOUND)
+
+    def load(batch: pa.RecordBatch, k: int) -> Branch:
+        part = lambda i, t: np.frombuffer(batch.column(i)[k].as_py(), t)
+        labels = part(7, label)
+        codes = part(6, np.uint64)
+        return Branch(part(3, "<i4"), part(4, np.uint64), part(5, np.uint64), codes, labels if len(labels) else None)
+
+    def rows(turn: int, a, b, node, pos, d) -> pa.RecordBatch:
+        n = len(a)
+        fill = lambda v, t: pa.nulls(n, t) if v is None else pa.array(np.asarray(v), t) if np.ndim(v) else pa.array(np.full(n, v), t)
+        return pa.RecordBatch.from_arrays([fill(v, f.type) for v, f in zip((turn, a, b, node, pos, d), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = keys = None
         for batch in batches:
             for k in range(batch.num_rows):
-                get = lambda i, t: np.frombuffer(batch.column(i)[k].as_py(), t)  # noqa: B023, E731
-                load = lambda i, inner: Branch(get(i, "<i4"), get(i + 1, np.uint64), get(i + 2, np.uint64), get(i + 3, np.uint64), get(i + 4, "<i4") if inner else None)  # noqa: B023, E731
-                if batch.column(0)[k].as_py() == batch.column(1)[k].as_py():
-                    own = load(2, False)
-                    u, v, d, _ = connect(own, own, radius, top, top_radius)
-                else:
-                    u, v, d, _ = connect(load(2, True), load(7, True), radius, top, top_radius)
+                turn, b = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                if batch.column(0)[k].as_py() == b:
+                    own = load(batch, k)
+                    keys = own.codes.view(np.int64) if by_code else batch.column(8)[k].values.to_numpy()
+                    m = np.frombuffer(batch.column(9)[k].as_py() or b"", "<i4").reshape(-1, 3)
+                    if batch.column(10)[k].as_py() == 0 and len(m):  # one of the salts tells of it
+                        yield rows(turn, keys[m[:, 0]], keys[m[:, 1]], None, None, m[:, 2])
+                    continue
+                other = load(batch, k)
+                u, v, d, cut = find(own, other)
+                if cut:
+                    yield rows(turn, keys[:1], None, b, np.zeros(1), np.full(1, -1))
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(d)], names=["u", "v", "distance"])
+                    yield rows(turn, keys[u], other.codes[v].view(np.int64) if by_code else None, None if by_code else b, None if by_code else v, d)
 
     return run
 
 
+def _searched(rows: DataFrame, n: int, how: tuple[int, int, int], mark: Callable, find: Callable, label: str, by_code: bool) -> tuple[DataFrame, DataFrame]:
+    """The index of ``rows`` (turn, code, key, group), n a turn, joined with itself: what ``find`` finds, and the branches."""
+    spark = rows.sparkSession
+    prefix = min(16, max(0, (n // LEAF).bit_length() - 1))
+    order = ["turn", "rank", "key"]
+    ordered = rows.withColumn("rank", gray_rank(F.col("code"))).repartitionByRange(*order).sortWithinPartitions(*order).select("turn", "code", "key", "group")
+    branches = staged(ordered.mapInArrow(_build(prefix, how, mark), _BRANCH), "gray-branches")
+    pairs = staged(_node_pairs(branches.select("turn", "node", "pattern", "mask"), how), "gray-pairs")
+    total, most = pairs.groupBy("a").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    # a branch with many partners is dealt to several tasks, each of which gets it
+    salts = max(1, -(-most // 64))
+    salt = F.when(F.col("a") != F.col("b"), F.array(F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))).otherwise(F.array(*[F.lit(k) for k in range(salts)]) if salts < 1000 else F.sequence(F.lit(0), F.lit(salts - 1)))
+    own = F.col("a") == F.col("b")
+    joined = pairs.join(branches.withColumnRenamed("node", "b"), "b").withColumn("salt", F.explode(salt))
+    columns = ["a", "turn", "b", *_PARTS, F.when(own, F.col("keys")).alias("keys"), F.when(own, F.col("own")).alias("own"), "salt"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 128)
+    dealt = joined.select(*columns).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "b")
+    return dealt.mapInArrow(_compare(find, label, by_code), _FOUND), branches
+
+
+def _how(radius: int, rotations: int) -> tuple[int, int, int]:
+    """The radius, the leading block, and in how many of its bits two codes may differ in one of the rotations."""
+    width = 64 // rotations
+    return radius, ((1 << width) - 1) << (64 - width), radius // rotations
+
+
 def close_codes(codes: DataFrame, radius: int, rotations: int = 1) -> DataFrame:
     """(u, v, distance): links between distinct codes within the radius that keep all components."""
     distinct = staged(codes.select("code").distinct(), "codes")
-    n = distinct.count()
-    prefix = min(16, max(0, (n // LEAF).bit_length() - 1))
-    width = 64 // rotations
-    top = ((1 << width) - 1) << (64 - width)
-    top_radius = radius // rotations
-    found = None
-    for r in range(rotations):
-        turned = distinct.select(F.expr(rotated("code", r * width)).alias("code")).select("code", gray_rank(F.col("code")).alias("rank"))
-        ordered = turned.repartitionByRange("rank").sortWithinPartitions("rank").select("code")
-        branches = staged(ordered.mapInArrow(_build(prefix, radius, top, top_radius), _BRANCH), "gray-branches")
-        pairs = _node_pairs(branches.select("node", "pattern", "mask"), radius, top, top_radius)
-        side = lambda n: branches.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in _PARTS])  # noqa: B023, E731
-        joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        columns = ["a", "b", *[f"{c}_{n}" for n in "ab" for c in _PARTS]]
-        links = joined.select(*columns).mapInArrow(_compare(radius, top, top_radius), "u long, v long, distance int")
-        back = (64 - r * width) % 64
-        links = links.select(F.expr(rotated("u", back)).alias("u"), F.expr(rotated("v", back)).alias("v"), "distance")
-        found = links if found is None else found.unionByName(links)
-    return found
+    how, width = _how(radius, rotations), 64 // rotations
+    turns = distinct.select("code", F.explode(F.array(*[F.lit(t) for t in range(rotations)])).alias("turn"))
+    rows = turns.select("turn", rotated("code", f"turn * {width}").alias("code")).withColumns({"key": F.col("code"), "group": F.lit(0).cast("long")})
+
+    def find(a: Branch, b: Branch) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        u, v, d, _ = connect(a, b, *how)
+        return u, v - len(a.codes), d, False
+
+    found, _ = _searched(rows, distinct.count(), how, _mark_forest, find, "<i4", True)
+    back = f"64 - turn * {width}"
+    return found.select(rotated("a", back).alias("u"), rotated("b", back).alias("v"), "distance")
 
 
 def near_components(codes: DataFrame, links: DataFrame) -> DataFrame:
@@ -381,169 +485,130 @@ def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_hashes(text: Column, size: int) -> Column:
-    """Distinct hashes of the word shingles of a text, words lower-cased; of the whole sequence if there are fewer words."""
-    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
-    at = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(size)])
-    several = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: at(w, i))
-    return let(words_of(F.lower(text)), lambda w: F.array_distinct(F.when(F.size(w) >= size, several(w)).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))))
+def _blocks_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (a, b, n) -> (a, b, block): runs of pairs whose texts have about AT_ONCE shingles."""
+    from pyspark import TaskContext
 
-
-def similar_texts(pairs: DataFrame, docs: DataFrame, size: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of pairs (a, b) of row keys, those whose texts share at least ``least`` of their distinct shingles (Jaccard)."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("row_key"))
-    texts = keyed(docs, id_col, text_col).join(sides.select("row_key").distinct(), "row_key", "left_semi")
-    texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))  # exact copies are one text
-    sets = sides.join(texts.select("row_key", shingle_hashes(F.col("text"), size).alias("s")), "row_key")
-    both = sets.groupBy("a", "b").agg(F.max(F.when(F.col("row_key") == F.col("a"), F.col("s"))).alias("x"), F.max(F.when(F.col("row_key") == F.col("b"), F.col("s"))).alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-#: What _gather says of a pair of texts, or of a pair of branches whose dense regions hid pairs.
-LOOSE, TREE, HIDDEN = 0, 1, 2
-_GATHERED = "a long, b long, distance int, kind int"
-#: Pairs tested for each text and component in the first round; eight times as many in each further one.
-TESTS = 4
+    base, before = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        ends = before + np.cumsum(batch.column(2).to_numpy())
+        before = int(ends[-1]) if len(ends) else before
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base + ends // AT_ONCE)], names=["a", "b", "block"])
 
 
-def _sides(batch: pa.RecordBatch, k: int) -> tuple[Branch, Branch, np.ndarray]:
-    """The branches of a row of (a, b, parts and keys of a, parts and keys of b), and the keys of both."""
-    get = lambda i, t: np.frombuffer(batch.column(i)[k].as_py(), t)
-    load = lambda i, inner: Branch(get(i, "<i4"), get(i + 1, np.uint64), get(i + 2, np.uint64), get(i + 3, np.uint64), get(i + 4, "<i4") if inner else None)
-    keys = lambda i: batch.column(i)[k].values.to_numpy()
-    if batch.column(0)[k].as_py() == batch.column(1)[k].as_py():
-        own = load(2, False)
-        return own, own, keys(7)
-    return load(2, True), load(8, True), np.r_[keys(7), keys(13)]
-
-
-def _gather(radius: int, top: int, top_radius: int):
-    """All close pairs of texts outside dense regions, links of the dense regions, and the pairs of branches with more."""
-    top = np.uint64(top)
-
+def _test(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block: sets of texts (b is null), then the pairs to test."""
+        now, sets = None, {}
         for batch in batches:
-            for k in range(batch.num_rows):
-                a, b, keys = _sides(batch, k)
-                links, loose, dense, hidden = _links(a, b, radius, top, top_radius)
-                u, v, d = _every(links + loose)
-                kind = np.full(len(u), LOOSE, np.int32)
-                n = sum(len(x[0]) for x in links)
-                kind[:n] = TREE
-                kind[n + _forest(u[n:], v[n:], d[n:], dense.label)] = TREE
-                u, v = keys[u], keys[v]
-                if hidden:
-                    u, v = np.r_[u, batch.column(0)[k].as_py()], np.r_[v, batch.column(1)[k].as_py()]
-                    d, kind = np.r_[d, np.int32(0)], np.r_[kind, np.int32(HIDDEN)]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.int32)), pa.array(kind.astype(np.int32))], names=["a", "b", "distance", "kind"])
+            block, a, b, data = (batch.column(i) for i in range(4))
+            out = []
+            for k, (n, x, y) in enumerate(zip(block.to_pylist(), a.to_pylist(), b.to_pylist(), strict=True)):
+                if n != now:
+                    now, sets = n, {}
+                if y is None:
+                    sets[x] = np.frombuffer(data[k].as_py(), np.uint64)
+                    continue
+                s, t = sorted((sets[x], sets[y]), key=len)
+                at = np.searchsorted(t, s)
+                at[at == len(t)] = 0
+                shared = int((t[at] == s).sum())
+                if shared >= least * (len(s) + len(t) - shared):
+                    out.append(k)
+            take = pa.array(out, pa.int64())
+            yield pa.RecordBatch.from_arrays([a.take(take), b.take(take)], names=["a", "b"])
 
     return run
 
 
-def _uncover(radius: int, top: int, top_radius: int):
-    """All close pairs of texts that are in different components; the components follow the keys of each side."""
-    top = np.uint64(top)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b, keys = _sides(batch, k)
-                groups = batch.column(14)[k].values.to_numpy()
-                if a is not b:
-                    groups = np.r_[groups, batch.column(15)[k].values.to_numpy()]
-                shift = 0 if a is b else len(a.codes)
-                near = _near(a.patterns, a.masks, b.patterns, b.masks, radius, top, top_radius)
-                for i in np.flatnonzero(near.any(axis=1)):
-                    lo, hi = a.bounds[i], a.bounds[i + 1]
-                    at = np.concatenate([np.arange(b.bounds[j], b.bounds[j + 1]) for j in np.flatnonzero(near[i])])
-                    gap = np.bitwise_count(a.codes[lo:hi, None] ^ b.codes[at][None, :])
-                    x, y = np.nonzero((gap <= radius) & (groups[lo:hi, None] != groups[shift + at][None, :]))
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[lo + x]), pa.array(keys[shift + at[y]]), pa.array(gap[x, y].astype(np.int32)), pa.array(np.zeros(len(x), np.int32))], names=["a", "b", "distance", "kind"])
+def similar_texts(pairs: DataFrame, docs: DataFrame, size: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of pairs (a, b, n) of row keys, those whose texts share at least ``least`` of their distinct shingles (Jaccard); n weighs a pair by its shingles.
 
-    return run
+    Pairs are cut into blocks, and a text's set goes to each block once, not to each pair.
+    """
+    spark = pairs.sparkSession
+    ordered = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a", "b", "n")
+    cut = staged(ordered.mapInArrow(_blocks_of_pairs, "a long, b long, block long"), "near-blocks")
+    sides = cut.select("block", F.explode(F.array("a", "b")).alias("row_key")).distinct()
+    texts = keyed(docs, id_col, text_col).join(sides.select("row_key").distinct(), "row_key", "left_semi")
+    texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))  # exact copies are one text
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([shingle_set(t, size).tobytes() for t in raw(block)], pa.binary())], names=["row_key", "shingles"])
 
-class TextIndex:
-    """The Gray-order index of one rotation of one code, with the keys of the texts; ``found`` has what _gather says."""
-
-    def __init__(self, texts: DataFrame, n: int, radius: int, rotations: int, turn: int):
-        """``texts`` (code, row_key); ``n`` is their number."""
-        width = 64 // rotations
-        self.how = radius, ((1 << width) - 1) << (64 - width), radius // rotations
-        prefix = min(16, max(0, (n // LEAF).bit_length() - 1))
-        turned = texts.select(F.expr(rotated("code", turn * width)).alias("code"), "row_key").withColumn("rank", gray_rank(F.col("code")))
-        # equal codes are dealt out by their keys
-        ordered = turned.repartitionByRange("rank", "row_key").sortWithinPartitions("rank", "row_key").select("code", "row_key")
-        self.branches = staged(ordered.mapInArrow(_build(prefix, *self.how, with_keys=True), f"{_BRANCH}, keys array<long>"), "near-branches")
-        pairs = _node_pairs(self.branches.select("node", "pattern", "mask"), *self.how)
-        self.found = staged(self._joined(pairs, self.branches, ()).mapInArrow(_gather(*self.how), _GATHERED), "near-found")
-
-    @staticmethod
-    def _joined(pairs: DataFrame, branches: DataFrame, more: tuple[str, ...]) -> DataFrame:
-        side = lambda n: branches.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in (*_PARTS, "keys", *more)])
-        columns = ["a", "b", *[f"{c}_{n}" for n in "ab" for c in (*_PARTS, "keys")], *[f"{c}_{n}" for c in more for n in "ab"]]
-        return pairs.join(side("a"), "a").join(side("b"), "b").select(*columns)
-
-    def hidden(self, labels: DataFrame) -> DataFrame | None:
-        """Close pairs between different components in the branches whose dense regions hid pairs, if there are any."""
-        pairs = self.found.where(F.col("kind") == HIDDEN).select("a", "b")
-        if pairs.isEmpty():
-            return None
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        branches = self.branches.join(nodes, "node", "left_semi")
-        member = branches.select("node", F.posexplode("keys").alias("place", "row_key")).join(labels.withColumnRenamed("node", "row_key").select("row_key", "component"), "row_key", "left")
-        groups = member.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("component", "row_key").alias("group")))).alias("g"))
-        branches = branches.join(groups.select("node", F.col("g.group").alias("groups")), "node")
-        return self._joined(pairs, branches, ("groups",)).mapInArrow(_uncover(*self.how), _GATHERED)
+    sets = sides.join(texts.mapInArrow(hashed, "row_key long, shingles binary"), "row_key").select("block", F.col("row_key").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    rows = sets.unionByName(cut.select("block", "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cut.select("block").distinct().count())
+    dealt = rows.repartition(parts, "block").sortWithinPartitions("block", F.col("b").isNotNull())
+    return dealt.mapInArrow(_test(least), "a long, b long")
 
 
-def _unordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+def _plausible(pairs: DataFrame, texts: DataFrame, names: list[str], least: float) -> DataFrame:
+    """(a, b, n) of the pairs (a, b) whose sizes and codes allow the similarity."""
+    side = lambda x: texts.select(F.col("row_key").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in names])
+    bits = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in names), F.lit(0))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.where((F.least("na", "nb") >= least * F.greatest("na", "nb")) & (bits <= MOST_BITS * len(names) // 4))
+    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"))
 
 
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b, distance) of different components, with the components ca and cb."""
-    side = lambda n: labels.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    both = both.select("a", "b", "distance", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    return both.where(F.col("ca") != F.col("cb"))
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 11, rotations: int = 4, least: float = 0.8, codes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_key, group_id, group_key, first): groups of near-duplicate texts; first marks the one to keep.
 
-    Candidates are all pairs of texts whose fingerprints are within the radius in one of ``codes`` independent codes
-    (texts of similarity 0.8 differ in 10 of 64 bits on average); a pair is a link if the texts' shingle sets have a
-    Jaccard similarity of at least ``least``. A spanning forest of the first code's candidates is tested first. Then
-    the pairs between different components are, in rounds, nearest first and more in each round, until every
-    candidate has been tested or lies within a component.
+    Candidates are all pairs of texts whose codes are within the radius in one of ``codes`` independent codes of
+    distinct shingles (texts of similarity 0.8 differ in 10 of 64 bits on average); a pair is a link if the texts'
+    shingle sets have a Jaccard similarity of at least ``least``. First a forest is tested: each text with the first
+    text of its code, and links that connect the close codes. Then one index of all codes and rotations, which
+    knows the components so far, gives every candidate pair between different components, nearest first, and those
+    are tested too; rounds go on until no pair was left out.
     """
-    coded = staged(fingerprints(docs, size, codes, id_col, text_col), "fingerprints")
-    names = ["code", *[f"code{k}" for k in range(1, codes)]]
-    texts = staged(coded.select("row_key", *names).distinct(), "near-texts")
-    n = texts.count()
-    indexes = [TextIndex(texts.select(F.col(name).alias("code"), "row_key"), n, radius, rotations, r) for name in names for r in range(rotations)]
-    everything = lambda tables: _unordered(functools.reduce(DataFrame.unionByName, tables)).groupBy("a", "b").agg(F.min("distance").alias("distance"))
-    tested = staged(everything([x.found.where(F.col("kind") == TREE) for x in indexes[:rotations]]).select("a", "b"), "near-tested")
+    names = [f"code{k}" for k in range(codes)]
+    coded = staged(text_codes(docs, size, codes, id_col, text_col), "near-codes")
+    texts = staged(coded.groupBy("row_key").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in names]), "near-texts")
+    n, how, width = texts.count(), _how(radius, rotations), 64 // rotations
+
+    by_code = texts.select(F.col("code0").alias("code"), "row_key")
+    heads = staged(by_code.groupBy("code").agg(F.min("row_key").alias("head")), "near-heads")
+    side = lambda x, y: heads.select(F.col("code").alias(x), F.col("head").alias(y))
+    forest = close_codes(heads, radius, rotations).join(side("u", "a"), "u").join(side("v", "b"), "v").select("a", "b")
+    pairs = _unordered(forest.unionByName(by_code.join(heads, "code").select(F.col("row_key").alias("a"), F.col("head").alias("b"))))
+    tested = staged(_plausible(pairs, texts, names, least), "near-tested")
     links = staged(similar_texts(tested, docs, size, least, id_col, text_col), "near-links")
     labels = staged(connected_components(links, "a", "b"), "near-labels")
-    hidden = [h for x in indexes if (h := x.hidden(labels)) is not None]
-    candidates = everything([x.found.where(F.col("kind") != HIDDEN) for x in indexes] + hidden)
-    left, most = staged(_between(candidates.join(tested, ["a", "b"], "left_anti"), labels), "near-open"), TESTS
-    while count := left.count():
-        if count <= n:  # no more pairs than texts: all at once
-            now = left.select("a", "b")
-        else:
-            nearest = Window.partitionBy("a", "cb").orderBy("distance", F.xxhash64("b"), "b")
-            now = staged(left.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= most).select("a", "b"), "near-tested")
-        links = links.unionByName(staged(similar_texts(now, docs, size, least, id_col, text_col), "near-links"))
-        labels = staged(connected_components(links, "a", "b"), "near-labels")
-        if count <= n:
+
+    most = TESTS
+    while True:
+        turned = F.explode(F.array(*[F.struct(F.lit(c * rotations + t).alias("turn"), rotated(name, f"{t * width}").alias("code")) for c, name in enumerate(names) for t in range(rotations)]))
+        grouped = texts.join(labels.withColumnRenamed("node", "row_key"), "row_key", "left").select("row_key", F.coalesce("component", F.lit(0)).alias("group"), *names)
+        rows = grouped.select("row_key", "group", turned.alias("t")).select("t.turn", "t.code", F.col("row_key").alias("key"), "group")
+
+        def find(a: Branch, b: Branch, most: int = most) -> tuple:
+            return _across(a, b, most, *how)
+
+        def mark(own: Branch, groups: np.ndarray, how: tuple[int, int, int], find: Callable = find) -> tuple[np.ndarray, np.ndarray]:
+            own.labels = groups
+            u, v, d, cut = find(own, own)
+            return groups, np.r_[np.column_stack([u, v, d]), np.array([[0, 0, -1]])[: int(cut)]]
+
+        found, branches = _searched(rows, n, how, mark, find, "<i8", False)
+        found = staged(found, "near-found")
+        placed = branches.select("node", F.posexplode("keys").alias("pos", "key"))
+        open_ = found.where(F.col("b").isNull() & (F.col("distance") >= 0)).select("a", "node", "pos").join(placed, ["node", "pos"]).select("a", F.col("key").alias("b"))
+        pairs = _unordered(open_.unionByName(found.where(F.col("b").isNotNull() & (F.col("distance") >= 0)).select("a", "b")))
+        now = staged(_plausible(pairs.join(tested, ["a", "b"], "left_anti"), texts, names, least), "near-tested")
+        fresh = staged(similar_texts(now, docs, size, least, id_col, text_col), "near-links")
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            labels = staged(connected_components(links, "a", "b"), "near-labels")
+        if found.where("distance < 0").isEmpty():
             break
-        left, most = staged(_between(left.select("a", "b", "distance").join(now, ["a", "b"], "left_anti"), labels), "near-open"), 8 * most
+        tested, most = tested.unionByName(now), 8 * most
+
     rows = coded.select("doc_id", "row_key").distinct().join(labels.withColumnRenamed("node", "row_key"), "row_key", "left")
     rows = staged(rows.select("doc_id", "row_key", F.coalesce("component", "row_key").alias("component")), "near-rows")
     owner = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("o"))
