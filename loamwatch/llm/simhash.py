@@ -41,8 +41,8 @@ LEAF, LEAVES, DENSE = 128, 128, 32
 ROOT, NUMBERS = 4096, 20
 #: Bits that the four codes of two texts may differ in: 0.8 similar texts differ in 39 on average (deviation 6), unlike ones in 128.
 MOST_BITS = 72
-#: Nearest pairs of a text and another component that a round tests; eight times as many in the next if there were more.
-TESTS = 8
+#: Nearest pairs of a text and another component that two branches give in a round; eight times as many in the next if there were more.
+TESTS = 1024
 #: Shingles of the texts that a task compares at a time.
 AT_ONCE = 1 << 20
 
