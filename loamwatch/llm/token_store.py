@@ -13,12 +13,14 @@ Reading checks every chunk against its address and every recipe against its root
 ``verify_manifest`` lists runs of recipes that differ from the manifest.
 
 Null texts are empty and have the end id alone. Rows are ordered by id, then by a hash of the text; nulls come
-first; repeated rows are stored each. An empty table gives empty tables.
+first; repeated rows are stored each. Very long texts are blocks of their own and many chunks. Other columns aren't
+read, so they can't clash. An empty table gives empty tables.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,8 +41,11 @@ WINDOW, LEAST, MOST, CUT_BITS = 8, 64, 8192, 10
 LATIN = "ɐ"
 #: The one of them that lower-cases to a letter and a mark.
 DOTTED = "İ"
+#: The vocabulary's letter of each byte: printable ones stand for themselves, the others follow from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 #: Words whose ids a worker remembers, and text bytes that it takes at a time.
-REMEMBERED, BLOCK = 250_000, 4 << 20
+REMEMBERED, BLOCK = 250_000, 12 << 20
 _ENCODED = "doc_id long, row_key long, n_tokens long, addresses array<binary>, lengths array<int>, root binary, chunks array<struct<address: binary, n_ids: int, payload: binary>>"
 #: Payloads are compressed and all different, and a task's row group is held in memory.
 _FILES = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
@@ -67,51 +72,56 @@ class WordIds:
     def __init__(self, path: str):
         self.library, self.added = vocab.tokenizer(path), vocab.added_strings(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        #: How few ids are packed, as most words have.
+        self.pack = [struct.Struct(f"<{n}{self.kind}").pack for n in range(16)]
         #: Words met lately, and those met before; a full first table takes the place of the second.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.tokenize = self.library.model.tokenize
         self.tails = {c: self.encode(c) for c in ".,"}
 
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+
     def encode(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def encode_latin(self, words: list[str]) -> dict[str, bytes]:
-        """Latin words are one pre-token each, so thousands go through the library as one text; words left out were not."""
-        found = {}
-        for i in range(0, len(words), 5000):
-            part = words[i : i + 5000]
-            done = self.library.encode(" ".join(part), add_special_tokens=False)
-            if len(part) != done.word_ids[-1] + 1:  # a word is several pre-tokens after all
-                continue
-            ends = np.searchsorted(np.asarray(done.word_ids), np.arange(len(part)), side="right") * self.dtype.itemsize
-            data, at = np.asarray(done.ids, self.dtype).tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                found[w] = data[at:end]
-                at = end
-        return found
+        return self.packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def letters(self, word: str) -> bytes:
+        """Ids of Latin letters: they are one pre-token, so the merges can run on the word's bytes at once."""
+        if not word.isascii():
+            word = word.lower().encode().decode("latin-1").translate(BYTES)
+        ids = [t.id for t in self.tokenize(word)]
+        return self.pack[len(ids)](*ids) if len(ids) < 16 else self.packed(ids)
 
     def of(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
+        """Ids of distinct words without A-Z."""
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
         known, before, tails = self.known, self.before, self.tails
         found = list(map(known.get, words))
-        new: dict[str, str] = {}
-        for i in [i for i, v in enumerate(found) if v is None]:
+        others: dict[str, str] = {}
+        for i, v in enumerate(found):
+            if v is not None:
+                continue
             w = words[i]
-            if (v := before.get(w)) is not None:
-                known[w] = found[i] = v
-            else:
+            v = before.get(w)
+            if v is None and (w.isascii() or (max(w) < LATIN and DOTTED not in w)):
+                if w.isalpha():
+                    v = self.letters(w)
+                elif w[-1:] in tails and w[:-1].isalpha():
+                    v = self.letters(w[:-1]) + tails[w[-1]]
+            if v is None:
                 # a full stop or comma behind a plain letter is a token of its own
-                new[w] = w[:-1] if w[-1:] in tails and w[-2:-1].isalpha() and w[-2] < LATIN and w[-2] != DOTTED else w
-        stems = dict.fromkeys(new.values())
-        ids = self.encode_latin([s for s in stems if s.isalpha() and (s.isascii() or max(s) < LATIN)])
-        others = [s for s in stems if s not in ids]
-        for i in range(0, len(others), 10_000):
-            part = others[i : i + 10_000]
+                others[w] = w[:-1] if w[-1:] in tails and w[-2:-1].isalpha() and w[-2] < LATIN and w[-2] != DOTTED else w
+            else:
+                known[w] = found[i] = v
+        stems, ids = list(dict.fromkeys(others.values())), {}
+        for i in range(0, len(stems), 10_000):
+            part = stems[i : i + 10_000]
             for s, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids[s] = np.asarray(e.ids, self.dtype).tobytes()
-        for w, s in new.items():
+                ids[s] = self.packed(e.ids)
+        for w, s in others.items():
             known[w] = ids[s] if len(s) == len(w) else ids[s] + tails[w[-1]]
         return [known[w] if v is None else v for w, v in zip(words, found, strict=True)]
 
@@ -174,9 +184,11 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        seen: set[bytes] = set()
+        seen: set[bytes] = set()  # what slips through is dropped later
         pack = zstandard.ZstdCompressor(level=1)
         for block in blocks(batches, limit=BLOCK):
+            if len(seen) > REMEMBERED:
+                seen.clear()
             ids, ends = encode_texts(block.column(2).cast(pa.string()), path, end_id)
             stops = cuts(ids, ends)
             width = ids.dtype.itemsize
@@ -212,14 +224,14 @@ def _encode(path: str, end_id: int):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops addresses seen before; all rows of an address are in one partition."""
-    seen: set[bytes] = set()
+    """The first row of each address; rows are sorted by address, and all of an address are in one partition."""
+    before = None
     for batch in batches:
         keep = []
         for key in batch.column(0).to_pylist():
-            keep.append(key not in seen)
-            seen.add(key)
-        yield batch.filter(pa.array(keep))
+            keep.append(key != before)
+            before = key
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +249,7 @@ def write_store(docs: DataFrame, store: str, path: str | None = None, end_id: in
     path = path or vocab.default_path("word_bpe_49k.json")
     encoded = staged(keyed(docs, id_col, text_col).mapInArrow(_encode(path, end_id), _ENCODED), "token-ids", **_FILES)
     chunks = encoded.select(F.explode("chunks").alias("c")).select("c.address", "c.n_ids", "c.payload")
-    chunks.repartition("address").mapInArrow(_once, "address binary, n_ids int, payload binary").write.options(**_FILES).parquet(f"{store}/chunks")
+    chunks.repartition("address").sortWithinPartitions("address").mapInArrow(_once, "address binary, n_ids int, payload binary").write.options(**_FILES).parquet(f"{store}/chunks")
     recipes = encoded.select("doc_id", "row_key", "n_tokens", "addresses", "lengths", "root")
     ordered = recipes.repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
     numbered = ordered.mapInArrow(_number, "doc_id long, row_key long, n_tokens long, addresses array<binary>, lengths array<int>, root binary, local_start long")
@@ -337,6 +349,38 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, n_tokens, chunks in order) -> the ids of each document."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        out = []
+        for n_tokens, chunks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            parts = []
+            for c in chunks:
+                if c["payload"] is None:
+                    raise ValueError("a chunk is missing")
+                width, n = c["payload"][0], c["n_ids"]
+                data = unpack.decompress(c["payload"][1:], max_output_size=n * width)
+                if digest(data) != c["address"]:
+                    raise ValueError(f"chunk {c['address'].hex()} does not hold what its address says")
+                parts.append(np.frombuffer(data, f"<u{width}"))
+            ids = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+            if len(ids) != n_tokens:
+                raise ValueError("a document is not whole")
+            out.append(ids)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "start", "n_tokens", "ids"])
+
+
+def read_ids(spark: SparkSession, store: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids array<int>): the ids of every document, put together from its recipe."""
+    recipes = spark.read.parquet(f"{store}/recipes").select("doc_id", "start", "n_tokens", F.posexplode("addresses").alias("k", "address"))
+    joined = recipes.join(spark.read.parquet(f"{store}/chunks"), "address", "left")
+    grouped = joined.groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("k", "address", "n_ids", "payload"))).alias("chunks"))
+    return grouped.mapInArrow(_join_chunks, "doc_id long, start long, n_tokens long, ids array<int>")
+
+
 def verify_manifest(spark: SparkSession, store: str) -> DataFrame:
     """Rows of the manifest that the recipes don't match; empty if all is well."""
     now, then = _manifest(spark.read.parquet(f"{store}/recipes")), spark.read.parquet(f"{store}/manifest")
@@ -346,4 +390,6 @@ def verify_manifest(spark: SparkSession, store: str) -> DataFrame:
 def op10_token_ids(spark, sf_dir: str) -> DataFrame:
     store = stage_path(spark, "token-store")
     write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), store)
+    if not verify_manifest(spark, store).isEmpty():
+        raise ValueError("recipes and manifest differ")
     return read_digests(spark, store)

@@ -50,6 +50,9 @@ def test_store_round_trip(spark, odd, none, tmp_path):
     chunks = spark.read.parquet(f"{store}/chunks")
     assert chunks.count() == chunks.select("address").distinct().count()
     assert TS.verify_manifest(spark, store).count() == 0
+    full = {(r.doc_id, r.start): r.ids for r in TS.read_ids(spark, store).collect()}
+    assert len(full) == len(got) and all(zlib.crc32(np.array(full[r.doc_id, r.start], "<u4").tobytes()) == r.ids_crc32 and len(full[r.doc_id, r.start]) == r.n_tokens for r in got)
+    assert sorted(map(tuple, full.values())) == sorted((*library.encode(r.text or "", add_special_tokens=False).ids, 1) for r in odd.collect())
     TS.write_store(none, str(tmp_path / "none"))
     assert TS.read_digests(spark, str(tmp_path / "none")).count() == 0
 
@@ -64,6 +67,16 @@ def test_damage_is_noticed(spark, odd, tmp_path):
     spark.read.parquet(f"{store}/recipes").write.parquet(str(tmp_path / "b" / "recipes"))
     with pytest.raises(Exception, match="address|missing"):
         TS.read_digests(spark, str(tmp_path / "b")).collect()
+    with pytest.raises(Exception, match="address|missing"):
+        TS.read_ids(spark, str(tmp_path / "b")).collect()
+
+
+def test_latin_words_equal_the_library():
+    words = TS.word_ids(vocab.default_path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(97, 0x250) if chr(c).isalpha()]
+    t = list(dict.fromkeys("".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(["", ".", ",", ".."]) for _ in range(5000)))
+    assert words.of(t) == [words.encode(w) for w in t]
 
 
 def test_crc_of_parts():
