@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,11 +12,16 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, 100.0 * part / whole)
 
 
-def ordered_events(events: DataFrame, key: str, day: str, activity: str, width: int, ties: list[str]) -> DataFrame:
-    """One row a key: n, then day_k and activity_k in order of time for k up to ``width``."""
+def ordered_events(events: DataFrame, key: str, day: str, activity: str, ties: list[str]) -> DataFrame:
+    """(key, n, days, activities): all events of a key in order of time, in two arrays."""
     listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(day, *ties, activity))).alias("_e"))
-    at = lambda k: F.get("_e", k)
-    return listed.select(key, F.size("_e").alias("n"), *[c for k in range(width) for c in (at(k)[day].alias(f"day_{k + 1}"), at(k)[activity].alias(f"activity_{k + 1}"))])
+    part = lambda c: F.transform("_e", lambda e: e[c])
+    return listed.select(key, F.size("_e").alias("n"), part(day).alias("days"), part(activity).alias("activities"))
+
+
+def numbered_columns(listed: DataFrame, key: str, width: int) -> DataFrame:
+    """The first ``width`` events as columns day_k and activity_k, for output in wide tables."""
+    return listed.select(key, "n", *[F.get(a, k).alias(f"{c}_{k + 1}") for k in range(width) for a, c in (("days", "day"), ("activities", "activity"))])
 
 
 def first_variogram(series: DataFrame, key: list[str], day: str, values: list[str], order: list[str]) -> DataFrame:
@@ -25,20 +31,21 @@ def first_variogram(series: DataFrame, key: list[str], day: str, values: list[st
     return steps.groupBy(*key).agg(*[F.median(v).alias(v) for v in values])
 
 
-def adjusted_variogram(series: DataFrame, key: list[str], day: str, values: list[str], order: list[str], gap: int = 30, most: int = 12) -> DataFrame:
+def adjusted_variogram(series: DataFrame, key: list[str], day: str, values: list[str], order: list[str], gap: int = 30) -> DataFrame:
     """The same over pairs more than ``gap`` days apart, at the least lag whose most frequent gap exceeds it; else the first variogram.
 
-    Lags up to ``most`` are tried here; the detection kernel tries all.
+    One shuffle by key; every lag is tried, in the detection kernel's own function. A single observation gives nulls.
     """
-    w = W.partitionBy(*key).orderBy(day, *order)
-    lags = F.array(*[F.struct(F.lit(k).alias("k"), F.lag(day, k).over(w).alias("d"), *[F.lag(v, k).over(w).alias(v) for v in values]) for k in range(1, most + 1)])
-    pairs = series.withColumn("_lags", lags).select(*key, day, *values, F.explode("_lags").alias("o")).where(F.col("o.d").isNotNull())
-    pairs = pairs.select(*key, F.col("o.k").alias("k"), F.datediff(day, "o.d").alias("gap"), *[F.abs(F.col(v) - F.col(f"o.{v}")).alias(v) for v in values])
-    modes = pairs.groupBy(*key, "k", "gap").agg(F.count("*").alias("n")).groupBy(*key, "k").agg(F.max_by("gap", F.struct("n", -F.col("gap"))).alias("mode"))
-    chosen = modes.where(F.col("mode") > gap).groupBy(*key).agg(F.min("k").alias("k"))
-    wide = pairs.join(chosen, [*key, "k"]).where(F.col("gap") > gap).groupBy(*key).agg(*[F.median(v).alias(f"_{v}") for v in values])
-    base = first_variogram(series, key, day, values, order)
-    return base.join(wide, key, "left").select(*key, *[F.coalesce(f"_{v}", v).alias(v) for v in values])
+    from loamwatch.operators.detection import variogram
+
+    def one(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_t", *[f"_order{i}" for i in range(len(order))]], kind="stable")
+        found = variogram(pdf["_t"].to_numpy(), pdf[values].to_numpy(float).T, gap) if len(pdf) > 1 else [None] * len(values)
+        return pd.DataFrame([(*group, *found)], columns=[*key, *values])
+
+    ready = series.select(*key, F.unix_date(day).alias("_t"), *[F.col(v).cast("double").alias(v) for v in values], *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)])
+    kinds = dict(series.select(*key).dtypes)
+    return ready.groupBy(*key).applyInPandas(one, ", ".join([*[f"{k} {kinds[k]}" for k in key], *[f"{v} double" for v in values]]))
 
 
 def peek_size(series: DataFrame, key: list[str], day: str, order: list[str], peek: int = 6, base: int = 16) -> DataFrame:

@@ -111,12 +111,12 @@ def sparse_solve(gram: np.ndarray, cross: np.ndarray, alpha: float, guess: np.nd
     return w / scale
 
 
-#: Signs of the last fit of a number of terms and a band: where the next solution is looked for first.
-_SIGNS: dict[tuple[int, int], np.ndarray] = {}
+def lasso_fit(t: np.ndarray, y: np.ndarray, terms: int, alpha: float, year: float, x: np.ndarray | None = None, signs: dict | None = None) -> list[Fit]:
+    """A fit of each row of y; terms counts the intercept. Columns are centred, not scaled; alpha 0 is least squares.
 
-
-def lasso_fit(t: np.ndarray, y: np.ndarray, terms: int, alpha: float, year: float, x: np.ndarray | None = None) -> list[Fit]:
-    """A fit of each row of y; terms counts the intercept. Columns are centred, not scaled; alpha 0 is least squares. x: the design matrix, if at hand."""
+    x: the design matrix, if at hand. signs: those of the last fit of a number of terms and a band in this series,
+    where the solution is looked for first.
+    """
     x = (design_matrix(t, year) if x is None else x)[:, : terms - 1]
     mx, my = x.mean(axis=0), y.mean(axis=1)
     xc, yc = x - mx, y - my[:, None]
@@ -124,8 +124,9 @@ def lasso_fit(t: np.ndarray, y: np.ndarray, terms: int, alpha: float, year: floa
     gram, cross = xc.T @ xc / n, xc.T @ yc.T / n
     out = []
     for b in range(len(y)):
-        w = sparse_solve(gram, cross[:, b], alpha, _SIGNS.get((terms, b))) if alpha > 0 else np.linalg.lstsq(xc, yc[b], rcond=None)[0]
-        _SIGNS[terms, b] = np.sign(w)
+        w = sparse_solve(gram, cross[:, b], alpha, None if signs is None else signs.get((terms, b))) if alpha > 0 else np.linalg.lstsq(xc, yc[b], rcond=None)[0]
+        if signs is not None:
+            signs[terms, b] = np.sign(w)
         r = yc[b] - xc @ w
         coef = np.zeros(7)
         coef[: len(w)] = w
@@ -188,7 +189,7 @@ def robust_outliers(t: np.ndarray, y: np.ndarray, vario: np.ndarray, p: Paramete
                     break
                 u = r / scale / 4.685
                 before, coef = coef, weighted(v, np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0.0))
-                if not np.any(np.abs((before - coef) > 1e-8)):
+                if not (coef - before > 1e-8).any():  # no coefficient rose: the test is one-sided
                     break
         out |= np.abs(x @ coef - v) > vario[b] * p.outlier_scale
     return out
@@ -207,6 +208,17 @@ def magnitudes(residuals: np.ndarray, vario: np.ndarray, rmse: np.ndarray) -> np
     return ((np.abs(residuals) / np.maximum(np.maximum(vario, rmse), 1e-12)[:, None]) ** 2).sum(axis=0)
 
 
+def instability(fits: list[Fit], vario: np.ndarray, span: float) -> float:
+    """How far the slope over the span and the end residuals of a fit exceed its noise, squared and summed over bands."""
+    return sum(((abs(f.coef[0] * span) + abs(f.residual[0]) + abs(f.residual[-1])) / max(v, f.rmse, 1e-12)) ** 2 for f, v in zip(fits, vario, strict=True))
+
+
+def seasonal_rmse(fits: list[Fit], t: np.ndarray, at: float) -> np.ndarray:
+    """Norm over four of each band's 24 residuals nearest in the season."""
+    near = same_season(t, at, 24)
+    return np.array([np.linalg.norm(f.residual[near]) / 4 for f in fits])
+
+
 def same_season(t: np.ndarray, at: float, n: int = 24) -> np.ndarray:
     """Positions of the n dates nearest in the season, earlier ones first among equals."""
     d = t - at
@@ -226,6 +238,7 @@ class Series:
         self.vario = variogram(self.t, self.y)
         self.x = design_matrix(self.t, p.year)
         self.found: list[dict] = []
+        self.signs: dict[tuple[int, int], np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.t)
@@ -235,7 +248,7 @@ class Series:
 
     def fits(self, a: int, b: int, terms: int) -> list[Fit]:
         if self.p.fitter is lasso_fit:
-            return lasso_fit(self.t[a:b], self.y[:, a:b], terms, self.p.alpha, self.p.year, self.x[a:b])
+            return lasso_fit(self.t[a:b], self.y[:, a:b], terms, self.p.alpha, self.p.year, self.x[a:b], self.signs)
         return self.p.fitter(self.t[a:b], self.y[:, a:b], terms, self.p.alpha, self.p.year)
 
     def residuals(self, fits: list[Fit], at) -> np.ndarray:
@@ -246,11 +259,7 @@ class Series:
         return len(t) > 0 and t[-1] - t[0] >= self.p.span_days
 
     def stable(self, fits: list[Fit], a: int, b: int) -> bool:
-        span = self.t[b - 1] - self.t[a]
-        total = 0.0
-        for f, v in zip(fits, self.vario, strict=True):
-            total += ((abs(f.coef[0] * span) + abs(f.residual[0]) + abs(f.residual[-1])) / max(v, f.rmse, 1e-12)) ** 2
-        return total < self.limit
+        return instability(fits, self.vario, self.t[b - 1] - self.t[a]) < self.limit
 
     def start(self, a: int, b: int) -> tuple[int, int, list[Fit] | None]:
         """The next window whose fit is stable."""
@@ -305,8 +314,7 @@ class Series:
             if b - a <= self.p.window_rmse:
                 rmse = np.array([f.rmse for f in fits])
             else:
-                near = same_season(self.t[fitted[0] : fitted[1]], self.t[fitted[1] - 1], 24)
-                rmse = np.array([np.linalg.norm(f.residual[near]) / 4 for f in fits])
+                rmse = seasonal_rmse(fits, self.t[fitted[0] : fitted[1]], self.t[fitted[1] - 1])
             m = magnitudes(res, self.vario, rmse)
             if m.min() > self.limit:
                 change = 1
@@ -315,7 +323,7 @@ class Series:
                 self.drop(b)
                 continue
             b += 1
-        self.keep(a, b, min(first, len(self) - 1), fits, np.median(res, axis=1), change)
+        self.keep(a, b, min(first, len(self) - 1), fits, np.median(np.abs(res), axis=1), change)
         return a, b
 
     def catch(self, a: int, b: int) -> None:
@@ -420,3 +428,58 @@ def outlier_flags(observations: DataFrame, p: Parameters = Parameters(), order:
         return pd.DataFrame({"tile": key[0], "x": key[1], "y": key[2], "ordinal": t.astype(int), "outlier": bad})
 
     return detection_input(observations, order or []).groupBy("tile", "x", "y").applyInPandas(mask, "tile string, x int, y int, ordinal int, outlier boolean")
+
+
+_SCORES = (
+    "tile string, x int, y int, n int, peek int, change_limit double, outlier_limit double, instability double, over int, extreme int, least double, most double, "
+    "seasonal double, enough boolean, long_enough boolean, terms int, year_on int"
+)
+
+
+def series_scores(observations: DataFrame, p: Parameters = Parameters(), order: list[str] | None = None) -> DataFrame:  # noqa: B008
+    """The kernel's decisions on each whole clean series, one row a pixel with two observations or more.
+
+    Peek and limits; instability of a fit over the whole series; its change magnitudes against the limits (how many
+    are over, least and greatest); seasonal rmse of the first band at the last date; whether the series is enough;
+    terms of a fit; the ordinal of the first date a year or more after the start.
+    """
+
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ordinal", *[c for c in pdf.columns if c.startswith("_order")]], kind="stable")
+        t, y = pdf["ordinal"].to_numpy(float), pdf[["ndvi", "green", "swir2"]].to_numpy(float).T
+        if len(t) < 2:
+            return pd.DataFrame([], columns=[c.split()[0] for c in _SCORES.split(", ")])
+        s = Series(t, y, p)
+        terms = terms_for(len(t))
+        fits = s.fits(0, len(t), terms)
+        m = magnitudes(s.residuals(fits, slice(0, len(t))), s.vario, np.array([f.rmse for f in fits]))
+        later = t[t - t[0] >= p.span_days]
+        row = (
+            *key, len(t), s.peek, s.limit, s.extreme, instability(fits, s.vario, t[-1] - t[0]), int((m > s.limit).sum()), int((m > s.extreme).sum()), m.min(), m.max(),
+            seasonal_rmse(fits, t, t[-1])[0], len(t) >= p.least, s.long_enough(t), terms, int(later[0]) if len(later) else None,
+        )
+        out = pd.DataFrame([row], columns=[c.split()[0] for c in _SCORES.split(", ")])
+        out["year_on"] = out["year_on"].astype("Int64")
+        return out
+
+    return detection_input(observations, order or []).groupBy("tile", "x", "y").applyInPandas(score, _SCORES)
+
+
+_MODELS = (
+    "tile string, x int, y int, segment int, start_day int, end_day int, break_day int, observation_count int, change_probability int, "
+    "bands array<struct<band:string,magnitude:double,rmse:double,intercept:double,coefficients:array<double>>>"
+)
+
+
+def detect_models(observations: DataFrame, p: Parameters = Parameters(), order: list[str] | None = None) -> DataFrame:  # noqa: B008
+    """The full record of each segment: days since 1970, counts, and each band's magnitude, rmse, intercept and coefficients."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ordinal", *[c for c in pdf.columns if c.startswith("_order")]], kind="stable")
+        rows = []
+        for k, s in enumerate(detect(pdf["ordinal"].to_numpy(np.int64), pdf[["ndvi", "green", "swir2"]].to_numpy(float).T, p)):
+            bands = [{"band": b, "magnitude": float(m), "rmse": f.rmse, "intercept": f.intercept, "coefficients": f.coef.tolist()} for b, m, f in zip(("ndvi", "green", "swir2"), s["magnitude"], s["fits"], strict=True)]
+            rows.append((*key, k, *[int(s[c] - EPOCH) for c in ("start", "end", "break")], s["n"], s["change"], bands))
+        return pd.DataFrame(rows, columns=["tile", "x", "y", "segment", "start_day", "end_day", "break_day", "observation_count", "change_probability", "bands"])
+
+    return detection_input(observations, order or []).groupBy("tile", "x", "y").applyInPandas(run, _MODELS)

@@ -41,16 +41,24 @@ def period_filter(segments: DataFrame, start_ms: int, end_ms: int, magnitude: st
     return left.unionByName(more)
 
 
-def drop_conflicts(rows: DataFrame, group: list[str], distance: str, ties: list[str]) -> DataFrame:
-    """Where two analyst dates share one nearest break, the nearer one stays."""
-    w = W.partitionBy(*group).orderBy(distance, *ties)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def drop_conflicts(rows: DataFrame, group: list[str], distance: str, brk: str, date: str, ties: list[str]) -> DataFrame:
+    """Where two analyst dates of a point compete for its breaks, the nearest pair of break and date stays.
+
+    A group is a polygon and a point. Of its nearest row (the first by ``ties`` among equals) the break and the date
+    are taken: other rows of that break or that date go, unless they are as near. What is left are pairs of other
+    breaks and dates, one date a break.
+    """
+    w = W.partitionBy(*group)
+    nearest = F.min(F.struct(F.col(distance).isNull().alias("far"), F.col(distance).alias("d"), *ties, F.col(brk).alias("b"), F.col(date).alias("a"))).over(w)
+    t = rows.withColumn("_o", nearest)
+    taken = F.coalesce(F.col(brk) == F.col("_o.b"), F.lit(False)) | F.coalesce(F.col(date) == F.col("_o.a"), F.lit(False))
+    return t.where(~(taken & ~F.col(distance).eqNullSafe(F.col("_o.d")))).drop("_o")
 
 
 def classify(rows: DataFrame, theta: int = 60) -> DataFrame:
-    """VP, FP, FN, VN of rows (coordinate, nome, id, analysts, tBreak, delta_min, tipo).
+    """VP, FP, FN, VN of rows (coordinate, buffer_id, nome, id, analysts, tBreak, data, delta_min, tipo).
 
-    ``analysts`` counts the analyst dates of the polygon, ``delta_min`` are days from the break to the date of
+    ``buffer_id`` is the polygon, ``data`` the analyst date of this row, ``analysts`` counts the analyst dates of the polygon, ``delta_min`` are days from the break to the date of
     this row, ``nome`` tells the analyst rows apart, ``id`` the segments.
     """
     coord, one = W.partitionBy(*COORD), W.partitionBy(*COORD, "nome")
@@ -75,7 +83,7 @@ def classify(rows: DataFrame, theta: int = 60) -> DataFrame:
     t = t.withColumn("FN", F.when(F.coalesce(late, F.lit(False)), 1).otherwise(F.col("FN")))
     # 6
     t = t.withColumn("_redo", F.max(num(has & (F.col("_sum") == 0) & (an == 2) & (vb == 2))).over(coord) == 1)
-    redo = drop_conflicts(t.where("_redo"), [*COORD, "id"], "d", ["nome"])
+    redo = drop_conflicts(t.where("_redo"), ["buffer_id", *COORD], "d", "tBreak", "data", ["nome", "id"])
     close = num(d <= theta)
     redo = redo.withColumns({"VP": close, "FP": 1 - close, "FN": 1 - close, "VN": F.lit(0)})
     t = t.where("NOT _redo").unionByName(redo)

@@ -28,10 +28,12 @@ def pivot(spark, d):
 
 
 @query("d03_ordered_collect", X.with_sql("acts", """
-SELECT id_gleba, count(*)::INT AS n, max(day) FILTER (WHERE r = 1) AS day_1, max(activity) FILTER (WHERE r = 1) AS activity_1, max(day) FILTER (WHERE r = 2) AS day_2, max(activity) FILTER (WHERE r = 2) AS activity_2
-FROM (SELECT *, row_number() OVER (PARTITION BY id_gleba ORDER BY day, o_orderkey) AS r FROM acts) GROUP BY 1"""), dates="day_1 day_2")
+SELECT id_gleba, (count(*) OVER (PARTITION BY id_gleba))::INT AS n, (row_number() OVER (PARTITION BY id_gleba ORDER BY day, o_orderkey))::INT AS seq, day, activity FROM acts"""), dates="day")
 def ordered(spark, d):
-    return A.ordered_events(X.activities(spark, d), "id_gleba", "day", "activity", 2, ["o_orderkey"])
+    """Every activity of an id with its number in order of time."""
+    t = A.ordered_events(X.activities(spark, d), "id_gleba", "day", "activity", ["o_orderkey"])
+    t = t.select("id_gleba", "n", F.posexplode(F.arrays_zip("days", "activities")).alias("k", "e"))
+    return t.select("id_gleba", "n", (F.col("k") + 1).alias("seq"), F.col("e.days").alias("day"), F.col("e.activities").alias("activity"))
 
 
 @query("d04_d06_coverage", X.with_sql("ndvi", "SELECT id, count(*) AS total, count(*) FILTER (WHERE med IS NULL) AS empty, count(med) AS filled FROM ndvi GROUP BY 1 HAVING count(med) > 0"))
@@ -143,7 +145,7 @@ def variogram(spark, d):
 
 @query("d25_adjusted_variogram", X.with_sql("obs", """,
 o AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY obs_date, l_orderkey, l_linenumber, nir, red) AS i FROM obs),
-pairs AS (SELECT a.x, a.y, k, date_diff('day', b.obs_date, a.obs_date) AS gap, abs(a.nir - b.nir) AS v FROM o a, (SELECT unnest(range(1, 13)) AS k) JOIN o b ON b.x = a.x AND b.y = a.y AND b.i = a.i - k),
+pairs AS (SELECT a.x, a.y, k, date_diff('day', b.obs_date, a.obs_date) AS gap, abs(a.nir - b.nir) AS v FROM o a, (SELECT unnest(range(1, (SELECT max(i) FROM o))) AS k) JOIN o b ON b.x = a.x AND b.y = a.y AND b.i = a.i - k),
 modes AS (SELECT x, y, k, arg_max(gap, {'a': n, 'b': -gap}) AS mode FROM (SELECT x, y, k, gap, count(*) AS n FROM pairs GROUP BY ALL) GROUP BY x, y, k),
 chosen AS (SELECT x, y, min(k) AS k FROM modes WHERE mode > 30 GROUP BY x, y)
 SELECT f.x, f.y, coalesce(w.v, f.v) AS nir FROM (SELECT x, y, median(v) AS v FROM pairs WHERE k = 1 GROUP BY x, y) f LEFT JOIN (SELECT x, y, median(v) AS v FROM pairs JOIN chosen USING (x, y, k) WHERE gap > 30 GROUP BY x, y) w ON f.x = w.x AND f.y = w.y""").replace("\n,\n", ",\n"))
@@ -166,13 +168,14 @@ def accuracy(spark, d):
 
 
 @query("d29_region_union", X.with_sql("obs pixels polys", """
-SELECT tile, count(*) AS n FROM pixels p WHERE EXISTS (SELECT 1 FROM (SELECT *, row_number() OVER (ORDER BY buffer_id) AS r, count(*) OVER () AS c FROM polys) q WHERE r <= floor(c * 0.5) AND p.x >= minx AND p.x < maxx AND p.y >= miny AND p.y < maxy) GROUP BY 1"""))
+SELECT tile, count(*) AS n FROM pixels p WHERE EXISTS (SELECT 1 FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY buffer_id) AS r, count(*) OVER (PARTITION BY region) AS c FROM polys) q WHERE r <= floor(c * 0.5) AND p.x >= minx AND p.x < maxx AND p.y >= miny AND p.y < maxy) GROUP BY 1"""))
 def union_region(spark, d):
     from loamwatch.operators.spatial import in_region
 
-    polys = X.polygons(spark, d)
-    ranked = polys.withColumn("r", F.row_number().over(W.orderBy("buffer_id")))  # the polygons of one tile
-    half = ranked.crossJoin(F.broadcast(polys.agg(F.count("*").alias("c")))).where(F.col("r") <= F.floor(F.col("c") * 0.5)).select("ring")
+    # the first half of each region's polygons
+    w = W.partitionBy("region")
+    ranked = X.polygons(spark, d).withColumns({"r": F.row_number().over(w.orderBy("buffer_id")), "c": F.count("*").over(w)})
+    half = ranked.where(F.col("r") <= F.floor(F.col("c") * 0.5)).select("ring")
     return in_region(X.pixels(spark, d), half, ["tile", "x", "y"], 40.0).groupBy("tile").agg(F.count("*").alias("n"))
 
 

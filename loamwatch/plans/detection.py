@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loamwatch.functions import harmonics as HM
 from loamwatch.functions import scalars as S
@@ -53,56 +53,87 @@ def design(spark, d):
     return X.observations(spark, d).select("l_orderkey", "l_linenumber", "x", F.round(c[1], 6).alias("c1"), F.round(c[2], 6).alias("s1"), F.round(c[5], 6).alias("c3"))
 
 
-@query("h10_h11_h12_change_scores", X.with_sql("obs", """
-SELECT x, y, count(*) FILTER (WHERE m > 16.26624) AS over, count(*) FILTER (WHERE m > 30.66485) AS extreme, round(min(m), 6) AS least, round(max(m), 6) AS most FROM (
-SELECT x, y, power(abs(nir - mn) / greatest(vn, sn), 2) + power(abs(red - mr) / greatest(vr, sr), 2) AS m FROM obs JOIN (
- SELECT x, y, avg(nir) AS mn, stddev_samp(nir) AS sn, avg(red) AS mr, stddev_samp(red) AS sr FROM obs GROUP BY x, y) USING (x, y) JOIN (
- SELECT x, y, median(dn) AS vn, median(dr) AS vr FROM (SELECT x, y, abs(nir - lag(nir) OVER w) AS dn, abs(red - lag(red) OVER w) AS dr FROM obs WINDOW w AS (PARTITION BY x, y ORDER BY obs_date, l_orderkey, l_linenumber, nir, red)) GROUP BY x, y) USING (x, y)) GROUP BY x, y"""))
-def change_scores(spark, d):
-    """Squared deviations from a flat fit over max(variogram, rmse), against the two limits."""
-    from loamwatch.operators.aggregates import first_variogram
+def flat_fit(t, y, terms, alpha, year):
+    """A fitter that SQL can repeat: the mean of each band."""
+    return [D.Fit(np.zeros(7), float(v.mean()), float(v.std()), v - v.mean()) for v in y]
+
+
+def scores(spark, d):
+    return D.series_scores(X.observations(spark, d), D.replace(D.Parameters(), fitter=flat_fit), ORDER)
 
-    o = X.observations(spark, d)
-    fit = o.groupBy("x", "y").agg(*[f(b).alias(f"{n}_{b}") for b in ("nir", "red") for n, f in (("mean", F.avg), ("rmse", F.stddev_samp))])
-    v = first_variogram(o, ["x", "y"], "obs_date", ["nir", "red"], ORDER[:4]).select("x", "y", F.col("nir").alias("v_nir"), F.col("red").alias("v_red"))
-    part = lambda b: F.pow(F.abs(F.col(b) - F.col(f"mean_{b}")) / F.greatest(f"v_{b}", f"rmse_{b}"), 2)
-    m = o.join(fit.join(v, ["x", "y"]), ["x", "y"]).select("x", "y", (part("nir") + part("red")).alias("m"))
-    return m.groupBy("x", "y").agg(F.count_if(F.col("m") > 16.26624).alias("over"), F.count_if(F.col("m") > 30.66485).alias("extreme"), F.round(F.min("m"), 6).alias("least"), F.round(F.max("m"), 6).alias("most"))
 
+_BANDS = ("ndvi", "green", "swir2")
+_each = lambda form, sep=", ": sep.join(form.format(b=b) for b in _BANDS)
+# clean series in order, pairs at all lags, the kernel's variogram of each band, and the flat fit
+_SERIES = f""",
+o AS (SELECT tile, x, y, {_ORD} AS t, obs_date, 10000.0 * (nir - red) / (nir + red) AS ndvi, green, swir2, row_number() OVER (PARTITION BY tile, x, y ORDER BY obs_date, l_orderkey, l_linenumber, nir, red, swir2) AS i FROM obs WHERE green <> 65535 AND nir + red > 0),
+pairs AS (SELECT a.tile, a.x, a.y, k, a.t - b.t AS gap, {_each('abs(a.{b} - b.{b}) AS {b}')} FROM o a, (SELECT unnest(range(1, (SELECT max(i) FROM o))) AS k) JOIN o b ON b.tile = a.tile AND b.x = a.x AND b.y = a.y AND b.i = a.i - k),
+modes AS (SELECT tile, x, y, k, arg_max(gap, {{'a': n, 'b': -gap}}) AS mode FROM (SELECT tile, x, y, k, gap, count(*) AS n FROM pairs GROUP BY ALL) GROUP BY ALL),
+chosen AS (SELECT tile, x, y, min(k) AS k FROM modes WHERE mode > 30 GROUP BY ALL),
+vario AS (SELECT f.tile, f.x, f.y, {_each('coalesce(w.{b}, f.{b}) AS v_{b}')} FROM (SELECT tile, x, y, {_each('median({b}) AS {b}')} FROM pairs WHERE k = 1 GROUP BY ALL) f
+ LEFT JOIN (SELECT tile, x, y, {_each('median({b}) AS {b}')} FROM pairs JOIN chosen USING (tile, x, y, k) WHERE gap > 30 GROUP BY ALL) w USING (tile, x, y)),
+flat AS (SELECT tile, x, y, count(*) AS n, {_each('avg({b}) AS m_{b}, stddev_pop({b}) AS s_{b}')}, greatest(6, CASE WHEN median(g) > 0 THEN round_even(96 / median(g), 0) ELSE 6 END)::INT AS peek FROM (SELECT *, t - lag(t) OVER (PARTITION BY tile, x, y ORDER BY i) AS g FROM o) GROUP BY ALL),
+limits AS (SELECT unnest({list(range(6, 97))}) AS peek, unnest({[round(D.chi2_quantile(1 - (1 - 0.999) ** (6 / k)), 9) for k in range(6, 97)]}) AS lim)
+"""
+_sql = lambda body: X.with_sql("obs", _SERIES + body).replace("\n,\n", ",\n")
 
-@query("h13_thresholds", X.with_sql("obs", "SELECT DISTINCT tile, 16.26624 AS change, 30.66485 AS outlier FROM obs"))
+
+@query("h10_h11_h12_change_scores", _sql(f"""
+SELECT tile, x, y, round(any_value(u), 5) AS instability, (count(*) FILTER (WHERE m > lim))::INT AS over, (count(*) FILTER (WHERE m > 30.66485))::INT AS extreme, round(min(m), 5) AS least, round(max(m), 5) AS most FROM (
+SELECT tile, x, y, lim, {_each('power(abs({b} - m_{b}) / greatest(v_{b}, s_{b}), 2)', ' + ')} AS m, u FROM o JOIN flat USING (tile, x, y) JOIN vario USING (tile, x, y) JOIN limits USING (peek) JOIN (
+ SELECT tile, x, y, {_each('power((abs(arg_min({b}, i) - any_value(m_{b})) + abs(arg_max({b}, i) - any_value(m_{b}))) / greatest(any_value(v_{b}), any_value(s_{b})), 2)', ' + ')} AS u FROM o JOIN flat USING (tile, x, y) JOIN vario USING (tile, x, y) GROUP BY ALL) USING (tile, x, y)) GROUP BY ALL"""))
+def change_scores(spark, d):
+    """Instability and squared deviations over the noise, against the limits, as the kernel computes them."""
+    return scores(spark, d).select(*PX, F.round("instability", 5).alias("instability"), "over", "extreme", F.round("least", 5).alias("least"), F.round("most", 5).alias("most"))
+
+
+@query("h13_thresholds", _sql("SELECT tile, x, y, peek, round(lim, 5) AS change_limit, 30.66485::DOUBLE AS outlier_limit FROM flat JOIN limits USING (peek)"))
 def thresholds(spark, d):
-    return X.observations(spark, d).select("tile").distinct().select("tile", F.lit(round(D.chi2_quantile(0.999), 5)).alias("change"), F.lit(round(D.chi2_quantile(0.999999), 5)).alias("outlier"))
+    """Limits of each pixel; the one of a change falls as its peek grows."""
+    return scores(spark, d).select(*PX, "peek", F.round("change_limit", 5).alias("change_limit"), F.round("outlier_limit", 5).alias("outlier_limit"))
 
 
-@query("h14_seasonal_neighbours", X.with_sql("obs", f"""
-SELECT x, y, round(sqrt(sum(nir * nir)) / 4, 6) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY abs(round_even((t - t_at) / 365.25, 0) * 365.25 - (t - t_at)), obs_date, l_orderkey, l_linenumber, nir) AS r
-FROM (SELECT *, {_ORD} AS t, max({_ORD}) OVER (PARTITION BY x, y) AS t_at FROM obs)) WHERE r <= 24 GROUP BY x, y"""))
+@query("h14_seasonal_neighbours", _sql("""
+SELECT tile, x, y, round(sqrt(sum(power(ndvi - m_ndvi, 2))) / 4, 5) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY tile, x, y ORDER BY abs(round_even((t - t_at) / 365.25, 0) * 365.25 - (t - t_at)), i) AS r
+FROM (SELECT *, max(t) OVER (PARTITION BY tile, x, y) AS t_at FROM o)) JOIN flat USING (tile, x, y) WHERE r <= 24 GROUP BY ALL"""))
 def seasonal(spark, d):
-    t = X.observations(spark, d).withColumn("t", S.date_to_ordinal(F.col("obs_date"))).withColumn("at", F.max("t").over(W.partitionBy("x", "y")))
-    gap = F.col("t") - F.col("at")
-    far = F.abs(F.bround(gap / 365.25) * 365.25 - gap)
-    n = F.row_number().over(W.partitionBy("x", "y").orderBy(far, "obs_date", "l_orderkey", "l_linenumber", "nir"))
-    return t.withColumn("r", n).where("r <= 24").groupBy("x", "y").agg(F.round(F.sqrt(F.sum(F.col("nir").cast("double") * F.col("nir"))) / 4, 6).alias("rmse"))
+    return scores(spark, d).select(*PX, F.round("seasonal", 5).alias("rmse"))
 
 
-@query("h15_h16_sufficiency", X.with_sql("obs", """
-SELECT x, y, count(*) >= 12 AS enough, date_diff('day', min(obs_date), max(obs_date)) >= 365 AS long_enough, CASE WHEN count(*) / 3 < 6 THEN 4 WHEN count(*) / 3 < 8 THEN 6 ELSE 8 END AS terms, min(obs_date) FILTER (WHERE date_diff('day', f, obs_date) >= 365) AS year_on
-FROM (SELECT *, min(obs_date) OVER (PARTITION BY x, y) AS f FROM obs WHERE green % 40 = 0) GROUP BY x, y"""), dates="year_on")
+@query("h15_h16_sufficiency", _sql("""
+SELECT tile, x, y, count(*) >= 12 AS enough, max(t) - min(t) >= 365 AS long_enough, CASE WHEN count(*) / 3 < 6 THEN 4 WHEN count(*) / 3 < 8 THEN 6 ELSE 8 END AS terms, (min(t) FILTER (WHERE t - f >= 365))::INT AS year_on
+FROM (SELECT *, min(t) OVER (PARTITION BY tile, x, y) AS f FROM o) GROUP BY ALL"""))
 def sufficiency(spark, d):
-    o = X.observations(spark, d).where("green % 40 = 0").withColumn("f", F.min("obs_date").over(W.partitionBy("x", "y")))
-    n = F.count("*")
-    return o.groupBy("x", "y").agg((n >= 12).alias("enough"), (F.datediff(F.max("obs_date"), F.min("obs_date")) >= 365).alias("long_enough"), F.when(n / 3 < 6, 4).when(n / 3 < 8, 6).otherwise(8).alias("terms"), F.min(F.when(F.datediff("obs_date", "f") >= 365, F.col("obs_date"))).alias("year_on"))
+    return scores(spark, d).select(*PX, "enough", "long_enough", "terms", "year_on")
+
+
+@query("g02_edge_values")
+def edges(spark, d):
+    """Band values at the edges of each segment: first, second, last but one, last."""
+    names = [f"{b}{e}" for b in D.BANDS for e in ("Start", "Start2", "End", "End2")]
+    return segments(spark, d).select("tile", "x_coord", "y_coord", "tStart", "tEnd", *names)
+
+
+@query("h01_models")
+def models(spark, d):
+    """The full record of each segment, one row a band."""
+    t = D.detect_models(X.observations(spark, d), order=ORDER).select(*PX, "segment", "start_day", "end_day", "break_day", "observation_count", "change_probability", F.explode("bands").alias("b"))
+    return t.select(*PX, "segment", "start_day", "end_day", "break_day", "observation_count", "change_probability", "b.band", *[F.round(f"b.{c}", 3).alias(c) for c in ("magnitude", "rmse", "intercept")], F.transform("b.coefficients", lambda v: F.round(v, 6)).alias("coefficients"))
+
+
+@query("j03_grouped_function", X.with_sql("obs", "SELECT tile, x, y, count(*)::INT AS n, round(max(nir) - min(nir), 6)::DOUBLE AS span FROM obs GROUP BY ALL"))
+def grouped(spark, d):
+    """A user function of a pixel's frame."""
+
+    def spread(pdf):
+        return pdf.head(1)[PX].assign(n=len(pdf), span=float(pdf["nir"].max() - pdf["nir"].min()))
+
+    return X.observations(spark, d).select(*PX, "nir").groupBy(*PX).applyInPandas(spread, "tile string, x int, y int, n int, span double")
 
 
 @query("j01_j02_own_fitter", X.with_sql("obs", """
 SELECT tile, x, y, round(avg(10000.0 * (nir - red) / (nir + red)), 4) AS intercept, round(stddev_pop(10000.0 * (nir - red) / (nir + red)), 4) AS rmse FROM obs WHERE green <> 65535 GROUP BY ALL HAVING count(*) > 4"""))
 def own_fitter(spark, d):
     """The fitter is an argument: here a flat one."""
-    import numpy as np
-
-    def flat(t, y, terms, alpha, year):
-        return [D.Fit(np.zeros(7), float(v.mean()), float(v.std()), v - v.mean()) for v in y]
-
-    t = D.harmonic_fit(X.observations(spark, d), 4, D.replace(D.Parameters(), fitter=flat), ORDER)
+    t = D.harmonic_fit(X.observations(spark, d), 4, D.replace(D.Parameters(), fitter=flat_fit), ORDER)
     return t.where("band = 'ndvi'").select("tile", "x", "y", F.round("intercept", 4).alias("intercept"), F.round("rmse", 4).alias("rmse"))

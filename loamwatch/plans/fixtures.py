@@ -163,11 +163,14 @@ def polygons(spark: SparkSession, d: str) -> DataFrame:
     return p.select("buffer_id", "name", "region", G.rectangle(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")).alias("ring"))
 
 
-SQL["tiles"] = """
-SELECT r_regionkey AS tile_no, r_name AS tile, 500000.0 + 25 * r_regionkey - 8 AS minx, 4399980.0 AS miny, 500000.0 + 25 * r_regionkey + 40 AS maxx, 4400000.0 + 60 * (r_regionkey + 1) AS maxy FROM region"""
+# squares of 100 around the parcels, at an offset that some parcels straddle; every third column is missing
+SQL["parcel_tiles"] = """
+SELECT DISTINCT (1000 * gy + gx)::BIGINT AS tile_no, 100.0 * gx + 4 AS minx, 100.0 * gy + 4 AS miny, 100.0 * gx + 104 AS maxx, 100.0 * gy + 104 AS maxy
+FROM (SELECT floor((minx - 4) / 100)::BIGINT AS gx, floor((miny - 4) / 100)::BIGINT AS gy FROM parcels) WHERE gx % 3 <> 2"""
 
 
-def tiles(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("r_regionkey")
-    x = 500000.0 + 25 * k
-    return table(spark, d, "region").select(k.alias("tile_no"), F.col("r_name").alias("tile"), G.rectangle(x - 8, F.lit(4399980.0), x + 40, 4400000.0 + 60 * (k + 1)).alias("ring"))
+def parcel_tiles(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda c: F.floor((F.col(c) - 4) / 100).cast("long")
+    g = parcels(spark, d).select(at("minx").alias("gx"), at("miny").alias("gy")).distinct().where("gx % 3 <> 2")
+    x, y = 100.0 * F.col("gx"), 100.0 * F.col("gy")
+    return g.select((1000 * F.col("gy") + F.col("gx")).alias("tile_no"), G.rectangle(x + 4, y + 4, x + 104, y + 104).alias("ring"))

@@ -20,16 +20,16 @@ def region(spark, d):
     return P.in_region(X.pixels(spark, d), X.polygons(spark, d).where("region = 2"), PX, CELL)
 
 
-@query("c02_polygon_within_tile", X.with_sql("polys tiles", "SELECT buffer_id, tile_no FROM polys p JOIN tiles t ON p.minx >= t.minx AND p.maxx <= t.maxx AND p.miny >= t.miny AND p.maxy <= t.maxy"))
+@query("c02_polygon_within_tile", X.with_sql("parcels parcel_tiles", "SELECT id_gleba, tile_no FROM (SELECT *, minx + 7 AS maxx, miny + 5 AS maxy FROM parcels) p JOIN parcel_tiles t ON p.minx >= t.minx AND p.maxx <= t.maxx AND p.miny >= t.miny AND p.maxy <= t.maxy"))
 def within(spark, d):
-    return P.rings_within(X.polygons(spark, d), X.tiles(spark, d), CELL, "buffer_id", "tile_no")
+    return P.rings_within(X.parcels(spark, d), X.parcel_tiles(spark, d), CELL, "id_gleba", "tile_no")
 
 
-@query("c03_tile_assignment", X.with_sql("polys tiles", """
-SELECT buffer_id, tile_no FROM (SELECT p.buffer_id, t.tile_no, row_number() OVER (PARTITION BY p.buffer_id ORDER BY (p.minx >= t.minx AND p.maxx <= t.maxx AND p.miny >= t.miny AND p.maxy <= t.maxy) DESC, t.tile_no) AS r
-FROM polys p LEFT JOIN tiles t ON p.minx <= t.maxx AND p.maxx >= t.minx AND p.miny <= t.maxy AND p.maxy >= t.miny) WHERE r = 1"""))
+@query("c03_tile_assignment", X.with_sql("parcels parcel_tiles", """
+SELECT id_gleba, tile_no FROM (SELECT p.id_gleba, t.tile_no, row_number() OVER (PARTITION BY p.id_gleba ORDER BY (p.minx >= t.minx AND p.maxx <= t.maxx AND p.miny >= t.miny AND p.maxy <= t.maxy) DESC, t.tile_no) AS r
+FROM (SELECT *, minx + 7 AS maxx, miny + 5 AS maxy FROM parcels) p LEFT JOIN parcel_tiles t ON p.minx <= t.maxx AND p.maxx >= t.minx AND p.miny <= t.maxy AND p.maxy >= t.miny) WHERE r = 1"""))
 def assignment(spark, d):
-    return P.assign_tile(X.polygons(spark, d).select("buffer_id", "ring"), X.tiles(spark, d).select("tile_no", "ring"), CELL, "buffer_id", "tile_no").select("buffer_id", "tile_no")
+    return P.assign_tile(X.parcels(spark, d).select("id_gleba", "ring"), X.parcel_tiles(spark, d).select("tile_no", "ring"), CELL, "id_gleba", "tile_no").select("id_gleba", "tile_no")
 
 
 @query("c04_c05_polygon_join_border", X.with_sql("obs pixels polys", f"SELECT tile, x, y, buffer_id, least(p.x - minx, maxx - p.x, p.y - miny, maxy - p.y) < 10 AS border FROM pixels p JOIN polys ON {_IN}"))
@@ -105,8 +105,8 @@ def neighbours(spark, d):
 
 @query("c17_first_saved_match", X.with_sql("images", "SELECT a.seq, b.prob FROM images a JOIN (SELECT l_orderkey, round(arg_min(l_discount * 100, {'a': l_linenumber, 'b': l_discount}))::INT AS prob FROM lineitem GROUP BY 1) b ON a.seq = b.l_orderkey"))
 def saved(spark, d):
-    prob = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("seq")).agg(F.round(F.min_by(F.col("l_discount") * 100, F.struct("l_linenumber", "l_discount"))).cast("int").alias("prob"))
-    return X.images(spark, d).join(prob, "seq").select("seq", "prob")
+    prob = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", F.round(F.col("l_discount") * 100).cast("int").alias("prob"))
+    return R.first_match(X.images(spark, d), prob, "seq", "l_orderkey", ["prob"], ["l_linenumber", "l_discount"], "inner").select("seq", "prob")
 
 
 @query("c18_cloud_score_mask", X.with_sql("obs", "SELECT x, y, obs_date, l_orderkey, l_linenumber FROM obs JOIN (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS score FROM lineitem) USING (l_orderkey, l_linenumber) WHERE score >= 0.6"), dates="obs_date")

@@ -88,11 +88,12 @@ _DESIGN = "cos(w) AS c1, sin(w) AS s1, cos(2 * w) AS c2, sin(2 * w) AS s2, cos(3
 
 
 @query("g06_h07_fitted_curve", X.with_sql("obs seg", """
-SELECT x_coord, y_coord, flag, day, round(100 + 0.01 * (t - 728000) + 5 * cos(w) + 4 * sin(w) + 3 * cos(2 * w) + 2 * sin(2 * w) + cos(3 * w) + 0.5 * sin(3 * w), 6) AS value FROM (
-SELECT *, date_diff('day', DATE '1970-01-01', day) + 719163 AS t, 2 * pi() * (date_diff('day', DATE '1970-01-01', day) + 719163) / 365.2425 AS w FROM (SELECT x_coord, y_coord, flag, unnest(generate_series(start_date, least(end_date, start_date + 30), INTERVAL 1 DAY))::DATE AS day FROM seg))"""), dates="day")
+SELECT x_coord, y_coord, flag, day, round(k[1] + 0.01 * (t - 728000) + k[2] * cos(w) + k[3] * sin(w) + k[4] * cos(2 * w) + k[5] * sin(2 * w) + k[6] * cos(3 * w) + k[7] * sin(3 * w), 6) AS value FROM (
+SELECT *, date_diff('day', DATE '1970-01-01', day) + 719163 AS t, 2 * pi() * (date_diff('day', DATE '1970-01-01', day) + 719163) / 365.2425 AS w FROM (SELECT x_coord, y_coord, flag, [100 + x_coord % 7, y_coord % 11, changeProb / 10, 3, 2, x_coord % 3, 0.5] AS k, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY))::DATE AS day FROM seg))"""), dates="day")
 def curve(spark, d):
     from loamwatch.functions.harmonics import predicted
 
-    s = X.segments(spark, d).select("x_coord", "y_coord", "flag", F.explode(F.sequence("start_date", F.least("end_date", F.date_add("start_date", 30)))).alias("day"))
-    coefficients = F.array(*[F.lit(v) for v in (0.01, 5.0, 4.0, 3.0, 2.0, 1.0, 0.5)])
-    return s.select("x_coord", "y_coord", "flag", "day", F.round(predicted(S.date_to_ordinal(F.col("day")), F.lit(100 - 7280.0), coefficients), 6).alias("value"))
+    x, y = F.col("x_coord"), F.col("y_coord")
+    own = F.array(*[c.cast("double") for c in (F.lit(0.01), y % 11, F.col("changeProb") / 10, F.lit(3), F.lit(2), x % 3, F.lit(0.5))])
+    s = X.segments(spark, d).select("x_coord", "y_coord", "flag", (100 + x % 7 - 7280.0).alias("intercept"), own.alias("own"), F.explode(F.sequence("start_date", "end_date")).alias("day"))
+    return s.select("x_coord", "y_coord", "flag", "day", F.round(predicted(S.date_to_ordinal(F.col("day")), F.col("intercept"), F.col("own")), 6).alias("value"))

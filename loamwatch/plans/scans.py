@@ -76,7 +76,7 @@ def csv(spark, d):
     from loamwatch.session import table
 
     path = stage_path(spark, "parts-csv")
-    table(spark, d, "part").select("p_partkey", "p_name", "p_size").write.option("header", True).option("sep", ";").csv(path)
+    T.write_csv(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), path, ";")
     return T.read_csv(spark, path, "p_partkey long, p_name string, p_size int")
 
 

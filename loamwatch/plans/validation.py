@@ -36,7 +36,7 @@ def period(spark, d):
 def reference_rows(spark, d):
     """Segments of the period at the polygons, one row an analyst date: coordinate, nome, id, analysts, tBreak, delta_min, tipo, altera, border."""
     points = _period(spark, d).withColumn("id", F.concat_ws("_", *V.COORD, "flag", "tStart"))
-    hit = P.point_pairs(points, X.polygons(spark, d).where("buffer_id % 4 = 0"), 40.0, *V.COORD)
+    hit = P.point_pairs(points, X.polygons(spark, d), 40.0, *V.COORD)
     border = P.near_border(F.col("ring"), F.col("x_coord").cast("double"), F.col("y_coord").cast("double"))
     k = F.col("buffer_id")
     first = F.when(k % 8 == 0, F.lit("2000-03-01").cast("date"))
@@ -49,12 +49,36 @@ def reference_rows(spark, d):
     return rows.withColumn("delta_min", F.datediff(day, "data")).withColumn("nome", F.concat_ws("_", "buffer_id", "part"))
 
 
-@query("i02_i03_classification")
+_B = lambda c: f"coalesce(({c}), false)::INT"
+_CLASSES = _FIXED + f""",
+points AS (SELECT p.*, x_coord || '_' || y_coord || '_' || flag || '_' || tStart AS id, buffer_id, least(x_coord - minx, maxx - x_coord, y_coord - miny, maxy - y_coord) < 10 AS border,
+ CASE WHEN buffer_id % 8 = 0 THEN DATE '2000-03-01' END AS data_1, CASE WHEN buffer_id % 12 = 0 THEN DATE '2001-08-01' END AS data_3 FROM period p JOIN polys ON x_coord >= minx AND x_coord < maxx AND y_coord >= miny AND y_coord < maxy),
+dated AS (SELECT x_coord, y_coord, id, buffer_id, tBreak, border, (data_1 IS NOT NULL)::INT + (data_1 IS NOT NULL AND data_3 IS NOT NULL)::INT AS an, part, CASE part WHEN 1 THEN data_1 ELSE data_3 END AS data
+ FROM points, (SELECT unnest([1, 2]) AS part) WHERE part = 1 OR (data_1 IS NOT NULL AND data_3 IS NOT NULL)),
+refs AS (SELECT *, buffer_id || '_' || part AS nome, date_diff('day', data, DATE '1970-01-01' + (tBreak // 86400000)::INT) AS delta_min FROM dated),
+c1 AS (SELECT *, count(tBreak) OVER (PARTITION BY x_coord, y_coord, nome) AS vb, abs(delta_min) AS d FROM refs),
+c2 AS (SELECT *, CASE WHEN an = 2 AND vb < 2 THEN min(d) FILTER (WHERE an = 2 AND vb < 2) OVER (PARTITION BY x_coord, y_coord) ELSE min(d) OVER (PARTITION BY x_coord, y_coord, nome) END AS m, min(d) OVER (PARTITION BY x_coord, y_coord) AS nearest FROM c1),
+c3 AS (SELECT *, {_B('d <= 60 AND tBreak IS NOT NULL AND an > 0')} AS VP, {_B('an = 0 AND tBreak IS NOT NULL')} | {_B('d > 60 AND d = m')} | {_B('d > 60 AND an = 1 AND tBreak IS NOT NULL')} AS FP FROM c2),
+c4 AS (SELECT *, {_B('an > 0 AND tBreak IS NULL')} | {_B('an = 1 AND vb = 1 AND FP = 1')} | {_B('an = 2 AND vb = 3 AND FP = 1')} AS FN, {_B('an = 0 AND tBreak IS NULL')} AS VN FROM c3),
+c5 AS (SELECT *, sum(VP + FP + FN + VN) OVER (PARTITION BY x_coord, y_coord, tBreak) AS total FROM c4),
+c6 AS (SELECT * REPLACE (CASE WHEN {_B('tBreak IS NOT NULL AND total = 0 AND an = 2 AND vb > 2 AND d = nearest')} = 1 THEN 1 ELSE FP END AS FP) FROM c5),
+c7 AS (SELECT * REPLACE (CASE WHEN {_B('FP = 1 AND an = 1 AND d = m AND vb IN (2, 3)')} = 1 OR (an = 2 AND vb = 1 AND VP = 0) OR (an = 2 AND vb = 2 AND FP = 1) THEN 1 ELSE FN END AS FN) FROM c6),
+c8 AS (SELECT *, max({_B('tBreak IS NOT NULL AND total = 0 AND an = 2 AND vb = 2')}) OVER (PARTITION BY x_coord, y_coord) AS redo FROM c7),
+c9 AS (SELECT *, first(d) OVER w AS d0, first(tBreak) OVER w AS b0, first(data) OVER w AS a0 FROM c8 WHERE redo = 1 WINDOW w AS (PARTITION BY buffer_id, x_coord, y_coord ORDER BY d NULLS LAST, nome, id)),
+final AS (SELECT x_coord, y_coord, id, nome, an, delta_min, border, VP, FP, FN, VN FROM c8 WHERE redo = 0
+ UNION ALL SELECT x_coord, y_coord, id, nome, an, delta_min, border, {_B('d <= 60')}, 1 - {_B('d <= 60')}, 1 - {_B('d <= 60')}, 0 FROM c9 WHERE NOT (({_B('tBreak = b0')} = 1 OR {_B('data = a0')} = 1) AND d IS DISTINCT FROM d0))
+"""
+_classes = lambda body: X.with_sql("obs seg polys", _CLASSES + body).replace("\n,\n", ",\n").replace("\n,", ",\n")
+
+
+@query("i02_i03_classification", _classes("SELECT x_coord, y_coord, id, nome, an AS analysts, delta_min::INT AS delta_min, VP, FP, FN, VN FROM final WHERE VP + FP + FN + VN > 0"))
 def classification(spark, d):
     return V.classify(reference_rows(spark, d), 60).select(*V.COORD, "id", "nome", "analysts", "delta_min", "VP", "FP", "FN", "VN")
 
 
-@query("i04_validation")
+@query("i04_validation", _classes("""
+SELECT VP, FP, FN, round(FP / (FP + VP), 6) AS cm, round(FN / (FN + VP), 6) AS om, round(2 * (1 - FN / (FN + VP)) * (1 - FP / (FP + VP)) / (2 - FN / (FN + VP) - FP / (FP + VP)), 6) AS f1
+FROM (SELECT sum(VP)::BIGINT AS VP, sum(FP)::BIGINT AS FP, sum(FN)::BIGINT AS FN FROM final WHERE VP + FP + FN + VN > 0 AND NOT border)"""))
 def validation(spark, d):
     """From segments to commission, omission and F1, border rows left out."""
     rows = V.classify(reference_rows(spark, d), 60).withColumns({"altera": F.when(F.col("analysts") > 0, "Com Alteracao").otherwise("Sem Alteracao"), "classe_anterior": F.lit("Eucalipto"), "classe_atual": F.lit("Solo")})

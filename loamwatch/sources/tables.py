@@ -46,8 +46,8 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
 def list_rows(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:

@@ -37,14 +37,14 @@ def staged(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, label)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stage_path = path
+    return table
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a stage table that nothing reads any more."""
+    """Deletes the folder of a stage table that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for parent in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        if "/loamwatch-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if found := getattr(df, "_stage_path", None):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ from loamwatch.operators import detection as D
 from loamwatch.operators import relations as R
 from loamwatch.operators import validation as V
 from loamwatch.operators.components import connected_components
-from loamwatch.streaming.append import start_append
+from loamwatch.streaming.append import current_segments, start_append
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -74,9 +74,12 @@ def test_stream_appends_known_pixels(spark, tmp_path):
     schema = "tile string, x int, y int, obs_date date, green int, red int, nir int, swir2 int"
     spark.createDataFrame(frame, schema).write.parquet(f"{store}/batch=start")
     late = frame.tail(1).assign(obs_date=pd.Timestamp("2020-01-01").date())
-    spark.createDataFrame(pd.concat([late, late.assign(x=9)]), schema).write.parquet(incoming)
-    stream = start_append(spark, incoming, store, str(tmp_path / "cp"), str(tmp_path / "seg"))
-    stream.awaitTermination(120)
+    early = frame.tail(1).assign(obs_date=pd.Timestamp("2019-12-01").date())
+    spark.createDataFrame(pd.concat([late, late.assign(x=9), early, frame.tail(2)]), schema).write.parquet(incoming)
+    for _ in range(2):  # the same file again brings nothing
+        start_append(spark, incoming, store, str(tmp_path / "cp"), str(tmp_path / "seg")).awaitTermination(120)
+        spark.createDataFrame(late, schema).write.mode("append").parquet(incoming)
+    assert current_segments(spark, str(tmp_path / "seg")).count() >= 1
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(store)
     assert rows.count() == 61 and rows.where("x = 9").count() == 0
     assert spark.read.parquet(str(tmp_path / "seg")).select("x_coord").distinct().count() == 1
@@ -91,6 +94,14 @@ def test_classification(spark):
         (5, 1, "a", 1, None, None, "x"),  # date without a break: FN
         (6, 1, "a", 1, 10**12, 5, "Agua"),
     ]
-    df = spark.createDataFrame([(x, y, n, "s", an, b, d, t) for x, y, n, an, b, d, t in rows], "x_coord int, y_coord int, nome string, id string, analysts int, tBreak long, delta_min int, tipo string")
+    df = spark.createDataFrame([(x, y, 1, n, "s", an, b, None, d, t) for x, y, n, an, b, d, t in rows], "x_coord int, y_coord int, buffer_id int, nome string, id string, analysts int, tBreak long, data date, delta_min int, tipo string")
     got = {r.x_coord: (r.VP, r.FP, r.FN, r.VN) for r in V.classify(df).collect()}
     assert got == {1: (0, 0, 0, 1), 2: (1, 0, 0, 0), 3: (0, 1, 1, 0), 4: (0, 1, 0, 0), 5: (0, 0, 1, 0)}
+
+
+def test_each_break_gets_one_date(spark):
+    """Two breaks and two dates of a point: the nearest pair stays, and the other break with the other date."""
+    rows = [(1, 1, 10, "a", 5), (1, 1, 10, "b", 90), (1, 1, 20, "a", 70), (1, 1, 20, "b", 80), (2, 2, 10, "a", None)]
+    df = spark.createDataFrame(rows, "x_coord int, y_coord int, tBreak int, data string, d int")
+    got = {(r.x_coord, r.tBreak, r.data) for r in V.drop_conflicts(df, ["x_coord", "y_coord"], "d", "tBreak", "data", ["data"]).collect()}
+    assert got == {(1, 10, "a"), (1, 20, "b"), (2, 10, "a")}
