@@ -145,10 +145,11 @@ def variogram(spark, d):
 
 @query("d25_adjusted_variogram", X.with_sql("obs", """,
 o AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY obs_date, l_orderkey, l_linenumber, nir, red) AS i FROM obs),
-pairs AS (SELECT a.x, a.y, k, date_diff('day', b.obs_date, a.obs_date) AS gap, abs(a.nir - b.nir) AS v FROM o a, (SELECT unnest(range(1, (SELECT max(i) FROM o))) AS k) JOIN o b ON b.x = a.x AND b.y = a.y AND b.i = a.i - k),
-modes AS (SELECT x, y, k, arg_max(gap, {'a': n, 'b': -gap}) AS mode FROM (SELECT x, y, k, gap, count(*) AS n FROM pairs GROUP BY ALL) GROUP BY x, y, k),
-chosen AS (SELECT x, y, min(k) AS k FROM modes WHERE mode > 30 GROUP BY x, y)
-SELECT f.x, f.y, coalesce(w.v, f.v) AS nir FROM (SELECT x, y, median(v) AS v FROM pairs WHERE k = 1 GROUP BY x, y) f LEFT JOIN (SELECT x, y, median(v) AS v FROM pairs JOIN chosen USING (x, y, k) WHERE gap > 30 GROUP BY x, y) w ON f.x = w.x AND f.y = w.y""").replace("\n,\n", ",\n"))
+lags(x, y, k, mode) AS (SELECT DISTINCT x, y, 0::BIGINT, 0::BIGINT FROM o UNION ALL
+ SELECT x, y, k, arg_max(gap, {'a': n, 'b': -gap}) FROM (SELECT r.x, r.y, r.k + 1 AS k, date_diff('day', b.obs_date, a.obs_date) AS gap, count(*) AS n FROM lags r JOIN o a USING (x, y) JOIN o b ON b.x = a.x AND b.y = a.y AND b.i = a.i - r.k - 1 WHERE r.mode <= 30 GROUP BY ALL) GROUP BY ALL),
+chosen AS (SELECT x, y, k FROM lags WHERE mode > 30),
+pairs AS (SELECT a.x, a.y, c.k, date_diff('day', b.obs_date, a.obs_date) AS gap, abs(a.nir - b.nir) AS v FROM (FROM chosen UNION SELECT DISTINCT x, y, 1 FROM o) c JOIN o a USING (x, y) JOIN o b ON b.x = a.x AND b.y = a.y AND b.i = a.i - c.k)
+SELECT f.x, f.y, coalesce(w.v, f.v) AS nir FROM (SELECT x, y, median(v) AS v FROM pairs WHERE k = 1 GROUP BY x, y) f LEFT JOIN (SELECT x, y, median(v) AS v FROM pairs JOIN chosen USING (x, y, k) WHERE gap > 30 GROUP BY x, y) w ON f.x = w.x AND f.y = w.y""").replace("WITH obs", "WITH RECURSIVE obs").replace("\n,\n", ",\n"))
 def adjusted(spark, d):
     return A.adjusted_variogram(X.observations(spark, d), ["x", "y"], "obs_date", ["nir"], OBS_ORDER)
 

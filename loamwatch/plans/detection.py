@@ -64,18 +64,19 @@ def scores(spark, d):
 
 _BANDS = ("ndvi", "green", "swir2")
 _each = lambda form, sep=", ": sep.join(form.format(b=b) for b in _BANDS)
-# clean series in order, pairs at all lags, the kernel's variogram of each band, and the flat fit
+# clean series in order, the least lag whose commonest gap is wide, pairs at that lag and at one, the kernel's variogram of each band, and the flat fit
 _SERIES = f""",
 o AS (SELECT tile, x, y, {_ORD} AS t, obs_date, 10000.0 * (nir - red) / (nir + red) AS ndvi, green, swir2, row_number() OVER (PARTITION BY tile, x, y ORDER BY obs_date, l_orderkey, l_linenumber, nir, red, swir2) AS i FROM obs WHERE green <> 65535 AND nir + red > 0),
-pairs AS (SELECT a.tile, a.x, a.y, k, a.t - b.t AS gap, {_each('abs(a.{b} - b.{b}) AS {b}')} FROM o a, (SELECT unnest(range(1, (SELECT max(i) FROM o))) AS k) JOIN o b ON b.tile = a.tile AND b.x = a.x AND b.y = a.y AND b.i = a.i - k),
-modes AS (SELECT tile, x, y, k, arg_max(gap, {{'a': n, 'b': -gap}}) AS mode FROM (SELECT tile, x, y, k, gap, count(*) AS n FROM pairs GROUP BY ALL) GROUP BY ALL),
-chosen AS (SELECT tile, x, y, min(k) AS k FROM modes WHERE mode > 30 GROUP BY ALL),
+lags(tile, x, y, k, mode) AS (SELECT DISTINCT tile, x, y, 0::BIGINT, 0::BIGINT FROM o UNION ALL
+ SELECT tile, x, y, k, arg_max(gap, {{'a': n, 'b': -gap}}) FROM (SELECT r.tile, r.x, r.y, r.k + 1 AS k, (a.t - b.t)::BIGINT AS gap, count(*) AS n FROM lags r JOIN o a USING (tile, x, y) JOIN o b ON b.tile = a.tile AND b.x = a.x AND b.y = a.y AND b.i = a.i - r.k - 1 WHERE r.mode <= 30 GROUP BY ALL) GROUP BY ALL),
+chosen AS (SELECT tile, x, y, k FROM lags WHERE mode > 30),
+pairs AS (SELECT a.tile, a.x, a.y, c.k, a.t - b.t AS gap, {_each('abs(a.{b} - b.{b}) AS {b}')} FROM (FROM chosen UNION SELECT DISTINCT tile, x, y, 1 FROM o) c JOIN o a USING (tile, x, y) JOIN o b ON b.tile = a.tile AND b.x = a.x AND b.y = a.y AND b.i = a.i - c.k),
 vario AS (SELECT f.tile, f.x, f.y, {_each('coalesce(w.{b}, f.{b}) AS v_{b}')} FROM (SELECT tile, x, y, {_each('median({b}) AS {b}')} FROM pairs WHERE k = 1 GROUP BY ALL) f
  LEFT JOIN (SELECT tile, x, y, {_each('median({b}) AS {b}')} FROM pairs JOIN chosen USING (tile, x, y, k) WHERE gap > 30 GROUP BY ALL) w USING (tile, x, y)),
 flat AS (SELECT tile, x, y, count(*) AS n, {_each('avg({b}) AS m_{b}, stddev_pop({b}) AS s_{b}')}, greatest(6, CASE WHEN median(g) > 0 THEN round_even(96 / median(g), 0) ELSE 6 END)::INT AS peek FROM (SELECT *, t - lag(t) OVER (PARTITION BY tile, x, y ORDER BY i) AS g FROM o) GROUP BY ALL),
 limits AS (SELECT unnest({list(range(6, 97))}) AS peek, unnest({[round(D.chi2_quantile(1 - (1 - 0.999) ** (6 / k)), 9) for k in range(6, 97)]}) AS lim)
 """
-_sql = lambda body: X.with_sql("obs", _SERIES + body).replace("\n,\n", ",\n")
+_sql = lambda body: X.with_sql("obs", _SERIES + body).replace("WITH obs", "WITH RECURSIVE obs").replace("\n,\n", ",\n")
 
 
 @query("h10_h11_h12_change_scores", _sql(f"""
