@@ -2,13 +2,15 @@
 
 Each document gets exact integer measures. Mergeable quantile sketches (histograms whose bucket keeps the six
 leading bits of a value: exact below 64, within 1/32 above; adding counts merges them) are built per language
-and source; coarser sketches are their sums. A document fails if a measure lies beyond the outer fence of its
-group, q75 + fence * (q75 - q25), and beyond a floor below which a measure is never bad. Groups with fewer than
-``min_group`` documents use the sketch of their language, or of everything.
-
-Null texts have no words; null languages and sources form groups of their own; repeated rows count each.
-An empty table gives an empty result. Only id, text, language and source are read, so other columns can't clash.
-Everything is built-in SQL functions.
+and source; coarser sketches are their sums. There is no fixed cutoff: a document fails if a measure lies beyond the
+fences of its group, high + fence * spread or (for word length) below low - fence * spread, where low and high are two
+quantiles of the group's sketch, given for each measure, and spread is their distance. A group in which a measure
+hardly varies has a spread of PRIOR / sqrt(documents) at least, which vanishes as the group grows. Groups with fewer
+than ``min_group`` documents use the sketch of their language, or of everything.
+
+Null texts have no words; very long texts are measured whole; null languages and sources form groups of their own;
+repeated rows count each; equal values share a bucket, so ties have one verdict. An empty table gives an empty result.
+Only id, text, language and source are read, so other columns can't clash. Everything is built-in SQL functions.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from pyspark.sql import Window as W
 from loamwatch.llm.common import body, words_of
 from loamwatch.staging import staged
 
-#: Measures that are bad when high, per mille (word length: tenths of a code point), and the floor of each.
-FLOORS = {"symbols": 100, "dup_lines": 300, "repeats": 200, "word_chars10": 120}
-FENCE = 6
+#: Measures per mille (word length: tenths of a code point): low and high quantile in percent, fence, and whether low values are bad too.
+#: Repeats are absent from most documents, so their fences stand on the few that have some.
+RULES = {"symbols": (25, 75, 6, False), "dup_lines": (50, 99, 1, False), "repeats": (50, 95, 6, False), "word_chars10": (25, 75, 6, True)}
+PRIOR = 100
 MIN_GROUP = 50
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -99,35 +102,44 @@ def sketches(measured: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def fences(hist: DataFrame, keys: list[str], fence: int) -> DataFrame:
-    """(keys, docs, one limit for each measure) from merged sketches."""
+def fences(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, docs, least and most allowed value of each measure) from merged sketches."""
     merged = hist.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*keys, "measure")
     running = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bucket")))
-    per = running.groupBy(*keys, "measure").agg(at(1).alias("q25"), at(3).alias("q75"), F.max("all").alias("docs"))
-    limit = lambda m: F.max(F.when(F.col("measure") == m, F.greatest(F.col("q75") + fence * (F.col("q75") - F.col("q25")), F.lit(FLOORS[m])))).alias(f"max_{m}")
-    return per.groupBy(*keys).agg(F.max("docs").alias("docs"), *[limit(m) for m in FLOORS])
+    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for m, r in RULES.items() for x in (m, r[k])]), F.col("measure"))
+    at = lambda k: F.min(F.when(F.col("upto") * 100 >= F.col("all") * of(k), F.col("bucket")))
+    per = running.groupBy(*keys, "measure").agg(at(0).alias("low"), at(1).alias("high"), F.max("all").alias("docs"))
+    spread = F.greatest(F.col("high") - F.col("low"), F.floor(PRIOR / F.sqrt("docs")))
+    per = per.withColumns({"least": F.col("low") - of(2) * spread, "most": F.col("high") + of(2) * spread})
+    limit = lambda c, m: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{c}_{m}")
+    return per.groupBy(*keys).agg(F.max("docs").alias("docs"), *[limit(c, m) for m in RULES for c in ("least", "most")])
+
+
+def limits(hist: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """(lang, source, least and most of each measure): of the group, or of the language or everything where the group is small."""
+    fine, coarse, whole = fences(hist, ["lang", "source"]), fences(hist, ["lang"]), fences(hist, [])
+    both = fine.alias("f").join(coarse.alias("c"), F.expr("f.lang <=> c.lang")).crossJoin(F.broadcast(whole).alias("w"))  # one row
+    pick = lambda m: F.when(F.col("f.docs") >= min_group, F.col(f"f.{m}")).when(F.col("c.docs") >= min_group, F.col(f"c.{m}")).otherwise(F.col(f"w.{m}")).alias(m)
+    return both.select(F.col("f.lang").alias("lang"), F.col("f.source").alias("source"), *[pick(f"{c}_{m}") for m in RULES for c in ("least", "most")])
 
 
-def verdicts(measured: DataFrame, fence: int = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
+def verdicts(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """``measured`` with base_failed and kept. Limits of all groups are joined, not broadcast by force: Spark sees their size."""
     hist = staged(sketches(measured), "quality-sketches")
-    fine, coarse, whole = fences(hist, ["lang", "source"], fence), fences(hist, ["lang"], fence), fences(hist, [], fence)
-    limits = fine.alias("f").join(coarse.alias("c"), F.expr("f.lang <=> c.lang")).crossJoin(F.broadcast(whole).alias("w"))  # one row
-    pick = lambda m: F.when(F.col("f.docs") >= min_group, F.col(f"f.max_{m}")).when(F.col("c.docs") >= min_group, F.col(f"c.max_{m}")).otherwise(F.col(f"w.max_{m}")).alias(f"max_{m}")
-    limits = limits.select(F.col("f.lang").alias("lang"), F.col("f.source").alias("source"), *[pick(m) for m in FLOORS])
-    joined = measured.alias("d").join(limits.alias("l"), F.expr("d.lang <=> l.lang AND d.source <=> l.source"), "left")
-    too_much = F.lit(False)
+    joined = measured.alias("d").join(limits(hist, min_group).alias("l"), F.expr("d.lang <=> l.lang AND d.source <=> l.source"), "left")
+    bad = F.lit(False)
     for m, rate in rates().items():
-        too_much = too_much | (rate > F.col(f"max_{m}"))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~too_much).select("d.*", "base_failed", "kept")
+        bad = bad | (rate > F.col(f"most_{m}"))
+        if RULES[m][3]:
+            bad = bad | (rate < F.col(f"least_{m}"))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad).select("d.*", "base_failed", "kept")
 
 
-def quality(docs: DataFrame, keep: list[str] | None = None, fence: int = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
+def quality(docs: DataFrame, keep: list[str] | None = None, min_group: int = MIN_GROUP) -> DataFrame:
     """One row a document: ``keep`` columns (doc_id, lang, source by default), measures, base_failed, kept."""
     keep = keep or ["doc_id", "lang", "source"]
-    return verdicts(staged(measures(docs, keep), "quality-measures"), fence, min_group)
+    return verdicts(staged(measures(docs, keep), "quality-measures"), min_group)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -139,13 +151,18 @@ def _sql_bucket(v: str) -> str:
     return f"(({v} >> greatest(0, length(bin({v})) - 6)) << greatest(0, length(bin({v})) - 6))"
 
 
+_RULES_SQL = "(VALUES " + ", ".join(f"('{m}', {low}, {high}, {fence})" for m, (low, high, fence, _) in RULES.items()) + ") AS r(measure, q_low, q_high, fence)"
+_LIMITS = [f"{c}_{m}" for m in RULES for c in ("least", "most")]
+_BAD = " OR ".join([f"{m} > most_{m}" for m in RULES] + [f"{m} < least_{m}" for m, r in RULES.items() if r[3]])
+
+
 def _sql_fences(keys: str) -> str:
     k = f"{keys}, " if keys else ""
-    cols = ", ".join(f"max(greatest(q75 + {FENCE} * (q75 - q25), {f})) FILTER (WHERE measure = '{m}') AS max_{m}" for m, f in FLOORS.items())
-    return f"""SELECT {k}max(docs) AS docs, {cols} FROM (
-    SELECT {k}measure, min(bucket) FILTER (WHERE upto * 4 >= n_all) AS q25, min(bucket) FILTER (WHERE upto * 4 >= n_all * 3) AS q75, max(n_all) AS docs
+    cols = ", ".join(f"max({c}) FILTER (WHERE measure = '{m}') AS {c}_{m}" for m in RULES for c in ("least", "most"))
+    return f"""SELECT {k}max(docs) AS docs, {cols} FROM (SELECT *, low - fence * greatest(high - low, floor({PRIOR} / sqrt(docs))) AS least, high + fence * greatest(high - low, floor({PRIOR} / sqrt(docs))) AS most FROM (
+    SELECT {k}measure, any_value(fence) AS fence, min(bucket) FILTER (WHERE upto * 100 >= n_all * q_low) AS low, min(bucket) FILTER (WHERE upto * 100 >= n_all * q_high) AS high, max(n_all) AS docs
     FROM (SELECT {k}measure, bucket, sum(n) OVER (PARTITION BY {k}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {k}measure) AS n_all
-          FROM (SELECT {k}measure, bucket, sum(n) AS n FROM hist GROUP BY ALL)) GROUP BY ALL) {'GROUP BY ' + keys if keys else ''}"""
+          FROM (SELECT {k}measure, bucket, sum(n) AS n FROM hist GROUP BY ALL)) JOIN {_RULES_SQL} USING (measure) GROUP BY {k}measure)) {'GROUP BY ' + keys if keys else ''}"""
 
 
 ORACLE = rf"""
@@ -177,10 +194,10 @@ WITH split AS (
   FROM (UNPIVOT rated ON symbols, dup_lines, repeats, word_chars10 INTO NAME measure VALUE v) GROUP BY ALL
 ), fine AS ({_sql_fences('lang, source')}), coarse AS ({_sql_fences('lang')}), whole AS ({_sql_fences('')}),
 limits AS (
-  SELECT f.lang, f.source, {', '.join(f'CASE WHEN f.docs >= {MIN_GROUP} THEN f.max_{m} WHEN c.docs >= {MIN_GROUP} THEN c.max_{m} ELSE w.max_{m} END AS max_{m}' for m in FLOORS)}
+  SELECT f.lang, f.source, {', '.join(f'CASE WHEN f.docs >= {MIN_GROUP} THEN f.{m} WHEN c.docs >= {MIN_GROUP} THEN c.{m} ELSE w.{m} END AS {m}' for m in _LIMITS)}
   FROM fine f JOIN coarse c ON f.lang IS NOT DISTINCT FROM c.lang, whole w
 )
 SELECT doc_id, {', '.join(MEASURES)}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({' OR '.join(f'{m} > max_{m}' for m in FLOORS)}) AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({_BAD}) AS kept
 FROM rated r LEFT JOIN limits l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source
 """

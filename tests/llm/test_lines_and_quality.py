@@ -90,4 +90,18 @@ def test_adaptive_limits_follow_the_group(spark):
 def test_merged_sketches_equal_one_sketch(spark):
     rows = spark.range(5000).select(F.lit("l").alias("lang"), (F.col("id") % 7).cast("string").alias("source"), *[(F.col("id") * k % 991).alias(c) for k, c in ((3, "n_words"), (17, "word_chars"), (5, "n_symbols"), (7, "n_lines"), (2, "n_dup_lines"), (11, "n_repeat_words"))])
     parts, whole = Q.sketches(rows), Q.sketches(rows.withColumn("source", F.lit("all")))
-    assert Q.fences(parts, ["lang"], 6).collect() == Q.fences(whole, ["lang"], 6).collect()
+    assert Q.fences(parts, ["lang"]).collect() == Q.fences(whole, ["lang"]).collect()
+
+
+def test_limits_of_a_language_decide(spark):
+    """The same text is usual in one language and far out in another; a larger group narrows its limits."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join("x" * rng.randint(n - 1, n + 1) + str(rng.randint(0, 10**6)) for _ in range(80))
+    rows = [(k, prose(3), "short") for k in range(200)] + [(1000 + k, prose(15), "long") for k in range(200)]
+    rows += [(5000, rows[-1][1], "short"), (5001, rows[0][1], "long")]
+    docs = spark.createDataFrame([(i, t, lang, "s") for i, t, lang in rows], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in Q.quality(docs).collect()}
+    assert not kept.pop(5000) and not kept.pop(5001) and all(kept.values())
+    hist = lambda n: spark.createDataFrame([("a", "b", m, v, n) for m in Q.RULES for v in (0, 1)], "lang string, source string, measure string, bucket long, n long")
+    small, large = (Q.fences(hist(n), ["lang"]).first() for n in (50, 500_000))
+    assert small.most_symbols == 1 + 6 * 10 and large.most_symbols == 1 + 6 * 1
