@@ -3,18 +3,24 @@
 The patterns' matches are the seeds. Every other word with a digit or an at sign is a candidate. Occurrences of
 both are linked to lexical patterns: the word before, the word behind, and both. Spark scores the graph of
 patterns and instances in rounds: a pattern's confidence for a kind is the share of its occurrences that carry an
-instance believed to be of that kind; patterns above ``least_confidence`` with ``least_support`` distinct
+instance believed to be of that kind, where unbelieved ones that look like the kind count a quarter; patterns above ``least_confidence`` with ``least_support`` distinct
 instances make further instances believed, if those look like the kind at all. Candidates found so are added
 as spans of the kind; seeds always stay.
 
-Patterns, instances and scores are tables; what is exploded per document are its candidates alone. Null texts are
-empty; rows with the same id and text are one document, and each such row is returned. Built-in functions only.
+Matches are rows, not arrays that grow: their places are running sums over the row's gaps and matches, and what
+overlaps a base span is seen in two more passes over the sorted rows, so a text of very many matches takes as many
+steps. A context reaches back over one further match and ahead over one, NEAR code points at most.
+
+Null texts are empty; rows with the same id and text are one document, and each such row is returned; rows with a
+null id are told apart by their text. Of kinds with equal score the one listed first wins. Other columns aren't read,
+so they can't clash. An empty table gives an empty result. Built-in functions only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loamwatch.llm.common import keyed
 from loamwatch.staging import staged
@@ -31,52 +37,40 @@ BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Code points of context kept on each side.
 NEAR = 64
 CONFIDENCE, SUPPORT, ROUNDS = 0.9, 5, 2
-_SPAN = "array<struct<start:int,stop:int,token:string,before:string,behind:string>>"
+#: Weight against a pattern of an unbelieved instance that looks like its kind.
+DOUBT = 0.25
+WORDS = len(KINDS)
+_PIECES = "array<struct<k:int,i:int,gap:int,head:string,tail:string,token:string>>"
 
 
 def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their places in code points: what lies between the matches gives the places.
-
-    ``before`` and ``behind`` are the NEAR code points of the text on each side, other matches included.
-    """
-
-    def place(m: Column, g: Column, ahead: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(g, i))
-            stop = start + F.length(F.get(m, i))
-            before = F.right(F.concat(acc["tail"], F.right(F.get(g, i), F.lit(NEAR))), F.lit(NEAR))
-            # a gap and a match have two code points at least
-            behind = F.left(F.array_join(F.slice(ahead, i + 2, NEAR // 2 + 1), ""), F.lit(NEAR))
-            one = F.struct(start.alias("start"), stop.alias("stop"), F.get(m, i).alias("token"), before.alias("before"), behind.alias("behind"))
-            tail = F.right(F.concat(before, F.right(F.get(m, i), F.lit(NEAR))), F.lit(NEAR))
-            return F.struct(stop.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
+def _pieces(text: Column, pattern: str, k: int) -> Column:
+    """Leftmost non-overlapping matches of a pattern, each with the gap before it (its length, both ends); the last gap has no match."""
 
-        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda acc: acc["out"])
+    def piece(g: Column, m: Column) -> Column:
+        return F.struct(F.length(g).alias("gap"), F.left(g, F.lit(NEAR)).alias("head"), F.right(g, F.lit(NEAR)).alias("tail"), m.alias("token"))
 
-    # the first code points of each gap and the match behind it
-    head = lambda m, g: F.zip_with(g, m, lambda x, y: F.concat(F.left(x, F.lit(NEAR)), F.left(F.coalesce(y, F.lit("")), F.lit(NEAR))))
-    spans = lambda m, g: _let(head(m, g), lambda ahead: place(m, g, ahead))
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, _let(F.split(text, pattern, -1), lambda g: spans(m, g))).otherwise(F.array().cast(_SPAN)))
+    number = lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), x["gap"].alias("gap"), x["head"].alias("head"), x["tail"].alias("tail"), x["token"].alias("token"))
+    rows = lambda m: F.transform(F.zip_with(F.split(text, pattern, -1), m, piece), number)
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, rows(m)).otherwise(F.array().cast(_PIECES)))
 
 
 def _digits(token: Column) -> Column:
     return F.regexp_replace(token, "[^0-9]", "")
 
 
-def _base(text: Column) -> dict[str, Column]:
-    none = F.array().cast(_SPAN)
-    card = lambda s: F.length(_digits(s["token"])).between(12, 19) & F.call_function("luhn_check", _digits(s["token"]))
-    return {
-        "email": F.when(F.contains(text, F.lit("@")), matches(text, EMAIL)).otherwise(none),
-        "ip": F.filter(matches(text, IP), lambda s: s["token"].rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")),
-        "card": F.filter(matches(text, CARD), card),
-        "phone": F.when(F.contains(text, F.lit("+")), F.filter(matches(text, PHONE), lambda s: F.length(_digits(s["token"])).between(9, 15))).otherwise(none),
-    }
+def _holds() -> Column:
+    """Whether a match keeps the further rules of its kind."""
+    k, token, n = F.col("k"), F.col("token"), F.length(_digits(F.col("token")))
+    return (
+        F.when(k == 1, token.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"))
+        .when(k == 2, n.between(12, 19) & F.call_function("luhn_check", _digits(token)))
+        .when(k == 3, n.between(9, 15))
+        .otherwise(F.lit(True))
+    )
 
 
 def _looks_like(kind: Column, token: Column) -> Column:
@@ -96,27 +90,37 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, base, words): base spans (start, k, stop, token, before, behind) and candidates, one row a document."""
-    text = F.col("text")
-    source = keyed(docs, id_col, text_col)
-    found = source.select("doc_id", "row_key", *[c.alias(k) for k, c in _base(text).items()], F.when(text.rlike("[0-9@]"), matches(text, WORD)).otherwise(F.array().cast(_SPAN)).alias("words"))
-    tag = lambda k: F.transform(KINDS[k], lambda s: F.struct(s["start"], F.lit(k).alias("k"), s["stop"], s["token"], s["before"], s["behind"]))
-    base = F.concat(*[tag(k) for k in range(len(KINDS))])
-    found = found.select("doc_id", "row_key", base.alias("base"), "words")
-    apart = F.filter("words", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-    return found.select("doc_id", "row_key", "base", F.when(F.size("words") > 0, apart).otherwise(F.col("words")).alias("words"))
+    """(doc_id, row_key, k, start, stop, token, before, behind): base spans, and candidates (k = WORDS) that touch none."""
+    text, none = F.col("text"), F.array().cast(_PIECES)
+    parts = F.concat(
+        F.when(F.contains(text, F.lit("@")), _pieces(text, EMAIL, 0)).otherwise(none), _pieces(text, IP, 1), _pieces(text, CARD, 2),
+        F.when(F.contains(text, F.lit("+")), _pieces(text, PHONE, 3)).otherwise(none), F.when(text.rlike("[0-9@]"), _pieces(text, WORD, WORDS)).otherwise(none),
+    )
+    doc = ["doc_id", "row_key"]
+    found = keyed(docs, id_col, text_col).select(*doc, F.explode(parts).alias("p")).select(*doc, "p.*")
+    found = found.repartition(*doc).dropDuplicates([*doc, "k", "i"])  # repeated rows are one document
+    order = W.partitionBy(*doc, "k").orderBy("i")
+    length = F.coalesce(F.length("token"), F.lit(0))
+    near = lambda *parts: F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
+    placed = found.withColumns({
+        "stop": F.sum(F.col("gap") + length).over(order).cast("int"),
+        "before": F.right(near(F.lag("tail").over(order), F.right(F.lag("token").over(order), F.lit(NEAR)), F.col("tail")), F.lit(NEAR)),
+        "behind": F.left(near(F.lead("head").over(order), F.left(F.lead("token").over(order), F.lit(NEAR)), F.lead("head", 2).over(order)), F.lit(NEAR)),
+    })
+    placed = placed.where(F.col("token").isNotNull() & _holds()).withColumn("start", F.col("stop") - F.length("token"))
+    base = lambda c: F.when(F.col("k") < WORDS, F.col(c))
+    so_far = W.partitionBy(*doc).orderBy("start", "k").rowsBetween(W.unboundedPreceding, -1)
+    to_come = W.partitionBy(*doc).orderBy(F.desc("start"), F.desc("k")).rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("reach", F.max(base("stop")).over(so_far)).withColumn("next", F.last(base("start"), ignorenulls=True).over(to_come))
+    apart = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next") >= F.col("stop"), F.lit(True)))
+    return placed.where((F.col("k") < WORDS) | apart).select(*doc, "k", "start", "stop", "token", "before", "behind")
 
 
 def _occurrences(scanned: DataFrame) -> DataFrame:
     """(doc_id, row_key, start, stop, token, k, pattern): k is the kind of a seed, null for a candidate; one row a pattern."""
-    rows = F.concat(
-        F.transform("base", lambda s: F.struct(s["start"], s["stop"], s["token"], s["k"].alias("k"), s["before"], s["behind"])),
-        F.transform("words", lambda s: F.struct(s["start"], s["stop"], s["token"], F.lit(None).cast("int").alias("k"), s["before"], s["behind"])),
-    )
-    one = scanned.where((F.size("base") > 0) | (F.size("words") > 0)).select("doc_id", "row_key", F.explode(rows).alias("o"))
-    left = F.lower(F.regexp_extract("o.before", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-    right = F.lower(F.regexp_extract("o.behind", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
-    one = one.select("doc_id", "row_key", "o.start", "o.stop", F.lower("o.token").alias("token"), "o.k", left.alias("l"), right.alias("r"))
+    left = F.lower(F.regexp_extract("before", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
+    right = F.lower(F.regexp_extract("behind", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
+    one = scanned.select("doc_id", "row_key", "start", "stop", F.lower("token").alias("token"), F.when(F.col("k") < WORDS, F.col("k")).alias("k"), left.alias("l"), right.alias("r"))
     patterns = F.array(F.when(F.col("l") != "", F.concat(F.lit("L "), "l")), F.when(F.col("r") != "", F.concat(F.lit("R "), "r")), F.when((F.col("l") != "") & (F.col("r") != ""), F.concat_ws(" ", F.lit("B"), "l", "r")))
     return one.select("doc_id", "row_key", "start", "stop", "token", "k", F.explode(F.array_compact(patterns)).alias("pattern"))
 
@@ -131,7 +135,12 @@ def discover(occurrences: DataFrame, least_confidence: float = CONFIDENCE, least
         totals = scored.groupBy("pattern").agg(F.sum("n").alias("all"))
         per_kind = scored.where(F.col("kind").isNotNull()).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.countDistinct("token").alias("support"))
         per_kind = per_kind.where(F.col("support") >= least_support)
-        confident = per_kind.join(totals, "pattern").select("pattern", "kind", (F.col("mass") / F.col("all")).alias("confidence")).where(F.col("confidence") >= least_confidence)
+        # what isn't believed yet but looks like the kind is what is sought: it counts less against a pattern
+        doubts = scored.where(F.col("kind").isNull()).select("pattern", "token", "n", F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))])).alias("kind"))
+        doubts = doubts.where(_looks_like(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), F.col("token"))).groupBy("pattern", "kind").agg(F.sum("n").alias("doubt"))
+        weighed = per_kind.join(totals, "pattern").join(doubts, ["pattern", "kind"], "left")
+        whole = F.col("all") - (1 - DOUBT) * F.coalesce("doubt", F.lit(0))
+        confident = weighed.select("pattern", "kind", (F.col("mass") / whole).alias("confidence")).where(F.col("confidence") >= least_confidence)
         confident = staged(confident, "pii-patterns")
         reached = edges.where(F.col("k").isNull()).select("pattern", "token").join(confident, "pattern")
         reached = reached.where(_looks_like(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), F.col("token")))
@@ -146,13 +155,15 @@ def discover(occurrences: DataFrame, least_confidence: float = CONFIDENCE, least
 
 def personal_data(docs: DataFrame, least_confidence: float = CONFIDENCE, least_support: int = SUPPORT, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_key, base, added): arrays of spans (start, k, stop), k being the place of the kind in KINDS."""
-    scanned = staged(scan(docs, id_col, text_col), "pii-scan")
+    scanned = staged(scan(docs, id_col, text_col), "pii-spans")
     occurrences = staged(_occurrences(scanned), "pii-occurrences")
-    added = discover(occurrences, least_confidence, least_support, rounds).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "k", "stop")).alias("added"))
-    plain = scanned.select("doc_id", "row_key", F.transform("base", lambda s: F.struct(s["start"], s["k"], s["stop"])).alias("base"))
-    on = F.col("s.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("s.row_key") == F.col("a.row_key"))
+    spans = lambda df, name: df.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("start", "k", "stop"))).alias(name)).withColumnsRenamed({"doc_id": f"{name}_id", "row_key": f"{name}_key"})
+    base, added = spans(scanned.where(F.col("k") < WORDS), "base"), spans(discover(occurrences, least_confidence, least_support, rounds), "added")
     none = F.array().cast("array<struct<start:int,k:int,stop:int>>")
-    return plain.alias("s").join(added.alias("a"), on, "left").select("s.doc_id", "s.row_key", "base", F.coalesce("added", none).alias("added"))
+    every = keyed(docs, id_col, text_col).select("doc_id", "row_key")
+    for table, name in ((base, "base"), (added, "added")):
+        every = every.join(table, F.col("doc_id").eqNullSafe(F.col(f"{name}_id")) & (F.col("row_key") == F.col(f"{name}_key")), "left")
+    return every.select("doc_id", "row_key", *[F.coalesce(c, none).alias(c) for c in ("base", "added")])
 
 
 def op4_personal_data(spark, sf_dir: str) -> DataFrame:
