@@ -44,6 +44,6 @@ def last_before(left: DataFrame, right: DataFrame, key: str, at: str, when: str,
 
 def first_within(left: DataFrame, right: DataFrame, key: str, start: str, end: str, when: str, name: str) -> DataFrame:
     """The earliest ``when`` of the right side in [start, end]; null if there is none: the first from start on, unless it is later than end."""
-    w = W.partitionBy(key).orderBy("_t", "_k").rowsBetween(W.currentRow, W.unboundedFollowing)
-    best = _timeline(left, right, key, start, when).withColumn(name, F.first("_v", ignorenulls=True).over(w)).where("_k = 0").select(key, F.col("_t").alias(start), name)
+    w = W.partitionBy(key).orderBy(F.desc("_t"), F.desc("_k")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    best = _timeline(left, right, key, start, when).withColumn(name, F.last("_v", ignorenulls=True).over(w)).where("_k = 0").select(key, F.col("_t").alias(start), name)
     return left.join(best, [key, start], "left").withColumn(name, F.when(F.col(name) <= F.col(end), F.col(name)))
