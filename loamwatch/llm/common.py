@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamwatch.staging import staged
+
 #: ASCII blank characters, as in [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 #: Python tasks take texts in blocks of about so many bytes.
 BLOCK_BYTES = 8 << 20
+#: Words or shingles of the texts whose pairs a task compares at a time.
+AT_ONCE = 1 << 20
 
 
 def body(text_col: str = "text") -> Column:
@@ -80,3 +84,37 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
         out = (out ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
     return out
+
+
+def _blocks_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (a, b, n) -> (a, b, block): runs of pairs that weigh about AT_ONCE."""
+    from pyspark import TaskContext
+
+    base, before = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        ends = before + np.cumsum(batch.column(2).to_numpy())
+        before = int(ends[-1]) if len(ends) else before
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base + ends // AT_ONCE)], names=["a", "b", "block"])
+
+
+def pairs_with_texts(pairs: DataFrame, docs: DataFrame, make: Callable[[bytes], bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(block, a, b, data) of pairs (a, b, n) of row keys: rows of texts (b is null, data is made of the text), then the pairs of a block.
+
+    Pairs are cut into blocks by their weights n, and a text goes to each block once, not to each pair; so a text in
+    very many pairs is read by several tasks, and a task holds one block.
+    """
+    spark = pairs.sparkSession
+    ordered = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a", "b", "n")
+    cut = staged(ordered.mapInArrow(_blocks_of_pairs, "a long, b long, block long"), "pair-blocks")
+    sides = cut.select("block", F.explode(F.array("a", "b")).alias("row_key")).distinct()
+    texts = keyed(docs, id_col, text_col).join(sides.select("row_key").distinct(), "row_key", "left_semi")
+    texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))  # exact copies are one text
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([make(t) for t in raw(block)], pa.binary())], names=["row_key", "data"])
+
+    data = sides.join(texts.mapInArrow(made, "row_key long, data binary"), "row_key").select("block", F.col("row_key").alias("a"), F.lit(None).cast("long").alias("b"), "data")
+    rows = data.unionByName(cut.select("block", "a", "b", F.lit(None).cast("binary").alias("data")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cut.select("block").distinct().count())
+    return rows.repartition(parts, "block").sortWithinPartitions("block", F.col("b").isNotNull())

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwatch.llm.common import blocks, keyed, raw, run_hashes, word_hashes
+from loamwatch.llm.common import blocks, keyed, pairs_with_texts, raw, run_hashes, word_hashes
 from loamwatch.operators.components import connected_components
 from loamwatch.staging import staged
 
@@ -43,8 +43,6 @@ ROOT, NUMBERS = 4096, 20
 MOST_BITS = 72
 #: Nearest pairs of a text and another component that two branches give in a round; eight times as many in the next if there were more.
 TESTS = 1024
-#: Shingles of the texts that a task compares at a time.
-AT_ONCE = 1 << 20
 
 
 def _codes(hashes: np.ndarray, codes: int) -> list[int]:
@@ -485,17 +483,6 @@ def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _blocks_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (a, b, n) -> (a, b, block): runs of pairs whose texts have about AT_ONCE shingles."""
-    from pyspark import TaskContext
-
-    base, before = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        ends = before + np.cumsum(batch.column(2).to_numpy())
-        before = int(ends[-1]) if len(ends) else before
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base + ends // AT_ONCE)], names=["a", "b", "block"])
-
-
 def _test(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by block: sets of texts (b is null), then the pairs to test."""
@@ -526,21 +513,7 @@ def similar_texts(pairs: DataFrame, docs: DataFrame, size: int, least: float, id
 
     Pairs are cut into blocks, and a text's set goes to each block once, not to each pair.
     """
-    spark = pairs.sparkSession
-    ordered = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a", "b", "n")
-    cut = staged(ordered.mapInArrow(_blocks_of_pairs, "a long, b long, block long"), "near-blocks")
-    sides = cut.select("block", F.explode(F.array("a", "b")).alias("row_key")).distinct()
-    texts = keyed(docs, id_col, text_col).join(sides.select("row_key").distinct(), "row_key", "left_semi")
-    texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))  # exact copies are one text
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([shingle_set(t, size).tobytes() for t in raw(block)], pa.binary())], names=["row_key", "shingles"])
-
-    sets = sides.join(texts.mapInArrow(hashed, "row_key long, shingles binary"), "row_key").select("block", F.col("row_key").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    rows = sets.unionByName(cut.select("block", "a", "b", F.lit(None).cast("binary").alias("shingles")))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cut.select("block").distinct().count())
-    dealt = rows.repartition(parts, "block").sortWithinPartitions("block", F.col("b").isNotNull())
+    dealt = pairs_with_texts(pairs, docs, lambda t: shingle_set(t, size).tobytes(), id_col, text_col)
     return dealt.mapInArrow(_test(least), "a long, b long")
 
 
