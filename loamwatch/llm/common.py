@@ -20,6 +20,8 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 8 << 20
 #: Words or shingles of the texts whose pairs a task compares at a time.
 AT_ONCE = 1 << 20
+#: Rows of the table that tells which texts are in no pair; the more pairs, the less it tells.
+BUCKETS = 1 << 19
 
 
 def body(text_col: str = "text") -> Column:
@@ -107,7 +109,11 @@ def pairs_with_texts(pairs: DataFrame, docs: DataFrame, make: Callable[[bytes],
     ordered = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a", "b", "n")
     cut = staged(ordered.mapInArrow(_blocks_of_pairs, "a long, b long, block long"), "pair-blocks")
     sides = cut.select("block", F.explode(F.array("a", "b")).alias("row_key")).distinct()
-    texts = keyed(docs, id_col, text_col).join(sides.select("row_key").distinct(), "row_key", "left_semi")
+    # texts in no pair mostly stay where they are: a table of BUCKETS rows at most tells them
+    bucket = F.pmod("row_key", F.lit(BUCKETS)).alias("bucket")
+    wanted = F.broadcast(sides.select(bucket).distinct())
+    texts = keyed(docs, id_col, text_col).withColumn("bucket", bucket).join(wanted, "bucket", "left_semi").drop("bucket")
+    texts = texts.join(sides.select("row_key").distinct(), "row_key", "left_semi")
     texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))  # exact copies are one text
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
