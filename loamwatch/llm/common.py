@@ -113,14 +113,15 @@ def pairs_with_texts(pairs: DataFrame, docs: DataFrame, make: Callable[[bytes],
     bucket = F.pmod("row_key", F.lit(BUCKETS)).alias("bucket")
     wanted = F.broadcast(sides.select(bucket).distinct())
     texts = keyed(docs, id_col, text_col).withColumn("bucket", bucket).join(wanted, "bucket", "left_semi").drop("bucket")
-    texts = texts.join(sides.select("row_key").distinct(), "row_key", "left_semi")
+    # both sides grow with the data, so these are merge joins at every size
+    texts = texts.join(sides.select("row_key").distinct().hint("merge"), "row_key", "left_semi")
     texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))  # exact copies are one text
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array([make(t) for t in raw(block)], pa.binary())], names=["row_key", "data"])
 
-    data = sides.join(texts.mapInArrow(made, "row_key long, data binary"), "row_key").select("block", F.col("row_key").alias("a"), F.lit(None).cast("long").alias("b"), "data")
+    data = sides.hint("merge").join(texts.mapInArrow(made, "row_key long, data binary"), "row_key").select("block", F.col("row_key").alias("a"), F.lit(None).cast("long").alias("b"), "data")
     rows = data.unionByName(cut.select("block", "a", "b", F.lit(None).cast("binary").alias("data")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cut.select("block").distinct().count())
     return rows.repartition(parts, "block").sortWithinPartitions("block", F.col("b").isNotNull())
