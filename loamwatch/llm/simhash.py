@@ -14,7 +14,8 @@ the column ``turn``, so their number adds rows, not jobs.
 
 A pair of branches returns a spanning forest of its links, nearest first, which keeps all components of codes. A
 branch knows the dense regions inside it, so that two branches of one region return a link, not all their pairs.
-Components of verified texts need more than a forest: ``near_duplicates`` tests the other pairs too.
+Components of verified texts need more than a forest: ``near_duplicates`` tests the other pairs too, in tasks that hold
+both texts; only links leave them.
 
 Null texts have no words; texts without words have fingerprint zero and link like any other. Repeated rows link.
 Very long texts are hashed whole, in blocks of their own. Component ids ignore null document ids; a component of
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwatch.llm.common import blocks, keyed, pairs_with_texts, raw, run_hashes, word_hashes
+from loamwatch.llm.common import AT_ONCE, blocks, keyed, pairs_with_texts, raw, run_hashes, word_hashes
 from loamwatch.operators.components import connected_components
 from loamwatch.staging import staged
 
@@ -41,8 +42,8 @@ LEAF, LEAVES, DENSE = 128, 128, 32
 ROOT, NUMBERS = 4096, 20
 #: Bits that the four codes of two texts may differ in: 0.8 similar texts differ in 39 on average (deviation 6), unlike ones in 128.
 MOST_BITS = 72
-#: Nearest pairs of a text and another component that two branches give in a round; eight times as many in the next if there were more.
-TESTS = 1024
+#: Texts of a chunk of a region, at most AT_ONCE shingles.
+CHUNK = 1024
 
 
 def _codes(hashes: np.ndarray, codes: int) -> list[int]:
@@ -111,8 +112,8 @@ def gray_rank(code: Column) -> Column:
 
 #: Nodes of the index. ``turn`` numbers the indexes of a table; ``own`` has the links inside a branch, ``hidden`` says that labels left close pairs out.
 _PARTS = ("sizes", "patterns", "masks", "codes", "labels")
-_BRANCH = "turn int, node long, pattern long, mask long, sizes binary, patterns binary, masks binary, codes binary, labels binary, keys array<long>, own binary"
-_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_BRANCH = "turn int, node long, pattern long, mask long, sizes binary, patterns binary, masks binary, codes binary, labels binary, own binary"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
 def arrow(schema: str) -> pa.Schema:
@@ -120,13 +121,13 @@ def arrow(schema: str) -> pa.Schema:
 
 
 def _build(prefix_bits: int, how: tuple[int, int, int], mark: Callable):
-    """Sorted (turn, code, key, group) of a partition -> branches. Leaves also end where the leading bits change, so none spans a coarse boundary.
+    """Sorted (turn, code, group) of a partition -> branches. Leaves also end where the leading bits change, so none spans a coarse boundary.
 
     ``mark`` makes the labels and own links of a branch from its arrays.
     """
     schema = arrow(_BRANCH)
 
-    def branch(turn: int, node: int, codes: np.ndarray, starts: np.ndarray, keys: np.ndarray, groups: np.ndarray) -> dict:
+    def branch(turn: int, node: int, codes: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> dict:
         first = codes[starts]
         sizes = np.diff(np.r_[starts, len(codes)])
         free = np.bitwise_or.reduceat(codes ^ np.repeat(first, sizes), starts)
@@ -135,7 +136,7 @@ def _build(prefix_bits: int, how: tuple[int, int, int], mark: Callable):
         i64 = lambda x: int(np.uint64(x).astype(np.int64))
         labels, own = mark(Branch(sizes, first & masks, masks, codes), groups, how)
         parts = (sizes.astype("<i4"), first & masks, masks, codes, labels)
-        return {"turn": turn, "node": node, "pattern": i64(first[0] & ~all_free), "mask": i64(~all_free), "keys": keys, "own": own.astype("<i4").tobytes()} | {n: x.tobytes() for n, x in zip(_PARTS, parts, strict=True)}
+        return {"turn": turn, "node": node, "pattern": i64(first[0] & ~all_free), "mask": i64(~all_free), "own": own.astype("<i4").tobytes()} | {n: x.tobytes() for n, x in zip(_PARTS, parts, strict=True)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -143,7 +144,7 @@ def _build(prefix_bits: int, how: tuple[int, int, int], mark: Callable):
         base, made = TaskContext.get().partitionId() << NUMBERS, 0
         shift = np.uint64(64 - prefix_bits) if prefix_bits else None
 
-        def cut(turn: int, codes: np.ndarray, keys: np.ndarray, groups: np.ndarray, last: bool) -> tuple[list[dict], int]:
+        def cut(turn: int, codes: np.ndarray, groups: np.ndarray, last: bool) -> tuple[list[dict], int]:
             """Branches of the codes, and where the rest begins that is held back unless these are the last of their turn."""
             nonlocal made
             rows, starts, at, begin, c = [], [0], 0, 0, 0
@@ -156,7 +157,7 @@ def _build(prefix_bits: int, how: tuple[int, int, int], mark: Callable):
                 if len(starts) == LEAVES or at == len(codes):
                     if at == len(codes) and not last:
                         break
-                    rows.append(branch(turn, base + made, codes[begin:at], np.asarray(starts) - begin, keys[begin:at], groups[begin:at]))
+                    rows.append(branch(turn, base + made, codes[begin:at], np.asarray(starts) - begin, groups[begin:at]))
                     made += 1
                     begin, starts = at, [at]
                 else:
@@ -165,7 +166,7 @@ def _build(prefix_bits: int, how: tuple[int, int, int], mark: Callable):
 
         held: tuple | None = None
         for batch in batches:
-            turns, codes, keys, groups = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            turns, codes, groups = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
             ends = np.r_[np.flatnonzero(turns[1:] != turns[:-1]) + 1, len(turns)] if len(turns) else []
             lo = 0
             for hi in ends:
@@ -173,7 +174,7 @@ def _build(prefix_bits: int, how: tuple[int, int, int], mark: Callable):
                 if held is not None and held[0] != turn:
                     yield pa.RecordBatch.from_pylist(cut(*held, True)[0], schema=schema)
                     held = None
-                now = [x[lo:hi] for x in (codes, keys, groups)]
+                now = [x[lo:hi] for x in (codes, groups)]
                 if held is not None:
                     now = [np.r_[x, y] for x, y in zip(held[1:], now, strict=True)]
                 rows, begin = cut(turn, *now, False)
@@ -358,49 +359,60 @@ def _mark_forest(own: Branch, groups: np.ndarray, how: tuple[int, int, int]) ->
     return np.zeros(0, "<i4") if plain else labels.astype("<i4"), np.column_stack([u, v, d])
 
 
-def _across(a: Branch, b: Branch, most: int, radius: int, top: int, top_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Close places (u of a, v of b, distance) in different groups (0 is a group of one's own), the nearest ``most`` of each u and group; and whether there were more."""
-    same, cut = a is b, False
+def _candidates(a: np.ndarray, b: np.ndarray, radius: int, least: float) -> np.ndarray:
+    """Which texts of two tables (FACTS) to test: in different groups, close in a code, sizes and all codes allow the similarity."""
+    size, other = a[:, None, 2], b[None, :, 2]
+    ok = ((a[:, None, 0] != b[None, :, 0]) | (a[:, None, 0] == 0)) & (np.minimum(size, other) >= least * np.maximum(size, other))
+    bits, close = np.zeros(ok.shape, np.int64), np.zeros(ok.shape, bool)
+    for k in range(3, a.shape[1]):
+        gap = np.bitwise_count((a[:, None, k] ^ b[None, :, k]).view(np.uint64))
+        bits += gap
+        close |= gap <= radius
+    bits[~(ok & close & (bits <= MOST_BITS * (a.shape[1] - 3) // 4))] = -1
+    return bits
+
+
+def _across(a: Branch, b: Branch, facts: int, least: float, radius: int, top: int, top_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest (places u of a, v of b, distance) of the pairs of two branches to test; labels are tables of FACTS."""
+    same, shift = a is b, 0 if a is b else len(a.codes)
+    ta, tb = a.labels.reshape(-1, facts), b.labels.reshape(-1, facts)
+    forest = Labels(np.arange(shift + len(b.codes)))
     found: list[tuple] = []
     near = _near(a.patterns, a.masks, b.patterns, b.masks, radius, top, top_radius)
     for i in np.flatnonzero(near.any(axis=1)):
         lo, hi = a.bounds[i], a.bounds[i + 1]
         at = np.concatenate([np.arange(b.bounds[j], b.bounds[j + 1]) for j in np.flatnonzero(near[i])])
-        gap = np.bitwise_count(a.codes[lo:hi, None] ^ b.codes[at][None, :])
-        x, y = np.nonzero(gap <= radius)
-        u, v, d = lo + x, at[y], gap[x, y].astype(np.int32)
-        g = b.labels[v]
-        ok = ((a.labels[u] != g) | (g == 0)) & ((u < v) if same else True)
-        u, v, d, g = u[ok], v[ok], d[ok], g[ok]
-        if len(u) > most:
-            order = np.lexsort((d, g, u))
-            new = np.r_[True, (u[order][1:] != u[order][:-1]) | (g[order][1:] != g[order][:-1])]
-            place = np.arange(len(u)) - np.maximum.accumulate(np.where(new, np.arange(len(u)), 0))
-            keep = np.sort(order[(place < most) | (g[order] == 0)])
-            cut |= len(keep) < len(u)
-            u, v, d = u[keep], v[keep], d[keep]
-        found.append((u, v, d))
-    return *_every(found), cut
-
-
-#: Links of codes or texts: a, and b or its place in the index. A distance of -1: there were more pairs than wanted.
-_FOUND = "turn int, a long, b long, node long, pos int, distance int"
-
-
-def _compare(find: Callable, label: str, by_code: bool):
-    """Rows sorted by (a, b): a branch, which comes first, against its partners; only the branch itself is held."""
+        x, y = np.nonzero(np.bitwise_count(a.codes[lo:hi, None] ^ b.codes[at][None, :]) <= radius)
+        once = (lo + x < at[y]) if same else np.ones(len(x), bool)
+        x, y = np.unique(x[once]), np.unique(y[once])
+        if not len(x):
+            continue
+        bits = _candidates(ta[lo + x], tb[at[y]], radius, least)
+        p, q = np.nonzero(bits >= 0)
+        u, v, d = lo + x[p], at[y[q]], bits[p, q]
+        ok = np.flatnonzero(u != v) if same else np.arange(len(u))
+        ok = ok[forest.label[u[ok]] != forest.label[shift + v[ok]]]
+        ok = ok[np.argsort(d[ok], kind="stable")]
+        ok = ok[forest.join(u[ok], shift + v[ok])]
+        found.append((u[ok], v[ok], d[ok]))
+    return _every(found)
+
+
+#: Links of codes or texts.
+_FOUND = "turn int, a long, b long, distance int"
+
+
+def _compare(find: Callable, label: str, key: Callable):
+    """Rows sorted by (a, b): a branch, which comes first, against its partners; only the branch itself is held. ``key`` names the codes of a branch."""
     schema = arrow(_FOUND)
 
     def load(batch: pa.RecordBatch, k: int) -> Branch:
         part = lambda i, t: np.frombuffer(batch.column(i)[k].as_py(), t)
         labels = part(7, label)
-        codes = part(6, np.uint64)
-        return Branch(part(3, "<i4"), part(4, np.uint64), part(5, np.uint64), codes, labels if len(labels) else None)
+        return Branch(part(3, "<i4"), part(4, np.uint64), part(5, np.uint64), part(6, np.uint64), labels if len(labels) else None)
 
-    def rows(turn: int, a, b, node, pos, d) -> pa.RecordBatch:
-        n = len(a)
-        fill = lambda v, t: pa.nulls(n, t) if v is None else pa.array(np.asarray(v), t) if np.ndim(v) else pa.array(np.full(n, v), t)
-        return pa.RecordBatch.from_arrays([fill(v, f.type) for v, f in zip((turn, a, b, node, pos, d), schema, strict=True)], schema=schema)
+    def rows(turn: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), turn, np.int32)), pa.array(a), pa.array(b), pa.array(d.astype(np.int32))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = keys = None
@@ -409,27 +421,25 @@ def _compare(find: Callable, label: str, by_code: bool):
                 turn, b = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
                 if batch.column(0)[k].as_py() == b:
                     own = load(batch, k)
-                    keys = own.codes.view(np.int64) if by_code else batch.column(8)[k].values.to_numpy()
-                    m = np.frombuffer(batch.column(9)[k].as_py() or b"", "<i4").reshape(-1, 3)
-                    if batch.column(10)[k].as_py() == 0 and len(m):  # one of the salts tells of it
-                        yield rows(turn, keys[m[:, 0]], keys[m[:, 1]], None, None, m[:, 2])
+                    keys = key(own)
+                    m = np.frombuffer(batch.column(8)[k].as_py() or b"", "<i4").reshape(-1, 3)
+                    if batch.column(9)[k].as_py() == 0 and len(m):  # one of the salts tells of it
+                        yield rows(turn, keys[m[:, 0]], keys[m[:, 1]], m[:, 2])
                     continue
                 other = load(batch, k)
-                u, v, d, cut = find(own, other)
-                if cut:
-                    yield rows(turn, keys[:1], None, b, np.zeros(1), np.full(1, -1))
+                u, v, d = find(own, other)
                 if len(u):
-                    yield rows(turn, keys[u], other.codes[v].view(np.int64) if by_code else None, None if by_code else b, None if by_code else v, d)
+                    yield rows(turn, keys[u], key(other)[v], d)
 
     return run
 
 
-def _searched(rows: DataFrame, n: int, how: tuple[int, int, int], mark: Callable, find: Callable, label: str, by_code: bool) -> tuple[DataFrame, DataFrame]:
-    """The index of ``rows`` (turn, code, key, group), n a turn, joined with itself: what ``find`` finds, and the branches."""
+def _searched(rows: DataFrame, n: int, how: tuple[int, int, int], mark: Callable, find: Callable, label: str, key: Callable) -> DataFrame:
+    """The index of ``rows`` (turn, code, key, group), n a turn, joined with itself: what ``find`` finds."""
     spark = rows.sparkSession
     prefix = min(16, max(0, (n // LEAF).bit_length() - 1))
     order = ["turn", "rank", "key"]
-    ordered = rows.withColumn("rank", gray_rank(F.col("code"))).repartitionByRange(*order).sortWithinPartitions(*order).select("turn", "code", "key", "group")
+    ordered = rows.withColumn("rank", gray_rank(F.col("code"))).repartitionByRange(*order).sortWithinPartitions(*order).select("turn", "code", "group")
     branches = staged(ordered.mapInArrow(_build(prefix, how, mark), _BRANCH), "gray-branches")
     pairs = staged(_node_pairs(branches.select("turn", "node", "pattern", "mask"), how), "gray-pairs")
     total, most = pairs.groupBy("a").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
@@ -438,10 +448,10 @@ def _searched(rows: DataFrame, n: int, how: tuple[int, int, int], mark: Callable
     salt = F.when(F.col("a") != F.col("b"), F.array(F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))).otherwise(F.array(*[F.lit(k) for k in range(salts)]) if salts < 1000 else F.sequence(F.lit(0), F.lit(salts - 1)))
     own = F.col("a") == F.col("b")
     joined = pairs.join(branches.withColumnRenamed("node", "b"), "b").withColumn("salt", F.explode(salt))
-    columns = ["a", "turn", "b", *_PARTS, F.when(own, F.col("keys")).alias("keys"), F.when(own, F.col("own")).alias("own"), "salt"]
+    columns = ["a", "turn", "b", *_PARTS, F.when(own, F.col("own")).alias("own"), "salt"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 128)
     dealt = joined.select(*columns).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "b")
-    return dealt.mapInArrow(_compare(find, label, by_code), _FOUND), branches
+    return dealt.mapInArrow(_compare(find, label, key), _FOUND)
 
 
 def _how(radius: int, rotations: int) -> tuple[int, int, int]:
@@ -457,11 +467,11 @@ def close_codes(codes: DataFrame, radius: int, rotations: int = 1) -> DataFrame:
     turns = distinct.select("code", F.explode(F.array(*[F.lit(t) for t in range(rotations)])).alias("turn"))
     rows = turns.select("turn", rotated("code", f"turn * {width}").alias("code")).withColumns({"key": F.col("code"), "group": F.lit(0).cast("long")})
 
-    def find(a: Branch, b: Branch) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    def find(a: Branch, b: Branch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         u, v, d, _ = connect(a, b, *how)
-        return u, v - len(a.codes), d, False
+        return u, v - len(a.codes), d
 
-    found, _ = _searched(rows, distinct.count(), how, _mark_forest, find, "<i4", True)
+    found = _searched(rows, distinct.count(), how, _mark_forest, find, "<i4", lambda branch: branch.codes.view(np.int64))
     back = f"64 - turn * {width}"
     return found.select(rotated("a", back).alias("u"), rotated("b", back).alias("v"), "distance")
 
@@ -530,6 +540,82 @@ def _unordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _test_blocks(radius: int, least: float, facts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (region, i, j, chunk, facts, data) sorted by block: links that connect groups of chunks i and j, most alike codes first."""
+        names = ["a", "b"]
+
+        def links(i: int, j: int, chunk: list, table: list, sets: list) -> pa.RecordBatch:
+            table, chunk = np.stack(table), np.asarray(chunk)
+            one, two = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+            groups, label = np.unique(table[:, 0], return_inverse=True)
+            alone = table[:, 0] == 0
+            label[alone] = len(groups) + np.flatnonzero(alone)
+            joined = Labels(np.arange(len(groups) + len(table)))
+            found = []
+            for lo in range(0, len(one), 256):
+                part = one[lo : lo + 256]
+                bits = _candidates(table[part], table[two], radius, least)
+                x, y = np.nonzero(bits >= 0)
+                found.append((part[x], two[y], bits[x, y]))
+            u, v, d = _every(found)
+            once = u < v if i == j else np.ones(len(u), bool)
+            u, v, d = u[once], v[once], d[once]
+            out = []
+            for k in np.argsort(d, kind="stable"):
+                p, q = joined.root(int(label[u[k]])), joined.root(int(label[v[k]]))
+                if p == q:
+                    continue
+                s, t = sorted((sets[u[k]], sets[v[k]]), key=len)
+                at = np.searchsorted(t, s)
+                at[at == len(t)] = 0
+                shared = int((t[at] == s).sum())
+                if shared >= least * (len(s) + len(t) - shared):
+                    joined.parent[max(p, q)] = min(p, q)
+                    out.append(k)
+            key = table[:, 1]
+            return pa.RecordBatch.from_arrays([pa.array(key[u[out]]), pa.array(key[v[out]])], names=names)
+
+        now, held = None, ([], [], [])
+        for batch in batches:
+            for region, i, j, chunk, fact, data in zip(*(batch.column(k) for k in range(6)), strict=True):
+                block = (region.as_py(), i.as_py(), j.as_py())
+                if block != now:
+                    if now is not None:
+                        yield links(*now[1:], *held)
+                    now, held = block, ([], [], [])
+                for part, x in zip(held, (chunk.as_py(), fact.values.to_numpy(), np.frombuffer(data.as_py(), np.uint64)), strict=True):
+                    part.append(x)
+        if now is not None:
+            yield links(*now[1:], *held)
+
+    return run
+
+
+def _links_of_regions(regions: DataFrame, known: DataFrame, docs: DataFrame, size: int, radius: int, least: float, facts: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links between texts of a region (node, component) in different groups, found where the texts are.
+
+    A region is cut into chunks of about CHUNK texts or AT_ONCE shingles; a task gets two chunks and returns links only.
+    """
+    spark = docs.sparkSession
+    rows = staged(regions.select(F.col("node").alias("row_key"), F.col("component").alias("region")).join(known.select("row_key", "facts"), "row_key"), "near-regions")
+    sizes = rows.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.col("facts")[2]) / AT_ONCE)).cast("int").alias("chunks"))
+    dealt = rows.join(sizes, "region").withColumn("chunk", F.pmod(F.xxhash64("row_key"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    block = dealt.select("region", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "facts", "row_key")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches):
+            sets = [shingle_set(t, size).tobytes() for t in raw(part)]
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("row_key")), pa.array(sets, pa.binary())], names=["row_key", "data"])
+
+    texts = keyed(docs, id_col, text_col).join(rows.select("row_key"), "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
+    data = texts.select("row_key", "text").mapInArrow(made, "row_key long, data binary")
+    full = block.hint("merge").join(data, "row_key").select("region", "i", "j", "chunk", "facts", "data")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return full.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(_test_blocks(radius, least, facts), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 11, rotations: int = 4, least: float = 0.8, codes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_key, group_id, group_key, first): groups of near-duplicate texts; first marks the one to keep.
 
@@ -537,8 +623,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 11, rotations:
     distinct shingles (texts of similarity 0.8 differ in 10 of 64 bits on average); a pair is a link if the texts'
     shingle sets have a Jaccard similarity of at least ``least``. First a forest is tested: each text with the first
     text of its code, and links that connect the close codes. Then one index of all codes and rotations, which
-    knows the components so far, gives every candidate pair between different components, nearest first, and those
-    are tested too; rounds go on until no pair was left out.
+    knows the components so far, gives a forest of the candidate pairs between different components. Its trees are
+    regions: every candidate pair left lies in one. A region is cut into chunks, two chunks with their shingle sets
+    meet in a task, and each candidate pair is tested there unless tested links connect it already.
     """
     names = [f"code{k}" for k in range(codes)]
     coded = staged(text_codes(docs, size, codes, id_col, text_col), "near-codes")
@@ -554,33 +641,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 11, rotations:
     links = staged(similar_texts(tested, docs, size, least, id_col, text_col), "near-links")
     labels = staged(connected_components(links, "a", "b"), "near-labels")
 
-    most = TESTS
-    while True:
-        turned = F.explode(F.array(*[F.struct(F.lit(c * rotations + t).alias("turn"), rotated(name, f"{t * width}").alias("code")) for c, name in enumerate(names) for t in range(rotations)]))
-        grouped = texts.join(labels.withColumnRenamed("node", "row_key"), "row_key", "left").select("row_key", F.coalesce("component", F.lit(0)).alias("group"), *names)
-        rows = grouped.select("row_key", "group", turned.alias("t")).select("t.turn", "t.code", F.col("row_key").alias("key"), "group")
-
-        def find(a: Branch, b: Branch, most: int = most) -> tuple:
-            return _across(a, b, most, *how)
-
-        def mark(own: Branch, groups: np.ndarray, how: tuple[int, int, int], find: Callable = find) -> tuple[np.ndarray, np.ndarray]:
-            own.labels = groups
-            u, v, d, cut = find(own, own)
-            return groups, np.r_[np.column_stack([u, v, d]), np.array([[0, 0, -1]])[: int(cut)]]
-
-        found, branches = _searched(rows, n, how, mark, find, "<i8", False)
-        found = staged(found, "near-found")
-        placed = branches.select("node", F.posexplode("keys").alias("pos", "key"))
-        open_ = found.where(F.col("b").isNull() & (F.col("distance") >= 0)).select("a", "node", "pos").join(placed, ["node", "pos"]).select("a", F.col("key").alias("b"))
-        pairs = _unordered(open_.unionByName(found.where(F.col("b").isNotNull() & (F.col("distance") >= 0)).select("a", "b")))
-        now = staged(_plausible(pairs.join(tested, ["a", "b"], "left_anti"), texts, names, least), "near-tested")
-        fresh = staged(similar_texts(now, docs, size, least, id_col, text_col), "near-links")
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            labels = staged(connected_components(links, "a", "b"), "near-labels")
-        if found.where("distance < 0").isEmpty():
-            break
-        tested, most = tested.unionByName(now), 8 * most
+    facts = 3 + codes
+    known = texts.join(labels.withColumnRenamed("node", "row_key"), "row_key", "left").withColumn("facts", F.array(F.coalesce("component", F.lit(0)), "row_key", "n", *names))
+    known = staged(known.select("row_key", "facts", *names), "near-facts")
+    turned = F.explode(F.array(*[F.struct(F.lit(c * rotations + t).alias("turn"), rotated(name, f"{t * width}").alias("code")) for c, name in enumerate(names) for t in range(rotations)]))
+    rows = known.select("row_key", "facts", turned.alias("t")).select("t.turn", "t.code", F.col("row_key").alias("key"), F.col("facts").alias("group"))
+
+    def find(a: Branch, b: Branch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _across(a, b, facts, least, *how)
+
+    def mark(own: Branch, groups: np.ndarray, how: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+        own.labels = np.concatenate(groups)
+        return own.labels, np.column_stack(find(own, own))
+
+    found = staged(_searched(rows, n, how, mark, find, "<i8", lambda branch: branch.labels.reshape(-1, facts)[:, 1]), "near-found")
+    regions = staged(connected_components(found, "a", "b"), "near-regions")
+    fresh = staged(_links_of_regions(regions, known, docs, size, radius, least, facts, id_col, text_col), "near-links")
+    if not fresh.isEmpty():
+        labels = staged(connected_components(links.unionByName(fresh), "a", "b"), "near-labels")
 
     rows = coded.select("doc_id", "row_key").distinct().join(labels.withColumnRenamed("node", "row_key"), "row_key", "left")
     rows = staged(rows.select("doc_id", "row_key", F.coalesce("component", "row_key").alias("component")), "near-rows")

@@ -128,7 +128,7 @@ def edited(rng, words, n):
 def test_groups_are_those_of_all_candidates(spark, monkeypatch, dense):
     """Copies of templates around the threshold: every pair within the radius in a code counts, not a forest of them."""
     monkeypatch.setattr(S, "DENSE", dense)
-    monkeypatch.setattr(S, "TESTS", 1)
+    monkeypatch.setattr(S, "CHUNK", 16)
     rng = random.Random(5)
     texts = []
     for size in (150, 40, 40, 10):
