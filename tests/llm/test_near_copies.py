@@ -164,3 +164,19 @@ def test_pairs_at_the_threshold_are_found(spark):
         pairs += 1
     got = {r.doc_id: r.group_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= 295
+
+
+def test_candidates_are_those_of_the_plain_rules():
+    """Codes with either sign bit, groups of one's own, sizes at the bound."""
+    rng = np.random.default_rng(3)
+    near = lambda base: base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 24), replace=False))
+    bases = [int(x) for x in rng.integers(0, 1 << 63, 4, dtype=np.uint64) * np.uint64(2)]
+    rows = [[int(rng.integers(0, 3)), k, int(rng.choice([79, 80, 100])), *[near(b) for b in bases]] for k in range(60)]
+    table = np.array([r[:3] + [c - (1 << 64) if c >> 63 else c for c in r[3:]] for r in rows], np.int64)
+    bits = S._candidates(table[:20], table, 11, 0.8)
+    for i, a in enumerate(rows[:20]):
+        for j, b in enumerate(rows):
+            gaps = [(x ^ y).bit_count() for x, y in zip(a[3:], b[3:], strict=True)]
+            ok = (a[0] != b[0] or a[0] == 0) and min(a[2], b[2]) >= 0.8 * max(a[2], b[2]) and min(gaps) <= 11 and sum(gaps) <= S.MOST_BITS
+            assert bits[i, j] == (sum(gaps) if ok else -1)
+    assert (bits >= 0).sum() > 50
