@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loamwatch.llm import decontaminate, line_dedup, passages, pii, quality, secrets, sentencepieces, simhash, token_counts, token_store
+from loamwatch.llm import decontaminate, fill_middle, line_dedup, merges, passages, pii, quality, secrets, sentencepieces, simhash, token_counts, token_store, vector_codes
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_token_ids": token_store.op10_token_ids,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_bpe": merges.op13_bpe,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op5_quality_rules": quality.ORACLE}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op5_quality_rules": quality.ORACLE, "op11_fill_middle": fill_middle.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
