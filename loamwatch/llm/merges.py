@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamwatch.llm import vocab
 from loamwatch.llm.common import blocks, body
@@ -203,7 +204,7 @@ def decode_ids(rows: DataFrame, path: str | None = None, ids_col: str = "token_i
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, decode_block(batch.column(place), path)], names=[*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op13_bpe(spark, sf_dir: str) -> DataFrame:
