@@ -42,6 +42,17 @@ def components(spark, d):
     return connected_components(_edges(spark, d), "i", "j")
 
 
+_STATISTICS = _REACH.replace("SELECT node, min(other) AS component FROM reach GROUP BY 1", """, comp AS (SELECT node, min(other) AS community FROM reach GROUP BY 1)
+SELECT community, count(*) AS size, round(avg(day) FILTER (WHERE brk), 4) AS mean_day, min(day) FILTER (WHERE brk) AS first_day, max(day) FILTER (WHERE brk) AS last_day FROM comp JOIN nodes ON id = node GROUP BY 1 HAVING count(*) >= 3""")
+
+
+@query("d28_component_statistics", _STATISTICS)
+def component_statistics(spark, d):
+    """Day statistics of groups of several members; the groups are components, which SQL can find too."""
+    t = nodes(spark, d).withColumnRenamed("id", "node").join(connected_components(_edges(spark, d), "i", "j").withColumnRenamed("component", "community"), "node")
+    return C.statistics(t, 3).withColumn("mean_day", F.round("mean_day", 4))
+
+
 @query("i06_d28_outlines")
 def outlines(spark, d):
     """Communities of several members with their day statistics and outline."""
