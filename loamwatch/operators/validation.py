@@ -84,8 +84,8 @@ def classify(rows: DataFrame, theta: int = 60) -> DataFrame:
     # 6
     t = t.withColumn("_redo", F.max(num(has & (F.col("_sum") == 0) & (an == 2) & (vb == 2))).over(coord) == 1)
     redo = drop_conflicts(t.where("_redo"), ["buffer_id", *COORD], "d", "tBreak", "data", ["nome", "id"])
-    close = num(d <= theta)
-    redo = redo.withColumns({"VP": close, "FP": 1 - close, "FN": 1 - close, "VN": F.lit(0)})
+    # a row without a distance is neither near nor far; 7 drops it
+    redo = redo.withColumns({"VP": num(d <= theta), "FP": num(d > theta), "FN": num(d > theta), "VN": F.lit(0)})
     t = t.where("NOT _redo").unionByName(redo)
     # 7
     t = t.where((F.col("VP") + F.col("FP") + F.col("FN") + F.col("VN") > 0) & ~F.coalesce(F.col("tipo").isin("Agricultura", "Agua"), F.lit(False)))

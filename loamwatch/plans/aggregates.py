@@ -19,12 +19,14 @@ def medians(spark, d):
     return X.ndvi_median(spark, d).withColumn("med", F.round("med", 6))
 
 
-@query("d02_pivot_dates", X.with_sql("ndvi", """
-SELECT id, round(arg_min(med, day) FILTER (WHERE year(day) = 1996), 6) AS y1996, round(arg_min(med, day) FILTER (WHERE year(day) = 1997), 6) AS y1997, round(arg_min(med, day) FILTER (WHERE year(day) = 1998), 6) AS y1998
-FROM ndvi WHERE year(day) BETWEEN 1996 AND 1998 AND med IS NOT NULL GROUP BY id"""))
+YEARS = range(1995, 2002)  # those of the table
+_YEARS = ", ".join(f"round(arg_min(med, day) FILTER (WHERE year(day) = {y}), 6) AS y{y}" for y in YEARS)
+
+
+@query("d02_pivot_dates", X.with_sql("ndvi", f"SELECT id, {_YEARS} FROM ndvi WHERE med IS NOT NULL GROUP BY id"))
 def pivot(spark, d):
     n = X.ndvi_median(spark, d).where("med IS NOT NULL").withColumn("y", F.concat(F.lit("y"), F.year("day")))
-    return n.groupBy("id").pivot("y", ["y1996", "y1997", "y1998"]).agg(F.round(F.min_by("med", "day"), 6)).where("y1996 IS NOT NULL OR y1997 IS NOT NULL OR y1998 IS NOT NULL")
+    return n.groupBy("id").pivot("y", [f"y{y}" for y in YEARS]).agg(F.round(F.min_by("med", "day"), 6))
 
 
 @query("d03_ordered_collect", X.with_sql("acts", """

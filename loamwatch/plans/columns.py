@@ -116,12 +116,18 @@ def digit_sums(spark, d):
     return t.where(S.even_digit_sum(F.col("k"))).select("o_orderkey")
 
 
-@query("b22_g5_areas", X.with_sql("parcels", "SELECT id_gleba, 35.0 AS area, 0.0035 AS ha FROM parcels WHERE minx >= 0"))
+@query("b22_g5_areas", X.with_sql("parcels", """
+SELECT id_gleba, round(area, 6) AS area, round(area / 10000, 9) AS ha
+FROM (SELECT id_gleba, (3 + k % 5) * (2 + k % 3) + (3 + k % 5) * (k % 4) / 2.0 AS area FROM (SELECT id_gleba, id_gleba::BIGINT AS k FROM parcels)) WHERE area BETWEEN 10 AND 30"""))
 def areas(spark, d):
+    """Areas of gabled rings, whose width, height and gable depend on the key."""
     from loamwatch.functions import geometry as G
 
-    a = G.area(F.col("ring"))
-    return X.parcels(spark, d).where(a.between(10, 1_000_000)).select("id_gleba", F.round(a, 6).alias("area"), F.round(a / 10000, 9).alias("ha"))
+    k, x, y = F.col("id_gleba").cast("long"), F.col("minx"), F.col("miny")
+    w, h = 3 + k % 5, 2 + k % 3
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    a = G.area(F.array(corner(x, y), corner(x + w, y), corner(x + w, y + h), corner(x + w / 2, y + h + k % 4), corner(x, y + h)))
+    return X.parcels(spark, d).where(a.between(10, 30)).select("id_gleba", F.round(a, 6).alias("area"), F.round(a / 10000, 9).alias("ha"))
 
 
 @query("b23_b24_interval_labels", X.with_sql("labels_px", """

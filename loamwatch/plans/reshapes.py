@@ -53,10 +53,10 @@ def distinct(spark, d):
     return X.activities(spark, d).select("id_gleba", "activity").dropDuplicates()
 
 
-@query("f07_seeded_sample")
+@query("f07_seeded_sample", X.with_sql("obs", "SELECT x, y, l_orderkey, l_linenumber FROM obs ORDER BY md5(concat_ws(' ', 123, l_orderkey, l_linenumber)), l_orderkey, l_linenumber LIMIT 1000"))
 def sample(spark, d):
-    """A fixed sample of 1,000 pixels' observations: the feature is the size of the sample."""
-    return X.observations(spark, d).orderBy(F.xxhash64("l_orderkey", "l_linenumber", F.lit(123)), "l_orderkey", "l_linenumber").limit(1000).select("x", "y", "l_orderkey", "l_linenumber")
+    """A fixed sample of 1,000 pixels' observations, by a hash of seed and key: the feature is the size of the sample."""
+    return X.observations(spark, d).orderBy(F.md5(F.concat_ws(" ", F.lit(123), "l_orderkey", "l_linenumber")), "l_orderkey", "l_linenumber").limit(1000).select("x", "y", "l_orderkey", "l_linenumber")
 
 
 @query("g01_parallel_explode", X.with_sql("obs seg", "SELECT x_coord, y_coord, CASE WHEN keep THEN tBreak END AS tBreak, CASE WHEN keep THEN changeProb END AS changeProb FROM (SELECT DISTINCT x_coord, y_coord, keep, CASE WHEN keep THEN tBreak END AS tBreak, CASE WHEN keep THEN changeProb END AS changeProb, CASE WHEN keep THEN flag END AS flag FROM (SELECT *, x_coord % 20 = 0 AS keep FROM seg))"))
@@ -76,10 +76,12 @@ def analyst(spark, d):
     return analyst_rows(s, ["x_coord", "y_coord", "flag"], [("data_1", "tipo_1"), ("data_3", "tipo_2")], ["data_1", "data_3"]).select("x_coord", "y_coord", "flag", "part", F.col("data").alias("day"), F.col("tipo").alias("kind"))
 
 
-@query("g04_single_parts", X.with_sql("parcels", "SELECT id_gleba, p::INT AS part, 2 AS parts, CASE p WHEN 0 THEN 35.0 ELSE 6.0 END AS area FROM parcels, (SELECT unnest([0, 1]) AS p)"))
+@query("g04_single_parts", X.with_sql("parcels", """
+SELECT id_gleba, p::INT AS part, (1 + k % 3)::INT AS parts, (2 + p + k % 4) * (1.0 + k % 2) AS area FROM (SELECT id_gleba, id_gleba::BIGINT AS k FROM parcels), (SELECT unnest([0, 1, 2]) AS p) WHERE p <= k % 3"""))
 def parts(spark, d):
-    x, y = F.col("minx"), F.col("miny")
-    rings = F.array(F.col("ring"), G.rectangle(x + 100, y, x + 103, y + 2))
+    """One to three parts of different sizes."""
+    k, x, y = F.col("id_gleba").cast("long"), F.col("minx"), F.col("miny")
+    rings = F.transform(F.sequence(F.lit(0), (k % 3).cast("int")), lambda p: G.rectangle(x + 100 * p, y, x + 100 * p + 2 + p + k % 4, y + 1 + k % 2))
     t = X.parcels(spark, d).select("id_gleba", F.size(rings).alias("parts"), F.posexplode(rings).alias("part", "r"))
     return t.select("id_gleba", "part", "parts", F.round(G.area(F.col("r")), 6).alias("area"))
 

@@ -66,7 +66,7 @@ c7 AS (SELECT * REPLACE (CASE WHEN {_B('FP = 1 AND an = 1 AND d = m AND vb IN (2
 c8 AS (SELECT *, max({_B('tBreak IS NOT NULL AND total = 0 AND an = 2 AND vb = 2')}) OVER (PARTITION BY x_coord, y_coord) AS redo FROM c7),
 c9 AS (SELECT *, first(d) OVER w AS d0, first(tBreak) OVER w AS b0, first(data) OVER w AS a0 FROM c8 WHERE redo = 1 WINDOW w AS (PARTITION BY buffer_id, x_coord, y_coord ORDER BY d NULLS LAST, nome, id)),
 final AS (SELECT x_coord, y_coord, id, nome, an, delta_min, border, VP, FP, FN, VN FROM c8 WHERE redo = 0
- UNION ALL SELECT x_coord, y_coord, id, nome, an, delta_min, border, {_B('d <= 60')}, 1 - {_B('d <= 60')}, 1 - {_B('d <= 60')}, 0 FROM c9 WHERE NOT (({_B('tBreak = b0')} = 1 OR {_B('data = a0')} = 1) AND d IS DISTINCT FROM d0))
+ UNION ALL SELECT x_coord, y_coord, id, nome, an, delta_min, border, {_B('d <= 60')}, {_B('d > 60')}, {_B('d > 60')}, 0 FROM c9 WHERE NOT (({_B('tBreak = b0')} = 1 OR {_B('data = a0')} = 1) AND d IS DISTINCT FROM d0))
 """
 _classes = lambda body: X.with_sql("obs seg polys", _CLASSES + body).replace("\n,\n", ",\n").replace("\n,", ",\n")
 

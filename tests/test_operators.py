@@ -105,3 +105,17 @@ def test_each_break_gets_one_date(spark):
     df = spark.createDataFrame(rows, "x_coord int, y_coord int, tBreak int, data string, d int")
     got = {(r.x_coord, r.tBreak, r.data) for r in V.drop_conflicts(df, ["x_coord", "y_coord"], "d", "tBreak", "data", ["data"]).collect()}
     assert got == {(1, 10, "a"), (1, 20, "b"), (2, 10, "a")}
+
+
+def test_rows_without_a_distance_are_neither_near_nor_far(spark):
+    """Two dates that are nearest to the same break: the point's rows are set anew, and those without a break get nothing."""
+    a, b = "2000-03-01", "2001-08-01"
+    rows = [  # breaks 5 and 100 days from a and b, 200 and 150 days from them, and a row without a break
+        (1, "p1_1", 2, 10, a, 5), (1, "p1_2", 2, 10, b, 100), (1, "p1_1", 2, 20, a, 200), (1, "p1_2", 2, 20, b, 150), (1, "p1_1", 2, None, a, None),
+        (1, "p2_1", 0, 10, None, None),  # the same point in a polygon without dates
+    ]
+    df = spark.createDataFrame([(7, 7, p, n, f"s{t}", an, t, d, m, "x") for p, n, an, t, d, m in rows], "x_coord int, y_coord int, buffer_id int, nome string, id string, analysts int, tBreak long, data string, delta_min int, tipo string")
+    got = {(r.nome, r.tBreak): (r.VP, r.FP, r.FN, r.VN) for r in V.classify(df).collect()}
+    assert got[("p1_1", 10)] == (1, 0, 0, 0)
+    assert ("p1_1", None) not in got or got[("p1_1", None)] == (0, 0, 1, 0)
+    assert all(v != (0, 1, 1, 0) for (_, t), v in got.items() if t is None)
