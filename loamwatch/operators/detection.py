@@ -2,19 +2,28 @@
 
 The kernel works on plain arrays of the clean, date-sorted observations of one pixel. An observation that turns
 out to be an outlier is deleted from them, so positions always count what is left. It decides on three bands,
-(ndvi, green, swir2); fits share one centred design matrix and one Gram matrix for all bands.
+(ndvi, green, swir2).
+
+A task takes pixels in blocks. Each pixel's control loop is a generator that asks for fits of windows; the loops of a
+block advance together, and the fits that they ask for are solved at once as stacked 7 x 7 systems. Gram matrices are
+differences of running sums, so a window costs the same whatever its length; pixels with the same dates share theirs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass, field, replace  # noqa: F401  replace overrides parameters
+from itertools import islice
 from math import ceil, erfc, exp, pi, sqrt
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loamwatch.functions import scalars as S
 from loamwatch.schemas import SEGMENTS
@@ -56,6 +65,24 @@ class Fit:
     rmse: float
     residual: np.ndarray
 
+    def at(self, places) -> np.ndarray:
+        """Residuals at places of the window."""
+        return self.residual[places]
+
+
+@dataclass
+class WindowFit:
+    """The same, with residuals that are computed where they are asked for."""
+
+    coef: np.ndarray
+    intercept: float
+    rmse: float
+    x: np.ndarray
+    y: np.ndarray
+
+    def at(self, places) -> np.ndarray:
+        return self.y[places] - self.x[places] @ self.coef - self.intercept
+
 
 def design_matrix(t: np.ndarray, year: float = 365.2425) -> np.ndarray:
     w = 2 * pi * t / year
@@ -171,7 +198,11 @@ def robust_outliers(t: np.ndarray, y: np.ndarray, vario: np.ndarray, p: Paramete
     e = x @ np.linalg.pinv(np.linalg.qr(x)[1])
     stretch = 1 / np.sqrt(1 - np.minimum(0.9999, (e * e).sum(axis=1)))
     eps = np.finfo(float).eps
-    scale_of = lambda r: float(np.median(np.sort(np.abs(r))[4:])) / 0.6745 if len(r) > 4 else 0.0
+
+    def scale_of(r: np.ndarray) -> float:
+        """Median of the absolute residuals without the four least, as a deviation."""
+        least, n = np.sort(np.abs(r)), len(r) - 4
+        return float(least[4 + (n - 1) // 2] + least[4 + n // 2]) / 2 / 0.6745 if n > 0 else 0.0
 
     def weighted(v: np.ndarray, weights: np.ndarray) -> np.ndarray:
         s = np.sqrt(weights)
@@ -180,11 +211,12 @@ def robust_outliers(t: np.ndarray, y: np.ndarray, vario: np.ndarray, p: Paramete
     out = np.zeros(len(t), bool)
     for b in p.outlier_bands:
         v = y[b]
+        floor = eps * float(np.std(v))
         coef = weighted(v, np.ones(len(v)))
         if scale_of(v - x @ coef) >= eps:
             for _ in range(4):
                 r = (v - x @ coef) * stretch
-                scale = max(eps * float(np.std(v)), scale_of(r))
+                scale = max(floor, scale_of(r))
                 if scale <= 0:
                     break
                 u = r / scale / 4.685
@@ -210,13 +242,13 @@ def magnitudes(residuals: np.ndarray, vario: np.ndarray, rmse: np.ndarray) -> np
 
 def instability(fits: list[Fit], vario: np.ndarray, span: float) -> float:
     """How far the slope over the span and the end residuals of a fit exceed its noise, squared and summed over bands."""
-    return sum(((abs(f.coef[0] * span) + abs(f.residual[0]) + abs(f.residual[-1])) / max(v, f.rmse, 1e-12)) ** 2 for f, v in zip(fits, vario, strict=True))
+    return sum(((abs(f.coef[0] * span) + np.abs(f.at([0, -1])).sum()) / max(v, f.rmse, 1e-12)) ** 2 for f, v in zip(fits, vario, strict=True))
 
 
 def seasonal_rmse(fits: list[Fit], t: np.ndarray, at: float) -> np.ndarray:
     """Norm over four of each band's 24 residuals nearest in the season."""
     near = same_season(t, at, 24)
-    return np.array([np.linalg.norm(f.residual[near]) / 4 for f in fits])
+    return np.array([np.linalg.norm(f.at(near)) / 4 for f in fits])
 
 
 def same_season(t: np.ndarray, at: float, n: int = 24) -> np.ndarray:
@@ -225,6 +257,10 @@ def same_season(t: np.ndarray, at: float, n: int = 24) -> np.ndarray:
     return np.argsort(np.abs(np.round(d / 365.25) * 365.25 - d), kind="stable")[:n]
 
 
+#: A part of the control loop: asks for fits of windows (a, b, terms), is sent them, and returns its result.
+Asks = Generator[tuple[int, int, int], list, Any]
+
+
 # the kernel -------------------------------------------------------------------------------------------------
 
 class Series:
@@ -238,18 +274,19 @@ class Series:
         self.vario = variogram(self.t, self.y)
         self.x = design_matrix(self.t, p.year)
         self.found: list[dict] = []
-        self.signs: dict[tuple[int, int], np.ndarray] = {}
+        self.sums: Sums | None = None
+        #: terms -> coefficients of the last fit, where the next one starts
+        self.last: dict[int, np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.t)
 
     def drop(self, where) -> None:
         self.t, self.y, self.x = np.delete(self.t, where), np.delete(self.y, where, axis=1), np.delete(self.x, where, axis=0)
+        self.sums = None
 
-    def fits(self, a: int, b: int, terms: int) -> list[Fit]:
-        if self.p.fitter is lasso_fit:
-            return lasso_fit(self.t[a:b], self.y[:, a:b], terms, self.p.alpha, self.p.year, self.x[a:b], self.signs)
-        return self.p.fitter(self.t[a:b], self.y[:, a:b], terms, self.p.alpha, self.p.year)
+    def fits(self, a: int, b: int, terms: int) -> list:
+        return fit_windows([(self, a, b, terms)], {})[0]
 
     def residuals(self, fits: list[Fit], at) -> np.ndarray:
         x = self.x[at]
@@ -261,8 +298,8 @@ class Series:
     def stable(self, fits: list[Fit], a: int, b: int) -> bool:
         return instability(fits, self.vario, self.t[b - 1] - self.t[a]) < self.limit
 
-    def start(self, a: int, b: int) -> tuple[int, int, list[Fit] | None]:
-        """The next window whose fit is stable."""
+    def start(self, a: int, b: int) -> Asks:
+        """The next window whose fit is stable: (a, b, fits)."""
         while b + self.p.least < len(self):
             if not self.long_enough(self.t[a:b]):
                 b += 1
@@ -275,7 +312,7 @@ class Series:
             if bad.any():
                 self.drop(a + np.flatnonzero(bad))
                 b -= int(bad.sum())
-            fits = self.fits(a, b, 4)
+            fits = yield a, b, 4
             if self.stable(fits, a, b):
                 return a, b, fits
             a, b = a + 1, b + 1
@@ -301,7 +338,7 @@ class Series:
             a -= 1
         return a, b
 
-    def forward(self, a: int, b: int) -> tuple[int, int]:
+    def forward(self, a: int, b: int) -> Asks:
         """Takes in later observations until a change; keeps the segment."""
         fits, fitted, span, change = None, (a, b), 0.0, 0
         res, first = None, b
@@ -309,7 +346,8 @@ class Series:
             first = b
             if fits is None or b - a < 24 or self.t[b - 1] - self.t[a] >= self.p.refit_years * span:
                 span = self.t[b - 1] - self.t[a]
-                fitted, fits = (a, b), self.fits(a, b, terms_for(b - a))
+                fits = yield a, b, terms_for(b - a)
+                fitted = (a, b)
             res = self.residuals(fits, np.arange(b, min(b + self.peek, len(self))))
             if b - a <= self.p.window_rmse:
                 rmse = np.array([f.rmse for f in fits])
@@ -326,65 +364,250 @@ class Series:
         self.keep(a, b, min(first, len(self) - 1), fits, np.median(np.abs(res), axis=1), change)
         return a, b
 
-    def catch(self, a: int, b: int) -> None:
+    def catch(self, a: int, b: int) -> Asks:
         """A plain fit of what no stable window covers."""
-        self.keep(a, b, min(b, len(self) - 1), self.fits(a, b, 4), np.zeros(len(self.y)), 0)
+        fits = yield a, b, 4
+        self.keep(a, b, min(b, len(self) - 1), fits, np.zeros(len(self.y)), 0)
 
     def keep(self, a: int, b: int, at: int, fits: list[Fit], magnitude: np.ndarray, change: int) -> None:
         self.found.append({"start": self.t[a], "end": self.t[b - 1], "break": self.t[at], "n": b - a, "change": change, "fits": fits, "magnitude": magnitude})
 
-    def run(self) -> list[dict]:
+    def run(self) -> Asks:
+        """The control loop; returns the segments."""
         if len(self) <= self.p.least:
             return []
         a, b, end, begun = 0, self.p.least, 0, False
         while b <= len(self) - self.p.least:
-            a, b, fits = self.start(a, b)
+            a, b, fits = yield from self.start(a, b)
             if fits is None:
                 break
             if a > end:
                 a, b = self.back(a, b, fits, end)
             if a - end > self.peek and not begun:
-                self.catch(end, a)
+                yield from self.catch(end, a)
                 begun = True
             if b + self.peek > len(self):
                 break
-            a, b = self.forward(a, b)
+            a, b = yield from self.forward(a, b)
             end = b
             a, b = b, b + self.p.least
         if end + self.peek < len(self):
-            self.catch(end, len(self))
+            yield from self.catch(end, len(self))
         return self.found
 
 
+@dataclass
+class Sums:
+    """Running sums over a series: of products of (1, design columns) with themselves and with the bands, and of squared bands.
+
+    Dates count from the first one and bands from their first value, which keeps the sums small.
+    """
+
+    xx: np.ndarray
+    xy: np.ndarray
+    yy: np.ndarray
+    day: float
+    level: np.ndarray
+
+    @classmethod
+    def of(cls, s: Series, shared: dict[bytes, np.ndarray]) -> Sums:
+        """``shared``: the first sums of a block's dates, which pixels of an image series have in common."""
+        day, level = s.t[0], s.y[:, 0].copy()
+        x = np.column_stack([np.ones(len(s)), s.x])
+        x[:, 1] -= day
+        running = lambda v: np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, axis=0)])
+        if (xx := shared.get(dates := s.t.tobytes())) is None:
+            xx = shared[dates] = running(x[:, :, None] * x[:, None, :])
+        y = (s.y - level[:, None]).T
+        return cls(xx, running(x[:, :, None] * y[:, None, :]), running(y * y), day, level)
+
+
+def solve_stack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(a, b[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        return np.array([_solve(m, v) for m, v in zip(a, b, strict=True)])
+
+
+def sparse_solve_stack(gram: np.ndarray, cross: np.ndarray, alpha: float, used: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """``sparse_solve`` of many problems at once, by the same steps, each begun at the coefficients ``begin``.
+
+    used: which columns a problem has. All begin with a move along the signs of ``begin``; then members come in one by one.
+    """
+    n = cross.shape[1]
+    scale = np.sqrt(np.maximum(np.einsum("kii->ki", gram), 1e-300))
+    g, c, a = gram / (scale[:, :, None] * scale[:, None, :]), cross / scale, alpha / scale
+    w = np.where(used, begin * scale, 0.0)
+    sign = np.sign(w)
+    near = 1e-9 * np.maximum(1.0, np.abs(np.where(used, c, 0.0)).max(axis=1))
+    eye = np.eye(n)
+    todo, pick = np.arange(len(c)), ~sign.any(axis=1)  # pick: whether a new member is due
+    for _ in range(50 * n):
+        fresh = todo[pick[todo]]
+        if len(fresh):
+            slack = c[fresh] - np.einsum("kij,kj->ki", g[fresh], w[fresh])
+            want = np.where(used[fresh] & (sign[fresh] == 0), np.abs(slack) - a[fresh], -np.inf)
+            j = want.argmax(axis=1)
+            row = np.arange(len(fresh))
+            over = want[row, j] > near[fresh]
+            sign[fresh[over], j[over]] = np.sign(slack[row, j][over])
+            todo = todo[~np.isin(todo, fresh[~over])]
+        if not len(todo):
+            break
+        act = sign[todo] != 0
+        system = np.where(act[:, :, None] & act[:, None, :], g[todo], eye)
+        goal = solve_stack(system, np.where(act, c[todo] - a[todo] * sign[todo], 0.0))
+        wrong = np.sign(goal) * sign[todo] < 0
+        back = wrong.any(axis=1)
+        w[todo[~back]] = goal[~back]
+        if back.any():
+            at, v = todo[back], w[todo[back]]
+            way = v - goal[back]
+            step = np.where(wrong[back], v / np.where(way == 0, 1, way), np.inf)
+            k = step.argmin(axis=1)
+            row = np.arange(len(at))
+            v = v - np.maximum(0.0, step[row, k])[:, None] * np.where(act[back], way, 0.0)
+            v[row, k] = 0.0
+            w[at] = v
+            sign[at, k] = 0.0
+        pick[todo] = ~back | ~sign[todo].any(axis=1)
+    for k in todo:  # none, unless rounding makes it go in circles
+        u = np.flatnonzero(used[k])
+        w[k, u] = sparse_solve(gram[k][np.ix_(u, u)], cross[k, u], alpha) * scale[k, u]
+    return w / scale
+
+
+def fit_windows(asked: list[tuple[Series, int, int, int]], shared: dict[bytes, np.ndarray]) -> list[list]:
+    """Fits of windows (series, a, b, terms), one list of fits of all bands for each."""
+    p = asked[0][0].p
+    if p.fitter is not lasso_fit or p.alpha <= 0:
+        return [p.fitter(s.t[a:b], s.y[:, a:b], terms, p.alpha, p.year) for s, a, b, terms in asked]
+    for s, *_ in asked:
+        if s.sums is None:
+            s.sums = Sums.of(s, shared)
+    xx = np.array([s.sums.xx[b] - s.sums.xx[a] for s, a, b, _ in asked])
+    xy = np.array([s.sums.xy[b] - s.sums.xy[a] for s, a, b, _ in asked])
+    yy = np.array([s.sums.yy[b] - s.sums.yy[a] for s, a, b, _ in asked])
+    terms = np.array([q[3] for q in asked])
+    n = xx[:, 0, 0]
+    mx, my = xx[:, 0, 1:] / n[:, None], xy[:, 0] / n[:, None]
+    gram = xx[:, 1:, 1:] / n[:, None, None] - mx[:, :, None] * mx[:, None, :]
+    cross = xy[:, 1:] / n[:, None, None] - mx[:, :, None] * my[:, None, :]  # (window, column, band)
+    count, bands = len(asked), my.shape[1]
+    used = np.arange(7) < terms[:, None] - 1
+    begin = np.array([s.last[k] if k in s.last else np.zeros((bands, 7)) for s, _, _, k in asked])
+    flat = lambda v: v.reshape(count * bands, *v.shape[2:])
+    each = cross.transpose(0, 2, 1)  # (window, band, column)
+    w = sparse_solve_stack(np.repeat(gram, bands, axis=0), flat(each), p.alpha, np.repeat(used, bands, axis=0), flat(begin)).reshape(count, bands, 7)
+    left = yy / n[:, None] - my * my - 2 * (w * each).sum(axis=2) + np.einsum("kbi,kij,kbj->kb", w, gram, w)
+    spare = (n - terms)[:, None]
+    rmse = np.where(spare > 0, np.sqrt(np.maximum(left, 0.0) * n[:, None] / np.maximum(spare, 1)), 0.0)
+    inner = (w * mx[:, None, :]).sum(axis=2)
+    out = []
+    for k, (s, a, b, t) in enumerate(asked):
+        s.last[t] = w[k]
+        base = my[k] + s.sums.level - inner[k] - w[k, :, 0] * s.sums.day
+        out.append([WindowFit(w[k, i], float(base[i]), float(rmse[k, i]), s.x[a:b], s.y[i, a:b]) for i in range(bands)])
+    return out
+
+
+def detect_block(series: list[tuple[np.ndarray, np.ndarray]], p: Parameters) -> list[list[dict]]:
+    """Segments of many sorted series (ordinals t; rows ndvi, green, swir2 of y), whose control loops advance together."""
+    found: list[list[dict]] = [[] for _ in series]
+    waiting: list = []
+
+    def advance(k: int, s: Series, loop: Asks, fits: list | None) -> None:
+        try:
+            waiting.append((k, s, loop, loop.send(fits)))
+        except StopIteration as end:
+            found[k] = end.value
+
+    for k, (t, y) in enumerate(series):
+        if len(t) > p.least:
+            s = Series(t, y, p)
+            advance(k, s, s.run(), None)
+    shared: dict[bytes, np.ndarray] = {}
+    while waiting:
+        asked, waiting = waiting, []
+        for (k, s, loop, _), fits in zip(asked, fit_windows([(s, *window) for _, s, _, window in asked], shared), strict=True):
+            advance(k, s, loop, fits)
+    return found
+
+
 def detect(t: np.ndarray, y: np.ndarray, p: Parameters = Parameters()) -> list[dict]:  # noqa: B008
-    """Segments of one sorted series: ordinals t, and rows ndvi, green, swir2 of y."""
-    return Series(t, y, p).run() if len(t) > p.least else []
+    """Segments of one series."""
+    return detect_block([(t, y)], p)[0]
 
 
 EPOCH = S.EPOCH_ORDINAL
 
 
-def _pixel_rows(key: tuple, pdf: pd.DataFrame, p: Parameters) -> pd.DataFrame:
-    clean = pdf.sort_values(["ordinal", *[c for c in pdf.columns if c.startswith("_order")]], kind="stable")
-    t = clean["ordinal"].to_numpy(np.int64)
-    y = clean[["ndvi", "green", "swir2"]].to_numpy(float).T
-    names = [c.split()[0] for c in SEGMENTS.split(", ")]
-    rows = []
-    for s in detect(t, y, p):
-        ms = lambda v: int(v - EPOCH) * 86_400_000
+#: Pixels whose control loops a task advances together.
+BLOCK = 64
+
+
+def _edge_rows(key: tuple, columns: dict[str, np.ndarray], found: list[dict]) -> list[dict]:
+    """Segments of a pixel as rows; one row of nulls if there are none."""
+    t, rows = columns["ordinal"], []
+    ms = lambda v: int(v - EPOCH) * 86_400_000
+    for s in found:
         i, j = int(np.searchsorted(t, s["start"])), int(np.searchsorted(t, s["end"]))
         i2, j2 = min(i + 1, len(t) - 1), max(j - 1, 0)
         row = {"tBreak": ms(s["break"]), "tEnd": ms(s["end"]), "tStart": ms(s["start"]), "changeProb": 100 * s["change"], "coeficientes": s["fits"][0].coef.tolist(), "intercept_values": s["fits"][0].intercept}
         for b in BANDS:
-            v = clean[b].to_numpy(float)
-            row |= {f"{b}Start": v[i], f"{b}Start2": v[i2], f"{b}End": v[j], f"{b}End2": v[j2]}
+            v = columns[b]
+            row |= {f"{b}Start": float(v[i]), f"{b}Start2": float(v[i2]), f"{b}End": float(v[j]), f"{b}End2": float(v[j2])}
         rows.append(row)
-    out = pd.DataFrame(rows or [{"coeficientes": None}], columns=names)
-    out["coeficientes"] = out["coeficientes"].astype(object).where(out["coeficientes"].notna(), None)
-    out["tile"], out["x_coord"], out["y_coord"] = key
-    for c in ("tBreak", "tEnd", "tStart", "changeProb"):
-        out[c] = out[c].astype("Int64")
-    return out
+    return [dict(zip(("tile", "x_coord", "y_coord"), key, strict=True)) | r for r in rows or [{}]]
+
+
+def _model_rows(key: tuple, columns: dict[str, np.ndarray], found: list[dict]) -> list[dict]:
+    rows = []
+    for k, s in enumerate(found):
+        bands = [{"band": b, "magnitude": float(m), "rmse": f.rmse, "intercept": f.intercept, "coefficients": f.coef.tolist()} for b, m, f in zip(("ndvi", "green", "swir2"), s["magnitude"], s["fits"], strict=True)]
+        days = [int(s[c] - EPOCH) for c in ("start", "end", "break")]
+        rows.append(dict(zip(("tile", "x", "y", "segment", "start_day", "end_day", "break_day", "observation_count", "change_probability", "bands"), (*key, k, *days, s["n"], s["change"], bands), strict=True)))
+    return rows
+
+
+def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """(key, columns) of each pixel of sorted batches; a pixel may go on in the next batch."""
+    names = ["ordinal", "ndvi", *BANDS]
+    key, parts = None, []
+    for batch in batches:
+        tiles, x, y = (batch.column(k).to_pylist() for k in range(3))
+        values = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names}
+        cuts = [0, *[i for i in range(1, batch.num_rows) if x[i] != x[i - 1] or y[i] != y[i - 1] or tiles[i] != tiles[i - 1]], batch.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i == j:
+                continue
+            if (now := (tiles[i], x[i], y[i])) != key:
+                if parts:
+                    yield key, {c: np.concatenate([v[c] for v in parts]) for c in names}
+                key, parts = now, []
+            parts.append({c: v[i:j] for c, v in values.items()})
+    if parts:
+        yield key, {c: np.concatenate([v[c] for v in parts]) for c in names}
+
+
+def _in_blocks(p: Parameters, rows_of: Callable, kind: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pixels = _pixels(batches)
+        while block := list(islice(pixels, BLOCK)):
+            series = [(c["ordinal"].astype(np.int64), np.array([c[b] for b in ("ndvi", "green", "swir2")], float)) for _, c in block]
+            rows = [r for (key, columns), found in zip(block, detect_block(series, p), strict=True) for r in rows_of(key, columns, found)]
+            yield from pa.Table.from_pylist(rows, kind).to_batches()
+
+    return run
+
+
+def _detected(ready: DataFrame, p: Parameters, rows_of: Callable, schema: str) -> DataFrame:
+    """Rows of the pixels of clean observations: one shuffle by pixel, then blocks of pixels in order."""
+    spark = ready.sparkSession
+    key = ["tile", "x", "y"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # work counts here, not bytes
+    ordered = ready.repartition(parts, *key).sortWithinPartitions(*key, "ordinal", *[c for c in ready.columns if c.startswith("_order")])
+    return ordered.mapInArrow(_in_blocks(p, rows_of, to_arrow_schema(T.StructType.fromDDL(schema))), schema)
 
 
 def detection_input(observations: DataFrame, order: list[str]) -> DataFrame:
@@ -400,7 +623,7 @@ def detect_segments(observations: DataFrame, p: Parameters = Parameters(), order
     One shuffle by pixel. ``order`` names columns that break ties of dates, so the result doesn't depend on row order.
     """
     ready = detection_input(observations, order or [])
-    found = ready.groupBy("tile", "x", "y").applyInPandas(lambda key, pdf: _pixel_rows(key, pdf, p), SEGMENTS)
+    found = _detected(ready, p, _edge_rows, SEGMENTS)
     lost = observations.select("tile", "x", "y").distinct().join(ready.select("tile", "x", "y").distinct(), ["tile", "x", "y"], "left_anti")
     names = [c.split()[0] for c in SEGMENTS.split(", ")]
     empty = lost.select("tile", F.col("x").alias("x_coord"), F.col("y").alias("y_coord"), *[F.lit(None).cast(dict(found.dtypes)[c]).alias(c) for c in names[3:]])
@@ -473,13 +696,4 @@ _MODELS = (
 
 def detect_models(observations: DataFrame, p: Parameters = Parameters(), order: list[str] | None = None) -> DataFrame:  # noqa: B008
     """The full record of each segment: days since 1970, counts, and each band's magnitude, rmse, intercept and coefficients."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ordinal", *[c for c in pdf.columns if c.startswith("_order")]], kind="stable")
-        rows = []
-        for k, s in enumerate(detect(pdf["ordinal"].to_numpy(np.int64), pdf[["ndvi", "green", "swir2"]].to_numpy(float).T, p)):
-            bands = [{"band": b, "magnitude": float(m), "rmse": f.rmse, "intercept": f.intercept, "coefficients": f.coef.tolist()} for b, m, f in zip(("ndvi", "green", "swir2"), s["magnitude"], s["fits"], strict=True)]
-            rows.append((*key, k, *[int(s[c] - EPOCH) for c in ("start", "end", "break")], s["n"], s["change"], bands))
-        return pd.DataFrame(rows, columns=["tile", "x", "y", "segment", "start_day", "end_day", "break_day", "observation_count", "change_probability", "bands"])
-
-    return detection_input(observations, order or []).groupBy("tile", "x", "y").applyInPandas(run, _MODELS)
+    return _detected(detection_input(observations, order or []), p, _model_rows, _MODELS)
