@@ -630,6 +630,36 @@ def detect_segments(observations: DataFrame, p: Parameters = Parameters(), order
     return found.unionByName(empty)
 
 
+def series_of(observations: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row a pixel: its clean observations in order, as arrays (see schemas.SERIES); empty ones if it has none. One shuffle by pixel."""
+    n, r = F.col("nir").cast("double"), F.col("red").cast("double")
+    t = observations.withColumn("ndvi", S.ndvi_scaled(n, r)).withColumn("ordinal", S.date_to_ordinal(F.col("obs_date")).cast("int"))
+    names = ["ordinal", "ndvi", *BANDS]
+    ties = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order or [])]
+    one = F.when(S.is_clean(*BANDS, "ndvi"), F.struct("ordinal", *ties, *names[1:]))
+    packed = t.groupBy("tile", "x", "y").agg(F.array_sort(F.collect_list(one)).alias("_s"))  # nulls aren't collected
+    return packed.select("tile", "x", "y", *[F.col(f"_s.{c}").alias(c) for c in names])
+
+
+def _series_in_blocks(p: Parameters, rows_of: Callable, kind: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                keys = list(zip(*(part.column(k).to_pylist() for k in range(3)), strict=True))
+                columns = [{c: np.asarray(v, float if c == "ndvi" else np.int64) for c, v in zip(part.schema.names[3:], row, strict=True)} for row in zip(*(part.column(k).to_pylist() for k in range(3, part.num_columns)), strict=True)]
+                found = detect_block([(c["ordinal"], np.array([c[b] for b in ("ndvi", "green", "swir2")], float)) for c in columns], p)
+                yield from pa.Table.from_pylist([r for key, c, f in zip(keys, columns, found, strict=True) for r in rows_of(key, c, f)], kind).to_batches()
+
+    return run
+
+
+def detect_series(series: DataFrame, p: Parameters = Parameters()) -> DataFrame:  # noqa: B008
+    """``detect_segments`` of rows of ``series_of``, where they lie: no shuffle."""
+    kind = to_arrow_schema(T.StructType.fromDDL(SEGMENTS))
+    return series.select("tile", "x", "y", "ordinal", "ndvi", *BANDS).mapInArrow(_series_in_blocks(p, _edge_rows, kind), SEGMENTS)
+
+
 def harmonic_fit(observations: DataFrame, terms: int = 8, p: Parameters = Parameters(), order: list[str] | None = None) -> DataFrame:  # noqa: B008
     """(tile, x, y, band, intercept, coefficients, rmse): one fit of each pixel and band over all its clean observations."""
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from loamwatch.functions import scalars as S
 from loamwatch.plans import fixtures as X
 from loamwatch.plans.registry import query
+from loamwatch.sources.series import read_series, write_series
+from loamwatch.staging import stage_path
 from loamwatch.sources import catalogue as C
 from loamwatch.sources import tables as T
 from loamwatch.staging import stage_path
@@ -95,3 +97,14 @@ LEFT JOIN (SELECT ((SELECT max(y_coord) FROM seg) - y_coord) // 10 AS r, (x_coor
 def raster(spark, d):
     s = X.segments(spark, d).withColumn("yyyymmdd", S.date_to_int(F.col("end_date")))
     return T.dense(T.raster_cells(s, "yyyymmdd", order=["end_date", "flag"]), "yyyymmdd")
+
+
+@query("a01_series_store", X.with_sql("obs", """
+SELECT tile, x, y, (count(*) FILTER (WHERE clean))::INT AS n, (min(t) FILTER (WHERE clean))::INT AS first_day, (max(t) FILTER (WHERE clean))::INT AS last_day, coalesce(sum(green) FILTER (WHERE clean), 0)::BIGINT AS green
+FROM (SELECT *, green <> 65535 AND nir + red > 0 AS clean, date_diff('day', DATE '1970-01-01', obs_date) + 719163 AS t FROM obs) GROUP BY ALL"""))
+def series_store(spark, d):
+    """Series written to a store that is clustered in space, and read back."""
+    path = stage_path(spark, "series")
+    write_series(X.observations(spark, d), path, ["l_orderkey", "l_linenumber"])
+    total = F.aggregate("green", F.lit(0).cast("long"), lambda s, v: s + v)
+    return read_series(spark, path).select("tile", "x", "y", F.size("ordinal").alias("n"), F.get("ordinal", 0).alias("first_day"), F.try_element_at("ordinal", F.lit(-1)).alias("last_day"), total.alias("green"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwatch.operators.detection import Parameters, detect_segments
 from loamwatch.schemas import OBSERVATIONS
 
 PIXEL = ["tile", "x", "y"]
@@ -32,12 +31,11 @@ def _logs(spark: SparkSession, store: str) -> None:
         series.select(*PIXEL).distinct().write.mode("overwrite").parquet(f"{store}/_pixels")
 
 
-def start_append(spark: SparkSession, incoming: str, store: str, checkpoint: str, segments: str | None = None, p: Parameters = Parameters()):  # noqa: B008
+def start_append(spark: SparkSession, incoming: str, store: str, checkpoint: str):
     """A stream over a folder of image files, with the rules of ``append_newest``: of each micro-batch, the newest date of a tile that isn't stored yet, at known pixels.
 
-    With ``segments`` the touched pixels are detected again from their full series; ``current_segments`` reads the
-    latest of each pixel. Each batch writes folders of its own, so a batch that is run again after a failure
-    overwrites its own result, and its own dates don't count as stored.
+    Each batch writes folders of its own, so a batch that is run again after a failure overwrites its own result, and
+    its own dates don't count as stored. ``streaming.continued`` detects what is appended.
     """
     _logs(spark, store)
     stream = spark.readStream.schema(OBSERVATIONS).parquet(incoming)
@@ -47,18 +45,6 @@ def start_append(spark: SparkSession, incoming: str, store: str, checkpoint: str
         dates = session.read.parquet(f"{store}/_dates").where(F.col("batch") != number).select("tile", "obs_date")
         fresh = newest_at_known(batch.join(dates, ["tile", "obs_date"], "left_anti"), session.read.parquet(f"{store}/_pixels"))
         fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        fresh = session.read.schema(OBSERVATIONS).parquet(f"{store}/batch={number}")
-        fresh.select("tile", "obs_date").distinct().write.mode("overwrite").parquet(f"{store}/_dates/batch={number}")
-        if segments:
-            touched = fresh.select(*PIXEL).distinct()
-            series = session.read.schema(OBSERVATIONS).option("recursiveFileLookup", "true").parquet(store)
-            detect_segments(series.join(touched, PIXEL, "left_semi"), p, ["green", "red", "nir", "swir2"]).write.mode("overwrite").parquet(f"{segments}/batch={number}")
+        session.read.schema(OBSERVATIONS).parquet(f"{store}/batch={number}").select("tile", "obs_date").distinct().write.mode("overwrite").parquet(f"{store}/_dates/batch={number}")
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current_segments(spark: SparkSession, segments: str) -> DataFrame:
-    """Of each pixel, the segments of the last batch that detected it."""
-    every = spark.read.parquet(segments)
-    key = ["tile", "x_coord", "y_coord"]
-    return every.join(every.groupBy(*key).agg(F.max("batch").alias("batch")), [*key, "batch"], "left_semi").drop("batch")
