@@ -1,7 +1,8 @@
 """Spatial joins: equi-joins on a grid cell, then the exact test.
 
-Catalyst would plan a nested loop for a box predicate. Polygons are spread over the cells that their boxes touch,
-points have one cell each, and the exact predicate runs on what shares a cell.
+Catalyst would plan a nested loop for a box predicate. Points have one cell each; polygons are covered by inner and
+edge cells (see ``covering``), small rings by the cells that their boxes touch, and the exact predicate runs on what
+shares a cell.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loamwatch.functions import geometry as G
+from loamwatch.operators import covering as C
 
 
 def cells_of(polygons: DataFrame, size: float) -> DataFrame:
@@ -20,29 +22,35 @@ def cells_of(polygons: DataFrame, size: float) -> DataFrame:
     return wide.withColumn("cx", F.explode(F.sequence(at("minx"), at("maxx")))).withColumn("cy", F.explode(F.sequence(at("miny"), at("maxy"))))
 
 
-def point_pairs(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Points with the polygons that contain them (inner; a point may be in several)."""
+def point_pairs(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y", border: float | None = None) -> DataFrame:
+    """Points with the polygons that contain them (inner; a point may be in several), without the rings.
+
+    Polygons have ``ring``, or ``rings`` with holes or parts. With ``border`` a column of that name tells whether the
+    point is less than so far from the polygon's line. What meets the points are cells with their own edges alone.
+    """
     p = points.withColumn("cx", F.floor(F.col(x) / size)).withColumn("cy", F.floor(F.col(y) / size))
-    joined = p.join(cells_of(polygons, size), ["cx", "cy"])
-    inside = F.col(x).between(F.col("minx"), F.col("maxx")) & F.col(y).between(F.col("miny"), F.col("maxy")) & G.contains(F.col("ring"), F.col(x).cast("double"), F.col(y).cast("double"))
-    return joined.where(inside).drop("cx", "cy", "minx", "miny", "maxx", "maxy")
+    cells = C.covering(polygons, size, border or 0.0).withColumnsRenamed({"base": "_base", "edges": "_edges"})
+    at = [F.col(c).cast("double") for c in (x, y)]
+    hit = p.join(cells, ["cx", "cy"]).where(C.inside(F.col("_base"), F.col("_edges"), *at, F.col("cx"), size))
+    if border is not None:
+        hit = hit.withColumn("border", C.near(F.col("_edges"), *at, border))
+    return hit.drop("cx", "cy", "_base", "_edges")
 
 
 def in_region(points: DataFrame, polygons: DataFrame, key: list[str], size: float, x: str = "x", y: str = "y") -> DataFrame:
     """Points in any of the polygons (semi-join)."""
-    hit = point_pairs(points.select(*key, x, y) if {x, y}.isdisjoint(key) else points.select(*key), polygons.select("ring"), size, x, y)
+    hit = point_pairs(points.select(*key, x, y) if {x, y}.isdisjoint(key) else points.select(*key), _shapes(polygons), size, x, y)
     return points.join(hit.select(*key).distinct(), key, "left_semi")
 
 
 def attributes_at(points: DataFrame, polygons: DataFrame, fields: list[str], key: list[str], size: float, x: str = "x", y: str = "y") -> DataFrame:
     """Points with the fields of each polygon that contains them; points in none are kept with nulls."""
-    hit = point_pairs(points.select(*key), polygons.select("ring", *fields), size, x, y).select(*key, *fields)
+    hit = point_pairs(points.select(*key), _shapes(polygons, *fields), size, x, y).select(*key, *fields)
     return points.join(hit, key, "left")
 
 
-def near_border(ring: Column, x: Column, y: Column, width: float = 10.0) -> Column:
-    """Of a point inside: whether it lies outside the ring shrunk by ``width``."""
-    return G.edge_distance(ring, x, y) < width
+def _shapes(polygons: DataFrame, *fields: str) -> DataFrame:
+    return polygons.select("rings" if "rings" in polygons.columns else "ring", *fields)
 
 
 def rings_within(inner: DataFrame, outer: DataFrame, size: float, inner_key: str, outer_key: str) -> DataFrame:

@@ -34,8 +34,7 @@ def assignment(spark, d):
 
 @query("c04_c05_polygon_join_border", X.with_sql("obs pixels polys", f"SELECT tile, x, y, buffer_id, least(p.x - minx, maxx - p.x, p.y - miny, maxy - p.y) < 10 AS border FROM pixels p JOIN polys ON {_IN}"))
 def border(spark, d):
-    j = P.point_pairs(X.pixels(spark, d), X.polygons(spark, d), CELL)
-    return j.select(*PX, "buffer_id", P.near_border(F.col("ring"), F.col("x").cast("double"), F.col("y").cast("double")).alias("border"))
+    return P.point_pairs(X.pixels(spark, d), X.polygons(spark, d), CELL, border=10.0).select(*PX, "buffer_id", "border")
 
 
 @query("c07_attributes_by_location", X.with_sql("obs pixels polys", f"SELECT tile, x, y, name FROM pixels p LEFT JOIN polys ON {_IN} AND region < 3"))

@@ -11,7 +11,6 @@ from loamwatch.sources.series import read_series, write_series
 from loamwatch.staging import stage_path
 from loamwatch.sources import catalogue as C
 from loamwatch.sources import tables as T
-from loamwatch.staging import stage_path
 
 
 @query("a01_observation_scan", X.with_sql("obs", "SELECT tile, x, y, count(*) AS n, min(obs_date) AS first, max(obs_date) AS last FROM obs WHERE tile = 'T1' GROUP BY ALL"), dates="first last")

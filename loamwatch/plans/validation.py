@@ -36,12 +36,11 @@ def period(spark, d):
 def reference_rows(spark, d):
     """Segments of the period at the polygons, one row an analyst date: coordinate, nome, id, analysts, tBreak, delta_min, tipo, altera, border."""
     points = _period(spark, d).withColumn("id", F.concat_ws("_", *V.COORD, "flag", "tStart"))
-    hit = P.point_pairs(points, X.polygons(spark, d), 40.0, *V.COORD)
-    border = P.near_border(F.col("ring"), F.col("x_coord").cast("double"), F.col("y_coord").cast("double"))
+    hit = P.point_pairs(points, X.polygons(spark, d), 40.0, *V.COORD, border=10.0)
     k = F.col("buffer_id")
     first = F.when(k % 8 == 0, F.lit("2000-03-01").cast("date"))
     second = F.when(k % 12 == 0, F.lit("2001-08-01").cast("date"))
-    t = hit.select(*V.COORD, "id", "buffer_id", "tBreak", border.alias("border"), first.alias("data_1"), second.alias("data_3"), F.lit("Corte").alias("tipo_1"), F.lit("Corte").alias("tipo_2"))
+    t = hit.select(*V.COORD, "id", "buffer_id", "tBreak", "border", first.alias("data_1"), second.alias("data_3"), F.lit("Corte").alias("tipo_1"), F.lit("Corte").alias("tipo_2"))
     an = F.col("data_1").isNotNull().cast("int") + (F.col("data_1").isNotNull() & F.col("data_3").isNotNull()).cast("int")
     keep = [*V.COORD, "id", "buffer_id", "tBreak", "border", "analysts"]
     rows = V.analyst_rows(t.withColumn("analysts", an), keep, [("data_1", "tipo_1"), ("data_3", "tipo_2")], ["data_1", "data_3"])
