@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamwatch.operators import communities as C
 from loamwatch.operators import detection as D
+from loamwatch.operators import masks as M
 from loamwatch.operators import relations as R
 from loamwatch.operators import validation as V
 from loamwatch.operators.components import connected_components
@@ -117,3 +118,15 @@ def test_rows_without_a_distance_are_neither_near_nor_far(spark):
     assert got[("p1_1", 10)] == (1, 0, 0, 0)
     assert ("p1_1", None) not in got or got[("p1_1", None)] == (0, 0, 1, 0)
     assert all(v != (0, 1, 1, 0) for (_, t), v in got.items() if t is None)
+
+
+def test_cells_near_others(spark):
+    """Squares by runs against all pairs, on scattered and on dense cells."""
+    rng = np.random.default_rng(3)
+    for share in (0.02, 0.3, 0.9):
+        here = [(k, int(x), int(y)) for k in range(2) for x, y in np.argwhere(rng.random((40, 30)) < max(share, 0.3))]
+        there = [(k, int(x), int(y)) for k in range(2) for x, y in np.argwhere(rng.random((40, 30)) < share)]
+        for reach in (0, 2, 5):
+            got = {(r.image, r.cx, r.cy): r.hit for r in M.covered(spark.createDataFrame(here, "image int, cx int, cy int"), spark.createDataFrame(there, "image int, cx int, cy int"), "image", reach, "hit").collect()}
+            want = {a: any(a[0] == b[0] and abs(a[1] - b[1]) <= reach and abs(a[2] - b[2]) <= reach for b in there) for a in here}
+            assert got == want
