@@ -7,7 +7,9 @@ shares a cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import product
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -70,19 +72,39 @@ def assign_tile(boxes: DataFrame, tiles: DataFrame, size: float, key: str, tile:
     return boxes.join(first, key, "left")
 
 
+def _meetings(a: DataFrame, b: DataFrame | None, distance: float, span: float | None) -> DataFrame:
+    """Pairs of rows (id, x, y, day) in the same or touching cells of place, and of time if there is a span: (i, j, gap, days).
+
+    Pairs within one table (b is None) come once: a row goes to its own cell and to half of the touching ones.
+    """
+    sides = [c for c in ("x", "y", "day") if c != "day" or span is not None]
+    width = {"x": distance, "y": distance, "day": span}
+    cell = {c: F.floor(F.col(c) / width[c]) for c in sides}
+    steps = [s for s in product((-1, 0, 1), repeat=len(sides)) if b is not None or s >= (0,) * len(sides)]
+    put = lambda t, n: t.select(F.col("id").alias(f"i{n}"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"), F.col("day").alias(f"d{n}"), *[cell[c].alias(f"c{c}") for c in sides])
+    here = put(a, 1)
+    moved = F.explode(F.array(*[F.struct(*[(F.col(f"c{c}") + k).alias(f"n{c}") for c, k in zip(sides, s, strict=True)], F.lit(not any(s)).alias("own")) for s in steps])).alias("_to")
+    there = put(a if b is None else b, 2).select("i2", "x2", "y2", "d2", moved).select("i2", "x2", "y2", "d2", *[F.col(f"_to.n{c}").alias(f"c{c}") for c in sides], F.col("_to.own").alias("own"))
+    met = here.join(there, [f"c{c}" for c in sides])
+    met = met.where(F.col("i1") != F.col("i2")) if b is not None else met.where(~F.col("own") | (F.col("i1") < F.col("i2")))
+    gap = F.sqrt(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2))
+    return met.select(F.least("i1", "i2").alias("i"), F.greatest("i1", "i2").alias("j"), gap.alias("gap"), F.abs(F.col("d1") - F.col("d2")).alias("days"))
+
+
+def neighbour_candidates(nodes: DataFrame, distance: float, theta_days: int, x: str = "x", y: str = "y") -> tuple[DataFrame, DataFrame]:
+    """Pairs to be tested: of two breaks, which must be near in time too, and of a break and a segment without one."""
+    n = nodes.select("id", F.col(x).alias("x"), F.col(y).alias("y"), "day", "is_break")
+    breaks, others = n.where("is_break"), n.where("NOT is_break")
+    return _meetings(breaks, None, distance, theta_days), _meetings(breaks, others, distance, None)
+
+
 def neighbour_pairs(nodes: DataFrame, distance: float, theta_days: int, x: str = "x", y: str = "y") -> DataFrame:
-    """(i, j, distance) of segments near in space and time.
+    """(i, j, distance), i < j, of segments near in space and time.
 
-    Nodes: (id, x, y, day, is_break). A cell as wide as the distance, 3 x 3 cells on one side, an equi-join on the
-    cell, then the exact distance (inclusive). An edge needs exactly one break, or two breaks less than
-    ``theta_days`` apart.
+    Nodes: (id, x, y, day, is_break). An edge needs exactly one break, or two breaks less than ``theta_days`` apart; the
+    distance is inclusive. Breaks meet in cells of place and time, so a crowded place isn't paired over all its years; two
+    segments without a break never meet.
     """
-    cell = lambda c: F.floor(F.col(c) / distance)
-    a = nodes.select(F.col("id").alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi"), F.col("day").alias("di"), F.col("is_break").alias("bi"), cell(x).alias("cx"), cell(y).alias("cy"))
-    b = nodes.select(F.col("id").alias("j"), F.col(x).alias("xj"), F.col(y).alias("yj"), F.col("day").alias("dj"), F.col("is_break").alias("bj"), cell(x).alias("bx"), cell(y).alias("by"))
-    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    b = b.withColumn("cx", around("bx")).withColumn("cy", around("by")).drop("bx", "by")
-    gap = F.sqrt(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2))
-    pairs = a.join(b, ["cx", "cy"]).where((F.col("i") < F.col("j")) & (gap <= distance))
-    linked = (F.col("bi") != F.col("bj")) | (F.col("bi") & F.col("bj") & (F.abs(F.col("di") - F.col("dj")) < theta_days))
-    return pairs.where(linked).select("i", "j", gap.alias("distance"))
+    both, one = neighbour_candidates(nodes, distance, theta_days, x, y)
+    pairs = both.where(F.col("days") < theta_days).unionByName(one)
+    return pairs.where(F.col("gap") <= distance).select("i", "j", F.col("gap").alias("distance"))

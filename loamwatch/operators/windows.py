@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -54,19 +58,43 @@ def gap_sessions(events: DataFrame, key: str, day: str, gap: int = 730) -> DataF
     return spans.join(every.where((F.col("_n") < 3) | (F.col("_d") > 1)).select(key), key).select(key, "seq", "start", "end")
 
 
+def _anchors(span: int):
+    """Rows (key, day) sorted by both -> the day of the interval that each belongs to; a partition may hold many keys, a key one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = object(), 0  # no key yet; null is one
+        for batch in batches:
+            keys, days = batch.column(0), batch.column(1).cast(pa.int32()).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = keys.dictionary_encode()
+            codes = coded.indices.fill_null(-1).to_numpy()
+            out = np.empty(len(days), np.int32)
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]).tolist() if len(days) else []
+            for i, j in zip(starts, [*starts[1:], len(days)], strict=False):
+                now = keys[i].as_py()
+                at = i
+                if now == key:  # the key goes on from the batch before
+                    at = i + int(np.searchsorted(days[i:j], first + span, side="right"))
+                    out[i:at] = first
+                while at < j:
+                    key, first = now, int(days[at])
+                    end = i + int(np.searchsorted(days[i:j], first + span, side="right"))
+                    out[at:end], at = first, end
+            yield pa.RecordBatch.from_arrays([keys, batch.column(1), pa.array(out).cast(pa.date32())], names=["key", "day", "start"])
+
+    return run
+
+
 def anchored_intervals(events: DataFrame, key: str, day: str, span: int = 730) -> DataFrame:
-    """(key, seq, start, end): a new interval at the first date more than ``span`` days after the interval's first."""
-    kind = "array<struct<start:date,end:date>>"
-    dates = events.groupBy(key).agg(F.array_sort(F.collect_list(day)).alias("_days"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = F.concat(acc, F.array(F.struct(x.alias("start"), x.alias("end"))))
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), x.alias("end"))))
-        return F.when(F.size(acc) == 0, fresh).when(F.datediff(x, last["start"]) > span, fresh).otherwise(longer)
-
-    spans = dates.select(key, F.posexplode(F.aggregate("_days", F.array().cast(kind), step)).alias("_i", "_s"))
-    return spans.select(key, (F.col("_i") + 1).alias("seq"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
+    """(key, seq, start, end): a new interval at the first date more than ``span`` days after the interval's first.
+
+    Where an interval begins depends on where the one before began, so rows are read in order once, with the last start as
+    all that is remembered; an id of very many dates takes steps for its intervals, not for its dates. Null dates are left out.
+    """
+    rows = events.select(F.col(key).alias("key"), F.col(day).cast("date").alias("day")).where("day IS NOT NULL")
+    ordered = rows.repartition("key").sortWithinPartitions("key", "day")
+    kind = dict(rows.dtypes)["key"]
+    spans = ordered.mapInArrow(_anchors(span), f"key {kind}, day date, start date").groupBy("key", "start").agg(F.max("day").alias("end"))
+    return spans.select(F.col("key").alias(key), F.row_number().over(W.partitionBy("key").orderBy("start")).alias("seq"), "start", "end")
 
 
 def around(series: DataFrame, key: list[str], day: str, reference: str, n: int, values: list[str], order: list[str]) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,9 @@ from loamwatch.operators import communities as C
 from loamwatch.operators import detection as D
 from loamwatch.operators import masks as M
 from loamwatch.operators import relations as R
+from loamwatch.operators import spatial as P
 from loamwatch.operators import validation as V
+from loamwatch.operators import windows as W
 from loamwatch.operators.components import connected_components
 from loamwatch.streaming.append import start_append
 
@@ -130,3 +133,31 @@ def test_cells_near_others(spark):
             got = {(r.image, r.cx, r.cy): r.hit for r in M.covered(spark.createDataFrame(here, "image int, cx int, cy int"), spark.createDataFrame(there, "image int, cx int, cy int"), "image", reach, "hit").collect()}
             want = {a: any(a[0] == b[0] and abs(a[1] - b[1]) <= reach and abs(a[2] - b[2]) <= reach for b in there) for a in here}
             assert got == want
+
+
+def test_neighbours_equal_all_pairs(spark):
+    rng = random.Random(5)
+    nodes = [(f"n{i:03}", rng.randint(0, 60), rng.randint(0, 60), rng.randint(0, 200), rng.random() < 0.6) for i in range(200)]
+    nodes += [(f"m{i:03}", 7, 7, 9 * i, True) for i in range(150)]  # a crowded place over years
+    nodes += [("z", 7, 7, None, False)]
+    table = spark.createDataFrame(nodes, "id string, x int, y int, day int, is_break boolean")
+    got = {(r.i, r.j) for r in P.neighbour_pairs(table, 12.0, 30).collect()}
+    near = lambda a, b: (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 144 and (a[4] != b[4] or (a[4] and b[4] and abs(a[3] - b[3]) < 30))
+    want = {(min(a[0], b[0]), max(a[0], b[0])) for k, a in enumerate(nodes) for b in nodes[:k] if near(a, b)}
+    assert got == want and P.neighbour_pairs(table, 12.0, 30).count() == len(want)
+    crowd = table.where("id LIKE 'm%'")
+    assert P.neighbour_candidates(crowd, 12.0, 30)[0].count() < 150 * 149 / 2 / 10
+
+
+def test_anchored_intervals_equal_a_plain_loop(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.randint(0, 9000)) for k in range(40) for _ in range(rng.randint(1, 60))] + [(99, i // 11) for i in range(100_000)] + [(7, None), (None, 5), (None, 900)]
+    days = lambda v: date(1990, 1, 1) + timedelta(v)
+    table = spark.createDataFrame([(k, None if v is None else days(v)) for k, v in rows], "id int, day date").repartition(5)
+    got = {(r.id, r.seq): (r.start, r.end) for r in W.anchored_intervals(table, "id", "day").collect()}
+    want, last = {}, {}
+    for k, v in sorted([r for r in rows if r[1] is not None], key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        if k not in last or v - last[k][1] > 730:
+            last[k] = (last[k][0] + 1 if k in last else 1, v)
+        want[k, last[k][0]] = (days(last[k][1]), days(v))
+    assert got == want
