@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 
 from loamwatch.llm import vocab
 from loamwatch.llm.common import blocks, keyed
-from loamwatch.staging import stage_path, staged
+from loamwatch.staging import discard, stage_path, staged
 
 WINDOW, LEAST, MOST, CUT_BITS = 8, 64, 8192, 10
 #: Letters before this one are Latin.
@@ -258,8 +258,11 @@ def write_store(docs: DataFrame, store: str, path: str | None = None, end_id: in
     parts = numbered.groupBy("part").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"))
     offsets = parts.select("part", (F.sum("ids").over(W.orderBy("part")) - F.col("ids")).alias("offset"))
     placed = numbered.join(F.broadcast(offsets), "part").select("part", "doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "addresses", "lengths", "root")
-    placed.write.parquet(f"{store}/recipes")
+    # files are numbered along the ranges, and starts rise with the order of documents
+    placed.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{store}/recipes")
     _manifest(docs.sparkSession.read.parquet(f"{store}/recipes")).write.parquet(f"{store}/manifest")
+    discard(numbered)
+    discard(encoded)
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:

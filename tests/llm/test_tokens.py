@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from loamwatch.llm import sentencepieces as SP
@@ -57,6 +58,26 @@ def test_store_round_trip(spark, odd, none, tmp_path):
     assert TS.read_digests(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("parts", [7, 37])
+def test_recipe_files_are_in_order_of_documents(spark, tmp_path, parts):
+    rng = random.Random(parts)
+    docs = spark.createDataFrame([(i, "word " * rng.randint(0, 400)) for i in rng.sample(range(10_000), 600)], "doc_id long, text string").repartition(5)
+    settings = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        TS.write_store(docs, str(tmp_path / "s"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = sorted((tmp_path / "s" / "recipes").glob("part-*.parquet"))
+    assert len(files) > parts // 2
+    rows = [r for f in files for r in pq.read_table(f, columns=["doc_id", "start", "n_tokens"]).to_pylist()]
+    assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows) and len(rows) == 600
+    assert [r["start"] for r in rows] == np.cumsum([0, *[r["n_tokens"] for r in rows][:-1]]).tolist()
+
+
 def test_damage_is_noticed(spark, odd, tmp_path):
     from pyspark.sql import functions as F
 
