@@ -660,6 +660,22 @@ def detect_series(series: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     return series.select("tile", "x", "y", "ordinal", "ndvi", *BANDS).mapInArrow(_series_in_blocks(p, _edge_rows, kind), SEGMENTS)
 
 
+def edge_values(series: DataFrame, segments: DataFrame) -> DataFrame:
+    """Segments (tile, x_coord, y_coord, tStart, tEnd and others) with band values at their edges, from rows of ``series_of``.
+
+    For each band the first and second observation from the start on, and the one at the end (the first on or after it) and
+    the one before; positions stop at the ends of the series. Pixels without clean observations give nulls.
+    """
+    ordinal = lambda ms: (F.expr(f"{ms} div 86400000") + EPOCH).cast("int")
+    at = lambda ms: F.size(F.filter("_days", lambda v: v < ordinal(ms)))
+    last = F.size("_days") - 1
+    s = series.select("tile", F.col("x").alias("x_coord"), F.col("y").alias("y_coord"), F.col("ordinal").alias("_days"), *[F.col(b).alias(f"_{b}") for b in BANDS])
+    t = segments.join(s, ["tile", "x_coord", "y_coord"]).withColumns({"_i": F.least(at("tStart"), last), "_j": F.least(at("tEnd"), last)})
+    places = {"Start": F.col("_i"), "Start2": F.least(F.col("_i") + 1, last), "End": F.col("_j"), "End2": F.greatest(F.col("_j") - 1, F.lit(0))}
+    values = {f"{b}{e}": F.when(last >= 0, F.get(f"_{b}", k)).cast("double") for b in BANDS for e, k in places.items()}
+    return t.withColumns(values).drop("_days", "_i", "_j", *[f"_{b}" for b in BANDS])
+
+
 def harmonic_fit(observations: DataFrame, terms: int = 8, p: Parameters = Parameters(), order: list[str] | None = None) -> DataFrame:  # noqa: B008
     """(tile, x, y, band, intercept, coefficients, rmse): one fit of each pixel and band over all its clean observations."""
 

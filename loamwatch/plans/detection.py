@@ -115,6 +115,28 @@ def edges(spark, d):
     return segments(spark, d).select("tile", "x_coord", "y_coord", "tStart", "tEnd", *names)
 
 
+@query("g02_edge_values_of_dates", X.with_sql("obs seg", f""",
+o AS (SELECT tile, x, y, obs_date, green, red, nir, swir2, row_number() OVER (PARTITION BY tile, x, y ORDER BY obs_date, l_orderkey, l_linenumber) AS r, count(*) OVER (PARTITION BY tile, x, y) AS n FROM obs WHERE green <> 65535 AND nir + red > 0),
+first AS (SELECT s.tile, x_coord, y_coord, flag, any_value(n) AS n, least(count(*) FILTER (WHERE obs_date < start_date) + 1, any_value(n)) AS i, least(count(*) FILTER (WHERE obs_date < end_date) + 1, any_value(n)) AS j
+ FROM seg s JOIN o ON o.tile = s.tile AND x = x_coord AND y = y_coord GROUP BY ALL),
+places AS (SELECT tile, x_coord, y_coord, flag, unnest([{{'k': 'Start', 'r': i}}, {{'k': 'Start2', 'r': least(i + 1, n)}}, {{'k': 'End', 'r': j}}, {{'k': 'End2', 'r': greatest(j - 1, 1)}}]) AS p FROM first)
+SELECT q.tile, x_coord, y_coord, flag, {", ".join(f"(max({b}) FILTER (WHERE p.k = '{e}'))::DOUBLE AS {b}{e}" for b in ("green", "red", "nir", "swir2") for e in ("Start", "Start2", "End", "End2"))}
+FROM places q JOIN o ON o.tile = q.tile AND x = x_coord AND y = y_coord AND o.r = p.r GROUP BY ALL""").replace("\n,\n", ",\n"))
+def edges_of_dates(spark, d):
+    """The same values over given dates of segments."""
+    found = D.edge_values(D.series_of(X.observations(spark, d), ["l_orderkey", "l_linenumber"]), X.segments(spark, d))
+    return found.select("tile", "x_coord", "y_coord", "flag", *[f"{b}{e}" for b in D.BANDS for e in ("Start", "Start2", "End", "End2")])
+
+
+@query("g06_detected_curve")
+def detected_curve(spark, d):
+    """The fitted NDVI of each day of the segments that detection finds, by their own coefficients."""
+    s = segments(spark, d).where("tStart IS NOT NULL")
+    days = s.select("tile", "x_coord", "y_coord", "tStart", "intercept_values", "coeficientes", F.explode(F.sequence(S.ms_to_date(F.col("tStart")), S.ms_to_date(F.col("tEnd")))).alias("day"))
+    value = HM.predicted(S.date_to_ordinal(F.col("day")), F.col("intercept_values"), F.col("coeficientes"))
+    return days.select("tile", "x_coord", "y_coord", "tStart", F.col("day").cast("string").alias("day"), F.round(value, 3).alias("value"))
+
+
 @query("h01_models")
 def models(spark, d):
     """The full record of each segment, one row a band."""

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loamwatch.functions.harmonics import predicted
 from loamwatch.operators import detection as D
 from loamwatch.schemas import OBSERVATIONS
 from loamwatch.sources.series import read_series, write_series
@@ -58,3 +59,19 @@ def test_appended_images_give_what_one_batch_gives(spark, images, tmp_path):
     assert shown(current_segments(spark, out)) == shown(D.detect_segments(stored, order=ORDER))
     touched = [r["n"] for r in spark.read.parquet(out).groupBy("batch").agg(F.countDistinct("tile", "x_coord", "y_coord").alias("n")).orderBy("batch").collect()]
     assert touched == [12, 6, 12, 12]
+
+
+def test_edge_values_are_those_of_detection(spark, images):
+    found = D.detect_segments(images, order=ORDER).where("tStart IS NOT NULL")
+    names = [f"{b}{e}" for b in D.BANDS for e in ("Start", "Start2", "End", "End2")]
+    again = D.edge_values(D.series_of(images, ORDER), found.drop(*names)).select(*found.columns)
+    assert shown(again) == shown(found)
+
+
+def test_curve_lies_among_the_observations(spark, images):
+    s = D.detect_segments(images, order=ORDER).where("tStart IS NOT NULL").select("tile", F.col("x_coord").alias("x"), F.col("y_coord").alias("y"), "tStart", "tEnd", "intercept_values", "coeficientes")
+    ndvi = F.transform(F.arrays_zip("ordinal", "ndvi"), lambda v: v)
+    seen = D.series_of(images, ORDER).select("tile", "x", "y", F.explode(ndvi).alias("o")).join(s, ["tile", "x", "y"])
+    ms = (F.col("o.ordinal") - D.EPOCH).cast("long") * 86_400_000
+    gaps = seen.where(ms.between(F.col("tStart"), F.col("tEnd"))).select(F.abs(F.col("o.ndvi") - predicted(F.col("o.ordinal"), F.col("intercept_values"), F.col("coeficientes"))).alias("gap"))
+    assert gaps.agg(F.median("gap")).first()[0] < 120
