@@ -4,6 +4,10 @@ Each stage is a function of (spark, docs, sf_dir) on all that the one before it
 Parquet and read again. All but the last return the columns of ``documents``.
 
 Rows with the same id and text are one document and share every decision. Texts that lose lines get a new n_chars.
+
+Null texts are empty and, like other texts too short for the fixed rules, go in the first stage. Null ids are an id like
+others; such rows are told apart by their text. Null lang and source form groups of their own. Very long texts pass whole
+through every stage. Other columns of ``documents`` aren't read. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loamwatch.llm import decontaminate, line_dedup, quality, sentencepieces, simhash
 from loamwatch.llm.common import keyed, same_row
-from loamwatch.staging import staged
+from loamwatch.staging import discard, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 _META = ("lang", "source", "n_chars")
@@ -40,10 +44,11 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least id. Repeated rows of it become one."""
+    """One document of each group of near copies stays: the one with the least id. Repeated rows of it become one, with the least lang, source and n_chars (nulls first)."""
     first = simhash.near_duplicates(docs).where("first").select("doc_id", "row_key")
     kept = _rows(docs).alias("d").join(first.alias("f"), same_row("d", "f"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "row_key"]).select(*COLUMNS)
+    one = kept.groupBy("doc_id", "row_key").agg(F.first("text").alias("text"), F.min(F.struct(*_META)).alias("_meta"))  # the text is the same
+    return one.select("doc_id", "text", "_meta.*").select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.split()[0].lower())
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name.split()[0].lower())
+        discard(before)  # a stage's table is read by the next one alone
     return docs
