@@ -2,7 +2,7 @@
 
 The patterns' matches are the seeds. Every other word with a digit or an at sign is a candidate. Occurrences of
 both are linked to lexical patterns: the word before, the word behind, and both. Spark scores the graph of
-patterns and instances in rounds: a pattern's confidence for a kind is the share of its occurrences that carry an
+patterns and instances in rounds, until a round reveals nothing: a pattern's confidence for a kind is the share of its occurrences that carry an
 instance believed to be of that kind, where unbelieved ones that look like the kind count a quarter; patterns above ``least_confidence`` with ``least_support`` distinct
 instances make further instances believed, if those look like the kind at all. Candidates found so are added
 as spans of the kind; seeds always stay.
@@ -36,7 +36,9 @@ WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Code points of context kept on each side.
 NEAR = 64
-CONFIDENCE, SUPPORT, ROUNDS = 0.9, 5, 2
+CONFIDENCE, SUPPORT = 0.9, 5
+#: Rounds end when one reveals no token; so many without an end are an error.
+ROUNDS = 100
 #: Weight against a pattern of an unbelieved instance that looks like its kind.
 DOUBT = 0.25
 WORDS = len(KINDS)
@@ -130,7 +132,7 @@ def discover(occurrences: DataFrame, least_confidence: float = CONFIDENCE, least
     edges = staged(occurrences.groupBy("pattern", "token").agg(F.max("k").alias("k"), F.count("*").alias("n")), "pii-edges")
     believed = edges.where(F.col("k").isNotNull()).groupBy("token").agg(F.max("k").alias("kind")).withColumn("score", F.lit(1.0))
     confident = None
-    for _ in range(rounds):
+    for _ in range(rounds):  # ends when nothing new is believed
         scored = edges.select("pattern", "token", "n").join(believed, "token", "left")
         totals = scored.groupBy("pattern").agg(F.sum("n").alias("all"))
         per_kind = scored.where(F.col("kind").isNotNull()).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.countDistinct("token").alias("support"))
@@ -147,7 +149,12 @@ def discover(occurrences: DataFrame, least_confidence: float = CONFIDENCE, least
         # noisy or over the patterns of the best kind
         fresh = reached.groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
         fresh = fresh.groupBy("token").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"))
-        believed = staged(believed.unionByName(fresh.join(believed.select("token"), "token", "left_anti")), "pii-believed")
+        fresh = staged(fresh.join(believed.select("token"), "token", "left_anti"), "pii-fresh")
+        if fresh.isEmpty():
+            break
+        believed = staged(believed.unionByName(fresh), "pii-believed")
+    else:
+        raise RuntimeError(f"patterns still reveal new tokens after {rounds} rounds")
     found = occurrences.where(F.col("k").isNull()).join(confident, "pattern").join(believed.select("token", "kind"), ["token", "kind"])
     found = found.where(_looks_like(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), F.col("token")))
     return found.select("doc_id", "row_key", "start", F.col("kind").alias("k"), "stop").distinct()
