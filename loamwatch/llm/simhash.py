@@ -373,21 +373,30 @@ def _candidates(a: np.ndarray, b: np.ndarray, radius: int, least: float) -> np.n
 
 
 def _across(a: Branch, b: Branch, facts: int, least: float, radius: int, top: int, top_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest (places u of a, v of b, distance) of the pairs of two branches to test; labels are tables of FACTS."""
+    """Links (places u of a, v of b, distance) of the pairs of two branches to test that, with the forest inside each, make a spanning forest of both.
+
+    Labels are tables of FACTS, then the place that stands for a text's tree in its branch. Trees of a that meet
+    through b are one from then on, so the partners that follow don't link them again.
+    """
     same, shift = a is b, 0 if a is b else len(a.codes)
-    ta, tb = a.labels.reshape(-1, facts), b.labels.reshape(-1, facts)
-    forest = Labels(np.arange(shift + len(b.codes)))
+    ta, tb = a.labels.reshape(-1, facts + 1), b.labels.reshape(-1, facts + 1)
+    forest = Labels(tb[:, facts] if same else np.r_[ta[:, facts], tb[:, facts] + shift])
     found: list[tuple] = []
     near = _near(a.patterns, a.masks, b.patterns, b.masks, radius, top, top_radius)
     for i in np.flatnonzero(near.any(axis=1)):
         lo, hi = a.bounds[i], a.bounds[i + 1]
         at = np.concatenate([np.arange(b.bounds[j], b.bounds[j + 1]) for j in np.flatnonzero(near[i])])
+        tree = forest.label[lo]
+        if (forest.label[lo:hi] == tree).all():
+            at = at[forest.label[shift + at] != tree]
+        if not len(at):
+            continue
         x, y = np.nonzero(np.bitwise_count(a.codes[lo:hi, None] ^ b.codes[at][None, :]) <= radius)
         once = (lo + x < at[y]) if same else np.ones(len(x), bool)
         x, y = np.unique(x[once]), np.unique(y[once])
         if not len(x):
             continue
-        bits = _candidates(ta[lo + x], tb[at[y]], radius, least)
+        bits = _candidates(ta[lo + x, :facts], tb[at[y], :facts], radius, least)
         p, q = np.nonzero(bits >= 0)
         u, v, d = lo + x[p], at[y[q]], bits[p, q]
         ok = np.flatnonzero(u != v) if same else np.arange(len(u))
@@ -395,6 +404,7 @@ def _across(a: Branch, b: Branch, facts: int, least: float, radius: int, top: in
         ok = ok[np.argsort(d[ok], kind="stable")]
         ok = ok[forest.join(u[ok], shift + v[ok])]
         found.append((u[ok], v[ok], d[ok]))
+    ta[:, facts] = forest.label[: len(ta)]
     return _every(found)
 
 
@@ -651,10 +661,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 11, rotations:
         return _across(a, b, facts, least, *how)
 
     def mark(own: Branch, groups: np.ndarray, how: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
-        own.labels = np.concatenate(groups)
-        return own.labels, np.column_stack(find(own, own))
+        table = np.concatenate(groups).reshape(-1, facts)
+        own.labels = np.column_stack([table, np.arange(len(table))]).ravel()
+        links = np.column_stack(find(own, own))
+        return own.labels, links
 
-    found = staged(_searched(rows, n, how, mark, find, "<i8", lambda branch: branch.labels.reshape(-1, facts)[:, 1]), "near-found")
+    found = staged(_searched(rows, n, how, mark, find, "<i8", lambda branch: branch.labels.reshape(-1, facts + 1)[:, 1]), "near-found")
     regions = staged(connected_components(found, "a", "b"), "near-regions")
     fresh = staged(_links_of_regions(regions, known, docs, size, radius, least, facts, id_col, text_col), "near-links")
     if not fresh.isEmpty():
