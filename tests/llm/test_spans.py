@@ -44,6 +44,18 @@ def test_personal_data_against_python(spark, odd, none, small):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
 
 
+def test_personal_data_counts_base_spans_by_kind(spark, tmp_path):
+    """Counts are of the base spans of each kind, wherever they stand and whatever the contexts add."""
+    rows = list(enumerate(["a@b.co 1.2.3.4 c@d.co", "+1 (017) 555-7713 and x@y.co, 4111 1111-1111 1111", "1.1.1.1 2.2.2.2 3.3.3.3", "none", None, *TEXTS]))
+    rows += [(100 + i, f"please write to user{i}@host{i}.example.org for help") for i in range(40)] + [(200 + i, f"please write to admin{i}@intranet for help") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in P.op4_personal_data(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        kinds = [k for _, k, _ in spans(text)]
+        assert [got[i][f"n_{name}"] for name in P.KINDS] == [kinds.count(k) for k in range(len(P.KINDS))], i
+    assert all(got[200 + i].n_added == 1 and got[200 + i].n_email == 0 for i in range(3))
+
+
 def test_contexts_reveal_identifiers(spark):
     """Addresses without a dotted domain miss the pattern; their context gives them away, and plain numbers stay clean."""
     rows = [(i, f"please write to user{i}@host{i}.example.org for help, room {i} is open") for i in range(40)] + [(100 + i, f"please write to admin{i}@intranet for help") for i in range(3)] + [(200 + i, f"room {i}77 is open") for i in range(40)]
