@@ -21,8 +21,14 @@ def nodes(spark, d):
     return s.select(F.concat_ws("_", "x_coord", "y_coord", "flag").alias("id"), F.col("x_coord").alias("x"), F.col("y_coord").alias("y"), F.expr("tBreak div 86400000").alias("day"), "is_break")
 
 
+def _graph(spark, d):
+    """(nodes, edges), each made once: pairs read the nodes four times, and a node is an aggregate of all of its observations."""
+    made = staged(nodes(spark, d), "event-nodes")
+    return made, staged(neighbour_pairs(made, 12.0, 30), "event-edges")
+
+
 def _edges(spark, d):
-    return staged(neighbour_pairs(nodes(spark, d), 12.0, 30), "event-edges")
+    return _graph(spark, d)[1]
 
 
 @query("i05_communities")
@@ -49,14 +55,16 @@ SELECT community, count(*) AS size, round(avg(day) FILTER (WHERE brk), 4) AS mea
 @query("d28_component_statistics", _STATISTICS)
 def component_statistics(spark, d):
     """Day statistics of groups of several members; the groups are components, which SQL can find too."""
-    t = nodes(spark, d).withColumnRenamed("id", "node").join(connected_components(_edges(spark, d), "i", "j").withColumnRenamed("component", "community"), "node")
+    made, edges = _graph(spark, d)
+    t = made.withColumnRenamed("id", "node").join(connected_components(edges, "i", "j").withColumnRenamed("component", "community"), "node")
     return C.statistics(t, 3).withColumn("mean_day", F.round("mean_day", 4))
 
 
 @query("i06_d28_outlines")
 def outlines(spark, d):
     """Communities of several members with their day statistics and outline."""
-    members = staged(C.communities(_edges(spark, d), "i", "j").join(nodes(spark, d).withColumnRenamed("id", "node"), "node"), "members")
+    made, edges = _graph(spark, d)
+    members = staged(C.communities(edges, "i", "j").join(made.withColumnRenamed("id", "node"), "node"), "members")
     rings = C.outlines(members)
     return C.statistics(members, 3).join(rings, "community").select("community", "size", F.round("mean_day", 4).alias("mean_day"), "first_day", "last_day", "points", F.size("ring").alias("corners"))
 
