@@ -4,8 +4,9 @@ Fingerprints are sorted by Gray rank over range partitions, so neighbours share
 128 become leaves, runs of up to 128 leaves branches; every node keeps the bits that all its codes share (a mask
 and a pattern). The index joins with itself from the top: pairs of nodes whose shared bits already differ in more
 than ``radius`` places are dropped as a whole, and only codes of the surviving leaf pairs are compared. Leaves and
-branches are cut by count, so a dense region makes more nodes, not larger ones. A branch meets its partners one by
-one in a task; one with many partners is dealt to several tasks.
+branches are cut by count, so a dense region makes more nodes, not larger ones. Some neighbouring branches are held
+together in a task and meet their partners one by one, so a partner goes to a group of branches once, not to each of
+them; a group with many partners is dealt to several tasks.
 
 For a radius above 3 the leading bits alone prune little. Then the index is made for several rotations of the
 code; two codes within the radius agree, in at least one of them, on the leading block up to radius // rotations
@@ -35,11 +36,13 @@ from pyspark.sql import functions as F
 
 from loamwatch.llm.common import AT_ONCE, blocks, keyed, pairs_with_texts, raw, run_hashes, word_hashes
 from loamwatch.operators.components import connected_components
-from loamwatch.staging import staged
+from loamwatch.staging import discard, staged
 
 LEAF, LEAVES, DENSE = 128, 128, 32
 #: Up to so many nodes are searched from the root; more get another level. Bits that number the branches of a partition.
 ROOT, NUMBERS = 4096, 20
+#: Branches held together, by count of partitions or less, and comparisons of branches that a task makes, each on average.
+TOGETHER, MEETINGS = 32, 512
 #: Bits that the four codes of two texts may differ in: 0.8 similar texts differ in 39 on average (deviation 6), unlike ones in 128.
 MOST_BITS = 72
 #: Texts of a chunk of a region, at most AT_ONCE shingles.
@@ -413,55 +416,73 @@ _FOUND = "turn int, a long, b long, distance int"
 
 
 def _compare(find: Callable, label: str, key: Callable):
-    """Rows sorted by (a, b): a branch, which comes first, against its partners; only the branch itself is held. ``key`` names the codes of a branch."""
+    """Rows sorted by (group, salt, partner, node): the branches of a group, which are held, and its partners, each against those that it names in ``whom``. ``key`` names the codes of a branch."""
     schema = arrow(_FOUND)
 
     def load(batch: pa.RecordBatch, k: int) -> Branch:
         part = lambda i, t: np.frombuffer(batch.column(i)[k].as_py(), t)
-        labels = part(7, label)
-        return Branch(part(3, "<i4"), part(4, np.uint64), part(5, np.uint64), part(6, np.uint64), labels if len(labels) else None)
+        labels = part(9, label)
+        return Branch(part(5, "<i4"), part(6, np.uint64), part(7, np.uint64), part(8, np.uint64), labels if len(labels) else None)
 
     def rows(turn: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), turn, np.int32)), pa.array(a), pa.array(b), pa.array(d.astype(np.int32))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = keys = None
+        now, held = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
-                turn, b = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
-                if batch.column(0)[k].as_py() == b:
-                    own = load(batch, k)
-                    keys = key(own)
-                    m = np.frombuffer(batch.column(8)[k].as_py() or b"", "<i4").reshape(-1, 3)
-                    if batch.column(9)[k].as_py() == 0 and len(m):  # one of the salts tells of it
+                group, salt, partner, turn, node = (batch.column(i)[k].as_py() for i in range(5))
+                if now != (group, salt):
+                    now, held = (group, salt), {}
+                b = load(batch, k)
+                keys = key(b)
+                if not partner:
+                    held[node] = b, keys
+                    m = np.frombuffer(batch.column(10)[k].as_py() or b"", "<i4").reshape(-1, 3)  # one of the salts has it
+                    if len(m):
                         yield rows(turn, keys[m[:, 0]], keys[m[:, 1]], m[:, 2])
-                    continue
-                other = load(batch, k)
-                u, v, d = find(own, other)
-                if len(u):
-                    yield rows(turn, keys[u], key(other)[v], d)
+                for a in batch.column(11)[k].as_py():
+                    own, names = held[a]
+                    u, v, d = find(own, b)
+                    if len(u):
+                        yield rows(turn, names[u], keys[v], d)
 
     return run
 
 
+def _dealt(branches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Groups of neighbouring branches, dealt by (group, salt): the branches of a group, then each partner once, with those that it meets (``whom``)."""
+    spark = branches.sparkSession
+    count, parts, most = branches.agg(F.count("*"), F.count_distinct(F.shiftright("node", NUMBERS)), F.max(F.col("node").bitwiseAND(F.lit((1 << NUMBERS) - 1)))).first()
+    if (most or 0) < TOGETHER:  # a group is some partitions, else a part of one
+        shift = NUMBERS + max(0, (TOGETHER * parts // max(count, 1)).bit_length() - 1)
+    else:
+        shift = TOGETHER.bit_length() - 1
+    group = lambda c: F.shiftright(c, shift).alias("group")
+    # a group with many meetings is dealt to several tasks, each of which gets its branches
+    salts = staged(pairs.groupBy(group("a")).agg(F.ceil(F.count("*") / MEETINGS).cast("int").alias("salts")), "gray-groups")
+    meet = pairs.where("a != b").select(group("a"), "a", "b").join(salts, "group").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    members = branches.select(group("node"), F.lit(None).cast("long").alias("a"), F.col("node").alias("b")).join(salts, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    columns = ["group", "salt", "a", "b"]
+    rows = meet.select(*columns).unionByName(members.select(*columns)).groupBy("group", "salt", F.col("b").alias("node")).agg(F.sort_array(F.collect_list("a")).alias("whom"))
+    partner = group("node") != F.col("group")
+    own = F.when(~partner & (F.col("salt") == 0), F.col("own")).alias("own")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), salts.agg(F.coalesce(F.sum("salts"), F.lit(0))).first()[0])
+    joined = rows.join(branches, "node").select("group", "salt", partner.alias("partner"), "turn", "node", *_PARTS, own, "whom")
+    return joined.repartition(tasks, "group", "salt").sortWithinPartitions("group", "salt", "partner", "node")
+
+
 def _searched(rows: DataFrame, n: int, how: tuple[int, int, int], mark: Callable, find: Callable, label: str, key: Callable) -> DataFrame:
     """The index of ``rows`` (turn, code, key, group), n a turn, joined with itself: what ``find`` finds."""
-    spark = rows.sparkSession
     prefix = min(16, max(0, (n // LEAF).bit_length() - 1))
     order = ["turn", "rank", "key"]
     ordered = rows.withColumn("rank", gray_rank(F.col("code"))).repartitionByRange(*order).sortWithinPartitions(*order).select("turn", "code", "group")
     branches = staged(ordered.mapInArrow(_build(prefix, how, mark), _BRANCH), "gray-branches")
     pairs = staged(_node_pairs(branches.select("turn", "node", "pattern", "mask"), how), "gray-pairs")
-    total, most = pairs.groupBy("a").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
-    # a branch with many partners is dealt to several tasks, each of which gets it
-    salts = max(1, -(-most // 64))
-    salt = F.when(F.col("a") != F.col("b"), F.array(F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))).otherwise(F.array(*[F.lit(k) for k in range(salts)]) if salts < 1000 else F.sequence(F.lit(0), F.lit(salts - 1)))
-    own = F.col("a") == F.col("b")
-    joined = pairs.join(branches.withColumnRenamed("node", "b"), "b").withColumn("salt", F.explode(salt))
-    columns = ["a", "turn", "b", *_PARTS, F.when(own, F.col("own")).alias("own"), "salt"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 128)
-    dealt = joined.select(*columns).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "b")
-    return dealt.mapInArrow(_compare(find, label, key), _FOUND)
+    found = staged(_dealt(branches, pairs).mapInArrow(_compare(find, label, key), _FOUND), "gray-links")
+    discard(branches)  # the largest table of the index
+    discard(pairs)
+    return found
 
 
 def _how(radius: int, rotations: int) -> tuple[int, int, int]:
@@ -666,7 +687,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 11, rotations:
         links = np.column_stack(find(own, own))
         return own.labels, links
 
-    found = staged(_searched(rows, n, how, mark, find, "<i8", lambda branch: branch.labels.reshape(-1, facts + 1)[:, 1]), "near-found")
+    found = _searched(rows, n, how, mark, find, "<i8", lambda branch: branch.labels.reshape(-1, facts + 1)[:, 1])
     regions = staged(connected_components(found, "a", "b"), "near-regions")
     fresh = staged(_links_of_regions(regions, known, docs, size, radius, least, facts, id_col, text_col), "near-links")
     if not fresh.isEmpty():

@@ -60,6 +60,31 @@ def test_deep_tree(spark, monkeypatch):
     assert {frozenset((r.u, r.v)) for r in links} >= {frozenset((c[0], c[0] ^ 1)) for c in codes[:50]}
 
 
+def test_a_partner_goes_to_a_group_of_branches_once(spark, monkeypatch):
+    """Branches of few codes, groups of several branches and tasks: each pair of branches meets once, and fewer branches than pairs are sent."""
+    from pyspark.sql import functions as F
+
+    for name, value in (("LEAF", 8), ("LEAVES", 4), ("TOGETHER", 8), ("MEETINGS", 60)):
+        monkeypatch.setattr(S, name, value)
+    sent = {}
+    whole = S._dealt
+
+    def dealt(branches, pairs):
+        rows = whole(branches, pairs)
+        met = rows.select(F.explode("whom").alias("a"), F.col("node").alias("b"))
+        sent["met"] = sorted(map(tuple, met.collect())) == sorted(map(tuple, pairs.where("a != b").collect()))
+        sent["rows"], sent["pairs"], sent["salts"] = rows.count(), pairs.count(), rows.agg(F.max("salt")).first()[0]
+        return rows
+
+    monkeypatch.setattr(S, "_dealt", dealt)
+    rng = random.Random(4)
+    codes = [(rng.getrandbits(63),) for _ in range(2000)]
+    codes += [(c[0] ^ 1025,) for c in codes[:100]]
+    links = S.close_codes(spark.createDataFrame(codes, "code long"), 7, 4).collect()
+    assert {frozenset((r.u, r.v)) for r in links} >= {frozenset((c[0], c[0] ^ 1025)) for c in codes[:100]}
+    assert sent["met"] and sent["salts"] > 0 and sent["rows"] < sent["pairs"], sent
+
+
 def test_gray_rank_orders_codes(spark):
     from pyspark.sql import functions as F
 
