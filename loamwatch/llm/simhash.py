@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwatch.llm.common import AT_ONCE, blocks, keyed, pairs_with_texts, raw, run_hashes, word_hashes
+from loamwatch.llm.common import AT_ONCE, BUCKETS, blocks, keyed, pairs_with_texts, raw, run_hashes, word_hashes
 from loamwatch.operators.components import connected_components
 from loamwatch.staging import discard, staged
 
@@ -640,7 +640,11 @@ def _links_of_regions(regions: DataFrame, known: DataFrame, docs: DataFrame, siz
             sets = [shingle_set(t, size).tobytes() for t in raw(part)]
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("row_key")), pa.array(sets, pa.binary())], names=["row_key", "data"])
 
-    texts = keyed(docs, id_col, text_col).join(rows.select("row_key"), "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
+    # texts in no region mostly stay where they are: a table of BUCKETS rows at most tells them
+    bucket = F.pmod("row_key", F.lit(BUCKETS)).alias("bucket")
+    wanted = F.broadcast(rows.select(bucket).distinct())
+    texts = keyed(docs, id_col, text_col).withColumn("bucket", bucket).join(wanted, "bucket", "left_semi").drop("bucket")
+    texts = texts.join(rows.select("row_key"), "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
     data = texts.select("row_key", "text").mapInArrow(made, "row_key long, data binary")
     full = block.hint("merge").join(data, "row_key").select("region", "i", "j", "chunk", "facts", "data")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
